@@ -22,9 +22,11 @@ order of their texts; an empty table writes no file; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -36,22 +38,42 @@ from pyspark.sql import functions as F
 from .common import materialise, scratch, slices, text_bytes
 
 MAGIC = b"LWMX0001"
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 18
 RANK_BITS = 512
-#: Words of the encoder's cache before it starts anew.
-CACHE_WORDS = 400_000
-#: Bytes of a piece above which it isn't remembered.
-LONG_PIECE = 64
+#: Bytes of pieces and ids that the encoder remembers before it starts anew,
+#: and what an entry costs besides.
+CACHE_BYTES, ENTRY_BYTES = 192 << 20, 160
+#: Pieces that go to the library in one string.
+GROUP = 64
 END_ID = 1
 
-_LETTER = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
-_MARKS = frozenset(b",.;:!?")
-
-
-class Encoder(dict):
-    """Ids of white-space separated pieces, as little-endian 16- or 32-bit
-    bytes, encoded by the tokenizers library and remembered. Its tokenizers
-    drop white space, so the ids of a text are those of its pieces in order."""
+_SPACE = rb"[ \t\n\x0b\x0c\r]"
+#: What a mark may follow to be a token of its own: a letter of ASCII or Latin-1.
+_LETTER = rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))"
+_MARK_AT_END = re.compile(_LETTER + rb"([,.;:!?])(?=" + _SPACE + rb"|\Z)")
+_OTHER_MARK = re.compile(rb"[,.;:!?](?!" + _SPACE + rb"|\Z)|(?<![a-z])[,.;:!?]")
+
+
+def _pieces(text: bytes) -> list[bytes]:
+    """Parts of a text that the tokenizer handles apart: white-space separated,
+    marks cut from the words they end, ASCII in lower case as the library will
+    have it (not where special tokens may stand)."""
+    if b"<" in text:
+        return text.split()
+    text = text.lower()
+    if _OTHER_MARK.search(text):
+        return _MARK_AT_END.sub(rb" \1", text).split()
+    for mark in (b",", b".", b";", b":", b"!", b"?"):
+        if mark in text:
+            text = text.replace(mark, b" " + mark)
+    return text.split()
+
+
+class Encoder:
+    """Ids of texts by the tokenizers library. Its tokenizers drop white space,
+    so the ids of a text are those of its white-space separated pieces in order:
+    a piece is encoded once and remembered (as 16- or 32-bit bytes), and pieces
+    not met before go to the library together, between separator tokens."""
 
     _loaded: dict[str, "Encoder"] = {}
 
@@ -60,7 +82,10 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.stems: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.held = 0
+        special = self.tokenizer.get_added_tokens_decoder()
+        self.separator = next(((i, t.content) for i, t in special.items() if t.special), None)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -68,33 +93,35 @@ class Encoder(dict):
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-            self.stems.clear()
-        if len(piece) > LONG_PIECE:
-            return self.ids(piece)
-        # a mark that follows a letter and ends the piece is a token of its own
-        if len(piece) > 1 and piece[-1] in _MARKS and piece[-2] in _LETTER and b"<|" not in piece:
-            ids = self.stem(piece[:-1]) + self.stem(piece[-1:])
-        else:
-            ids = self.stem(piece)
-        self[piece] = ids
-        return ids
-
-    def stem(self, piece: bytes) -> bytes:
-        if b"<|" not in piece:
-            piece = piece.lower()
-        ids = self.stems.get(piece)
-        if ids is None:
-            ids = self.stems[piece] = self.ids(piece)
-        return ids
-
-    def ids(self, piece: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, self.kind).tobytes()
-
-    def encode(self, text: bytes) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, text.split())), self.kind)
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        split = [_pieces(text) for text in texts]
+        new = list(set(filterfalse(self.known.__contains__, chain.from_iterable(split))))
+        for piece, ids in zip(new, self._ids(new)):
+            self.known[piece] = ids
+            self.held += len(piece) + len(ids) + ENTRY_BYTES
+        get = self.known.__getitem__
+        out = [np.frombuffer(b"".join(map(get, pieces)), self.kind) for pieces in split]
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
+        return out
+
+    def _ids(self, stems: list[bytes]) -> list[bytes]:
+        plain = [s for s in stems if b"<" not in s] if self.separator else []
+        found: dict[bytes, bytes] = {}
+        mark, name = self.separator or (0, "")
+        for at in range(0, len(plain), GROUP * 64):
+            groups = [plain[i : i + GROUP] for i in range(at, min(at + GROUP * 64, len(plain)), GROUP)]
+            joined = [b" ".join(g).decode().replace(" ", f" {name} ") + f" {name}" for g in groups]
+            for group, got in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+                row = np.array(got.ids, np.uint32)
+                ends = np.flatnonzero(row == mark)
+                data, width = row.astype(self.kind).tobytes(), self.kind.itemsize
+                starts = np.r_[0, ends[:-1] + 1]
+                found |= zip(group, (data[width * a : width * b] for a, b in zip(starts.tolist(), ends.tolist())))
+        for stem in stems:
+            if stem not in found:
+                found[stem] = np.array(self.tokenizer.encode(stem.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+        return [found[s] for s in stems]
 
 
 def build_block(doc_ids: list, tokens: list[np.ndarray]) -> bytes:
@@ -111,9 +138,9 @@ def build_block(doc_ids: list, tokens: list[np.ndarray]) -> bytes:
         ranks = np.zeros(len(ones), "<u4")
         np.cumsum(ones[:-1], out=ranks[1:])
         planes += [ranks.tobytes(), packed.tobytes()]
-        low = codes[~bits]
+        low = codes.take(np.flatnonzero(~bits))  # much faster than a boolean index
         zeros.append(len(low))
-        codes = np.concatenate([low, codes[bits]])
+        codes = np.concatenate([low, codes.take(np.flatnonzero(bits))])
     header = {"symbols": symbols.tolist(), "docs": doc_ids, "sizes": [len(t) for t in tokens], "zeros": zeros}
     packed = zstandard.ZstdCompressor(3).compress(json.dumps(header, separators=(",", ":")).encode())
     return b"".join([len(packed).to_bytes(4, "little"), packed, *planes])
@@ -201,8 +228,8 @@ class Block:
         for k, plane in enumerate(range(len(self.zeros) - 1, -1, -1)):
             bits = np.unpackbits(self.bits[plane], count=self.n, bitorder="little").view(bool)
             zeros, out = self.zeros[plane], np.empty(self.n, kind)
-            out[~bits] = codes[:zeros]
-            out[bits] = codes[zeros:] | kind(1 << k)
+            out[np.flatnonzero(~bits)] = codes[:zeros]
+            out[np.flatnonzero(bits)] = codes[zeros:] | kind(1 << k)
             codes = out
         return self.symbols[codes]
 
@@ -251,8 +278,9 @@ def _writer(folder: str, vocabulary: str, end_id: int | None):
                 name = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.lwm"
                 out = fs.open_output_stream(f"{base}/{name}")
                 at = out.write(MAGIC) or len(MAGIC)
-            for ident, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                own = np.concatenate([encoder.encode(text), end])
+            encoded = encoder.encode(text_bytes(batch.column(1)))
+            for ident, own in zip(batch.column(0).to_pylist(), encoded):
+                own = np.concatenate([own, end])
                 ids.append(ident)
                 tokens.append(own)
                 held += len(own)
