@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, ppm, simhash, token_shards, toxicity
+from . import decontaminate, exact_dedup, mixing, ppm, simhash, token_shards, toxicity, warc_zip
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,6 +49,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_source_mixing": mixing.ORACLE_SQL,
+        "op7_warc_zip": warc_zip.ORACLE_SQL,
         "op8_benchmark_decontamination": decontaminate.ORACLE_SQL,
         "op10_exact_dedup": exact_dedup.ORACLE_SQL,
     }
