@@ -22,11 +22,11 @@ order of their texts; an empty table writes no file; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -43,15 +43,18 @@ RANK_BITS = 512
 #: Bytes of pieces and ids that the encoder remembers before it starts anew,
 #: and what an entry costs besides.
 CACHE_BYTES, ENTRY_BYTES = 192 << 20, 160
-#: Pieces that go to the library in one string.
-GROUP = 64
+#: Pieces that go to the library in one string, and what stands between them: a
+#: token by itself, as it is neither letter, digit nor space.
+GROUP, SEPARATOR = 64, b"\x01"
 END_ID = 1
 
 _SPACE = rb"[ \t\n\x0b\x0c\r]"
 #: What a mark may follow to be a token of its own: a letter of ASCII or Latin-1.
 _LETTER = rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))"
 _MARK_AT_END = re.compile(_LETTER + rb"([,.;:!?])(?=" + _SPACE + rb"|\Z)")
-_OTHER_MARK = re.compile(rb"[,.;:!?](?!" + _SPACE + rb"|\Z)|(?<![a-z])[,.;:!?]")
+#: Bytes of texts whose every mark may be cut off when white space follows it.
+_EASY = bytes(c for c in range(256) if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789,.;:!? \t\n\x0b\x0c\r" or c == 0xC3 or 0x80 <= c < 0xC0)
+_SHAPE = bytes(44 if chr(c) in ",.;:!?" else 32 if chr(c) in " \t\n\x0b\x0c\r" else c for c in range(256))
 
 
 def _pieces(text: bytes) -> list[bytes]:
@@ -61,7 +64,11 @@ def _pieces(text: bytes) -> list[bytes]:
     if b"<" in text:
         return text.split()
     text = text.lower()
-    if _OTHER_MARK.search(text):
+    easy = not text.translate(None, _EASY) and b"\xc3\x97" not in text and b"\xc3\xb7" not in text
+    if easy:
+        shape = text.translate(_SHAPE)
+        easy = shape.count(b",") == shape.count(b", ") + shape.endswith(b",")
+    if not easy:
         return _MARK_AT_END.sub(rb" \1", text).split()
     for mark in (b",", b".", b";", b":", b"!", b"?"):
         if mark in text:
@@ -78,14 +85,15 @@ class Encoder:
     _loaded: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
         self.held = 0
-        special = self.tokenizer.get_added_tokens_decoder()
-        self.separator = next(((i, t.content) for i, t in special.items() if t.special), None)
+        ids = self.tokenizer.encode(SEPARATOR.decode(), add_special_tokens=False).ids
+        self.separator = ids[0] if len(ids) == 1 else None
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -95,7 +103,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [_pieces(text) for text in texts]
-        new = list(set(filterfalse(self.known.__contains__, chain.from_iterable(split))))
+        new = list(set().union(*split) - self.known.keys())
         for piece, ids in zip(new, self._ids(new)):
             self.known[piece] = ids
             self.held += len(piece) + len(ids) + ENTRY_BYTES
@@ -105,23 +113,23 @@ class Encoder:
             self.known, self.held = {}, 0
         return out
 
-    def _ids(self, stems: list[bytes]) -> list[bytes]:
-        plain = [s for s in stems if b"<" not in s] if self.separator else []
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
         found: dict[bytes, bytes] = {}
-        mark, name = self.separator or (0, "")
-        for at in range(0, len(plain), GROUP * 64):
-            groups = [plain[i : i + GROUP] for i in range(at, min(at + GROUP * 64, len(plain)), GROUP)]
-            joined = [b" ".join(g).decode().replace(" ", f" {name} ") + f" {name}" for g in groups]
-            for group, got in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-                row = np.array(got.ids, np.uint32)
-                ends = np.flatnonzero(row == mark)
-                data, width = row.astype(self.kind).tobytes(), self.kind.itemsize
-                starts = np.r_[0, ends[:-1] + 1]
-                found |= zip(group, (data[width * a : width * b] for a, b in zip(starts.tolist(), ends.tolist())))
-        for stem in stems:
-            if stem not in found:
-                found[stem] = np.array(self.tokenizer.encode(stem.decode(), add_special_tokens=False).ids, self.kind).tobytes()
-        return [found[s] for s in stems]
+        if self.separator is not None:
+            plain = [p for p in pieces if SEPARATOR not in p and b"<" not in p]
+            mark, width = self.separator, self.kind.itemsize
+            for at in range(0, len(plain), GROUP * 64):
+                groups = [plain[i : i + GROUP] for i in range(at, min(at + GROUP * 64, len(plain)), GROUP)]
+                joined = [(b" " + SEPARATOR + b" ").join([*g, b""]).decode() for g in groups]
+                for group, got in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+                    row = np.array(got.ids, self.kind)
+                    ends = np.flatnonzero(row == mark)
+                    data, starts = row.tobytes(), width * np.r_[0, ends[:-1] + 1]
+                    found.update(zip(group, map(data.__getitem__, map(slice, starts.tolist(), (width * ends).tolist()))))
+        return [found[p] if p in found else self._one(p) for p in pieces]
+
+    def _one(self, piece: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, self.kind).tobytes()
 
 
 def build_block(doc_ids: list, tokens: list[np.ndarray]) -> bytes:
