@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, ppm, simhash, token_shards, toxicity, warc_zip
+from . import decontaminate, exact_dedup, html_extract, mixing, ppm, simhash, token_shards, toxicity, warc_zip
 from .common import table
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
