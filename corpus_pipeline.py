@@ -1,7 +1,59 @@
-"""Corpus pipeline (filled in stage by stage)."""
-STAGES = []
+"""The corpus pipeline: reject toxic documents, keep one of each near-duplicate
+group, remove benchmark contamination, mix the sources, write token shards.
+
+Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and
+is written as Parquet and read again before the next one. All stages but the
+last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from lectern.llm import decontaminate, mixing, simhash, token_shards, toxicity
+from lectern.llm.common import materialise, table
+
+#: No source is taken more than this many times as often as another; every
+#: document is taken once at least.
+REPETITION = 1.25
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs)
+
+
+def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs, repetition=REPETITION, cover=True)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_shards.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_dedup", keep_one_of_near_duplicates),
+    ("decontamination", remove_contaminated),
+    ("mixing", mix_sources),
+    ("token_output", write_tokens),
+]
+
+#: SQL can't express the trained classifier of the first stage.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -33,6 +33,8 @@ WINDOW = 13
 BLOCK_BYTES = 16 << 20
 #: A document is contaminated when at least one word in so many is hit.
 SHARE = 20
+#: Columns that a scan adds; no table has such names.
+N_WORDS, HIT, ITEMS = "__n_words", "__hit", "__items"
 
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes(c if c in _KEEP or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -117,7 +119,7 @@ def _scan(windows: WindowSet):
                 row = int(np.searchsorted(starts, i, side="right")) - 1
                 items.setdefault(row, set()).update(windows.names[k] for k in numbers)
             hit = np.cumsum(change)[:-1] > 0
-            old_bits, old_items = batch.column("hit").to_pylist(), batch.column("items").to_pylist()
+            old_bits, old_items = batch.column(HIT).to_pylist(), batch.column(ITEMS).to_pylist()
             bits, names = [], []
             for row, n in enumerate(counts):
                 own = hit[starts[row] : starts[row] + n]
@@ -147,10 +149,9 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` (columns with a ``text``) with n_words, hit (packed bits, one per
-    word, empty if none) and items (identifiers whose windows occur)."""
-    names = [c for c in docs.columns if c not in ("n_words", "hit", "items")]
-    out = docs.select(*names, F.lit(0).cast("bigint").alias("n_words"), F.lit(b"").alias("hit"), F.array().cast("array<string>").alias("items"))
+    """``docs`` (columns with a ``text``) with N_WORDS, HIT (packed bits, one per
+    word, empty if none) and ITEMS (identifiers whose windows occur)."""
+    out = docs.select("*", F.lit(0).cast("bigint").alias(N_WORDS), F.lit(b"").alias(HIT), F.array().cast("array<string>").alias(ITEMS))
     for block in _blocks(benchmark, block_bytes):
         out = out.mapInArrow(_scan(WindowSet(block, window)), out.schema)
     return out
@@ -162,13 +163,13 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words = batch.column("n_words").to_pylist()
-            hits = [int.from_bytes(b, "big").bit_count() for b in batch.column("hit").to_pylist()]
-            items = batch.column("items").to_pylist()
+            n_words = batch.column(N_WORDS).to_pylist()
+            hits = [int.from_bytes(b, "big").bit_count() for b in batch.column(HIT).to_pylist()]
+            items = batch.column(ITEMS).to_pylist()
             digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
             bad = [h > 0 and share * h >= n for h, n in zip(hits, n_words)]
             yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(digests, pa.string()), pa.array(bad, pa.bool_())],
+                [batch.column("doc_id"), batch.column(N_WORDS), pa.array(hits, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(digests, pa.string()), pa.array(bad, pa.bool_())],
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
@@ -184,7 +185,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, spans: bool = False, window: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits, n_words = batch.column("hit").to_pylist(), batch.column("n_words").to_pylist()
+            bits, n_words = batch.column(HIT).to_pylist(), batch.column(N_WORDS).to_pylist()
             rows = batch.select(names)
             if spans:
                 column = batch.column("text").to_pylist()

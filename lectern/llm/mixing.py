@@ -153,9 +153,10 @@ def decisions(docs: DataFrame, seed: str = SEED, **target) -> DataFrame:
 def mixed(docs: DataFrame, seed: str = SEED, **target) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; columns stay as they are."""
     _, rows = plan(docs, seed=seed, **target)
+    small = _small(rows)
     rows = rows.select(*[F.col(c).alias(f"__{c}") for c in rows.columns])
     own = docs.withColumns({"__source": _source(), "__place": _place(seed)})
-    joined = own.join(F.broadcast(rows) if _small(rows) else rows, F.col("__source") == F.col("__s"))
+    joined = own.join(F.broadcast(rows) if small else rows, F.col("__source") == F.col("__s"))
     copies = _copies(seed, F.col("__source"), F.col("__place"), "__")
     taken = joined.withColumn("__copies", copies).where(F.col("__copies") > 0)
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))).select(*docs.columns)

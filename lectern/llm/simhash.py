@@ -275,3 +275,18 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     of = of.select("fp", F.coalesce("linked", "least").alias("component_id"))
     out = rows.join(of, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with the document of the smallest id of each near-duplicate
+    group only; columns stay as they are. Rows without an id all stay; rows that
+    repeat an id and text count once, and rows of one id with different texts
+    stay or go together."""
+    found = materialise(near_duplicates(docs, **how), "near_duplicates")
+    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    again = materialise(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated_ids")
+    if again.isEmpty():
+        return kept
+    single = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
+    return single.unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
