@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n0, n1 = table.pop(-1, (0, 0))
     if not n0 or not n1:
         share = n1 / max(1, n0 + n1)
-        return Model(float(np.log(max(share, 1e-15) / max(1 - share, 1e-15))), none, np.zeros(0), np.zeros((0, FACTORS)))
+        return Model(float(np.clip(np.log(max(share, 1e-20) / max(1 - share, 1e-20)), -35, 35)), none, np.zeros(0), np.zeros((0, FACTORS)))
     buckets = np.array(sorted(table), np.int64)
     a, b = (np.array([table[k][i] for k in buckets.tolist()], float) for i in (1, 0))
     gap = a * (n0 - b) - b * (n1 - a)

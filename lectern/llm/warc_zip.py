@@ -52,6 +52,11 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def target(url: str | None) -> str:
+    """A url fit for a header or index line."""
+    return quote(url, safe="!#$%&'()*+,/:;=?@[]~") if url else "about:blank"
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC record; with ``refers_to`` a revisit without the payload."""
     name = "" if page_id is None else page_id
@@ -61,8 +66,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         block += payload
     else:
         lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
-    target = quote(url, safe="!#$%&'()*+,/:;=?@[]~") if url else "about:blank"
-    lines += [f"WARC-Target-URI: {target}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
+    lines += [f"WARC-Target-URI: {target(url)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -245,13 +249,13 @@ def _writer(folder: str, member_bytes: int):
                 data = pack.compress(record(page, url, payloads[i], digest, refers)) + pack.flush()
                 entry = {"url": url, "digest": f"sha1:{digest}", "filename": member, "offset": archive.size, "length": len(data), "page_id": page}
                 archive.write(data)
-                lines.append(f"{(url or 'about:blank').replace(' ', '%20')} 19700101000000 {json.dumps(entry)}".encode())
+                lines.append(f"{target(url)} 19700101000000 {json.dumps(entry)}\n".encode())
                 n += 1
         if archive is None:
             return
         archive.end()
         archive.begin("indexes/index.cdxj")
-        archive.write(b"".join(line + b"\n" for line in sorted(line.replace(b"\n", b" ") for line in lines)))
+        archive.write(b"".join(sorted(lines)))
         archive.end()
         archive.begin("datapackage.json")
         archive.write(json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "records": n}).encode())
