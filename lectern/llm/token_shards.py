@@ -42,7 +42,9 @@ BLOCK_TOKENS = 1 << 18
 RANK_BITS = 512
 #: Bytes of pieces and ids that the encoder remembers before it starts anew,
 #: and what an entry costs besides.
-CACHE_BYTES, ENTRY_BYTES = 192 << 20, 160
+CACHE_BYTES, ENTRY_BYTES = 112 << 20, 160
+#: Text bytes that are encoded at a time; their pieces take ten times as much.
+ENCODE_BYTES = 3 << 20
 #: Pieces that go to the library in one string, and what stands between them: a
 #: token by itself, as it is neither letter, digit nor space.
 GROUP, SEPARATOR = 64, b"\x01"
@@ -279,7 +281,7 @@ def _writer(folder: str, vocabulary: str, end_id: int | None):
             at += len(data)
             ids, tokens, held = [], [], 0
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODE_BYTES):
             if out is None:
                 fs, base = pafs.FileSystem.from_uri(folder)
                 fs.create_dir(base, recursive=True)
