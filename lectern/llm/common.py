@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,39 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What workers remember from task to task, by operator: how to drop it.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def drop_caches(keeps: str) -> None:
+    """Clear what other operators remember in this worker."""
+    for name, drop in CACHES.items():
+        if name != keeps:
+            drop()
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run, schema, keeps: str = "") -> DataFrame:
+    """``df.mapInArrow(run, schema)`` whose workers, which live on from task to
+    task, hold no more than the memory of ``keeps`` when they begin, and give
+    back what they have freed when they end."""
+
+    def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(frugal, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

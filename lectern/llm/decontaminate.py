@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import map_arrow, slices, text_bytes
 
 WINDOW = 13
 #: Bound of the benchmark text behind one broadcast set.
@@ -153,7 +153,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     word, empty if none) and ITEMS (identifiers whose windows occur)."""
     out = docs.select("*", F.lit(0).cast("bigint").alias(N_WORDS), F.lit(b"").alias(HIT), F.array().cast("array<string>").alias(ITEMS))
     for block in _blocks(benchmark, block_bytes):
-        out = out.mapInArrow(_scan(WindowSet(block, window)), out.schema)
+        out = map_arrow(out, _scan(WindowSet(block, window)), out.schema)
     return out
 
 
@@ -174,7 +174,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return marked.drop("text").mapInArrow(count, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+    return map_arrow(marked.drop("text"), count, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, spans: bool = False, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, share: int = SHARE) -> DataFrame:
@@ -197,7 +197,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, spans: bool = False, window: i
                 hits = [int.from_bytes(b, "big").bit_count() for b in bits]
                 yield rows.filter(pa.array([not (h > 0 and share * h >= n) for h, n in zip(hits, n_words)], pa.bool_()))
 
-    return marked.mapInArrow(cut, docs.schema)
+    return map_arrow(marked, cut, docs.schema)
 
 
 def without(text: str, hit: np.ndarray) -> str:

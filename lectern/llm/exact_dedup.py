@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, text_bytes
+from .common import map_arrow, materialise, slices, text_bytes
 
 _TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 _RUN = re.compile(rb" {2,}")
@@ -214,16 +214,16 @@ def _owner_batch(rows: list[tuple]) -> pa.RecordBatch:
 def text_owners(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(digest, n_bytes, keep_id, group_size): one row for each distinct normalised text."""
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    folded = source.mapInArrow(_keyed, "digest binary, n_bytes bigint, bytes binary, ident bigint, n bigint")
+    folded = map_arrow(source, _keyed, "digest binary, n_bytes bigint, bytes binary, ident bigint, n bigint")
     dealt = folded.repartition("n_bytes", "digest").select("bytes", "ident", "n")
-    return dealt.mapInArrow(_owned, "digest binary, n_bytes bigint, keep_id bigint, group_size bigint")
+    return map_arrow(dealt, _owned, "digest binary, n_bytes bigint, keep_id bigint, group_size bigint")
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs``."""
     groups = materialise(text_owners(docs, doc_id, text).where("group_size > 1").drop("n_bytes"), "owners")
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = source.mapInArrow(_digested, "doc_id bigint, digest binary")
+    rows = map_arrow(source, _digested, "doc_id bigint, digest binary")
     joined = rows.join(groups, "digest", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select(

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_arrow, slices
 
 # Names of HTML elements, and words of class and id attributes.
 BLOCK_TAGS = frozenset(
@@ -356,4 +356,4 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     kind = pages.schema["page_id"].dataType.simpleString()
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    return map_arrow(rows, run, f"page_id {kind}, url string, text string, n_chars bigint")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, text_bytes
+from .common import map_arrow, materialise, slices, text_bytes
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -91,7 +91,7 @@ def _fingerprints(words: int, seed: int):
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed bigint) of every row."""
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_fingerprints(words, seed), "doc_id bigint, fp bigint")
+    return map_arrow(source, _fingerprints(words, seed), "doc_id bigint, fp bigint")
 
 
 def shard_masks(radius: int = RADIUS, groups: int = GROUPS) -> list[int]:
@@ -240,7 +240,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, groups: int = GROUPS, sh
         cut = cut.select((F.col("m") + len(masks) * (F.col("ring") + 1)).alias("m"), "k", "fp")
         shards = shards.join(large, ["m", "k"], "left_anti").unionByName(cut)
     dealt = shards.repartition("m", "k").sortWithinPartitions("m", "k")
-    return dealt.mapInArrow(_shard_links(radius), "a bigint, b bigint")
+    return map_arrow(dealt, _shard_links(radius), "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import CACHES, map_arrow, slices, text_bytes
 
 MARK = "▁"
 ZIPF_SHIFT = 2.7
@@ -116,6 +116,9 @@ class Pieces:
         return [len(w) for w in split], tokens, scores
 
 
+CACHES["token_counts"] = Pieces._loaded.clear
+
+
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_words, n_tokens, log_score of every row of ``docs``."""
 
@@ -127,4 +130,4 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_tokens bigint, log_score double")
+    return map_arrow(rows, run, f"doc_id {kind}, n_words bigint, n_tokens bigint, log_score double", "token_counts")

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch, slices, text_bytes
+from .common import CACHES, map_arrow, materialise, scratch, slices, text_bytes
 
 MAGIC = b"LWMX0001"
 BLOCK_TOKENS = 1 << 18
@@ -134,6 +134,9 @@ class Encoder:
         return np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, self.kind).tobytes()
 
 
+CACHES["token_shards"] = Encoder._loaded.clear
+
+
 def build_block(doc_ids: list, tokens: list[np.ndarray]) -> bytes:
     """The bytes of a block: the documents' tokens as one wavelet matrix."""
     values = np.concatenate(tokens)
@@ -319,7 +322,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int | None = END_ID,
     folder = folder or scratch(docs.sparkSession, "token_shards")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = materialise(dealt.mapInArrow(_writer(folder, vocabulary, end_id), "shard bigint, path string, n_docs bigint, n_tokens bigint"), "token_manifest")
+    manifest = materialise(map_arrow(dealt, _writer(folder, vocabulary, end_id), "shard bigint, path string, n_docs bigint, n_tokens bigint", "token_shards"), "token_manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("bigint")))
 
@@ -343,7 +346,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     shards = max(1, manifest.count())
     one_each = manifest.select("path", "start", "shard").repartitionByRange(shards, "shard").select("path", "start")
-    return one_each.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return map_arrow(one_each, run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int | None = END_ID) -> DataFrame:

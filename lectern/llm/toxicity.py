@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices, text_bytes
+from .common import crc_mod, map_arrow, slices, text_bytes
 from .decontaminate import words
 
 SAMPLE_ROWS = 20_000
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         # bucket -1 carries the number of rows
         yield pa.record_batch([pa.array(np.r_[-1, at]), pa.array(np.r_[rows[0], counts[0, at]]), pa.array(np.r_[rows[1], counts[1, at]])], names=["bucket", "clean", "toxic"])
 
-    sums = texts.mapInArrow(counted, "bucket bigint, clean bigint, toxic bigint").groupBy("bucket").agg(F.sum("clean"), F.sum("toxic")).collect()
+    sums = map_arrow(texts, counted, "bucket bigint, clean bigint, toxic bigint").groupBy("bucket").agg(F.sum("clean"), F.sum("toxic")).collect()
     table = {r[0]: (r[1], r[2]) for r in sums}
     n0, n1 = table.pop(-1, (0, 0))
     if not n0 or not n1:
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             value = pa.array([x.astype(np.float32).tobytes() for _, x in found], pa.binary())
             yield pa.record_batch([batch.column(0), batch.column(1), at, value], names=["doc_id", "label", "terms", "x"])
 
-    found = texts.mapInArrow(featured, f"doc_id {kind}, label int, terms binary, x binary").collect()
+    found = map_arrow(texts, featured, f"doc_id {kind}, label int, terms binary, x binary").collect()
     found.sort(key=lambda r: (r[0], bytes(r[2]), bytes(r[3])))
     rows = [(np.frombuffer(bytes(r[2]), np.uint16).astype(np.int64), np.frombuffer(bytes(r[3]), np.float32)) for r in found]
     return Model(*_placed(train(rows, np.array([r[1] for r in found], float), len(chosen)), place))
@@ -196,7 +196,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select("doc_id", (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return map_arrow(rows, run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -212,4 +212,4 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
             scores = model.scores(text_bytes(batch.column("text")))
             yield batch.filter(pa.array(scores < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -35,7 +35,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch, slices, text_bytes
+from .common import map_arrow, materialise, scratch, slices, text_bytes
 
 #: Payloads below this many bytes are always responses.
 LEAST_PAYLOAD = 0
@@ -277,7 +277,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_payload: i
     told = keyed.join(materialise(groups, "payload_groups"), "key", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
     dealt = told.select("page_id", "url", "payload", refers.alias("refers_to"))
-    return materialise(dealt.mapInArrow(_writer(folder, member_bytes), "part bigint, path string, records bigint"), "archive_manifest")
+    return materialise(map_arrow(dealt, _writer(folder, member_bytes), "part bigint, path string, records bigint"), "archive_manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
@@ -293,7 +293,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     one_each = manifest.repartitionByRange(max(1, manifest.count()), "part").select("path")
-    return one_each.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return map_arrow(one_each, run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
