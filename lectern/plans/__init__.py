@@ -1,0 +1,13 @@
+"""Query plans by family; importing a module registers its queries."""
+
+from importlib import import_module
+
+from .registry import ORACLES, QUERIES, query
+
+#: In the order of the operator inventory.
+FAMILIES = ()
+
+for _family in FAMILIES:
+    import_module(f"{__name__}.{_family}")
+
+__all__ = ["ORACLES", "QUERIES", "query"]
