@@ -48,3 +48,38 @@ def parse_amount(text: Column, mark: str | None = None) -> Column:
 def to_cents(amount: Column) -> Column:
     """Whole cents, half away from zero."""
     return F.round(amount.cast("decimal(18,6)") * 100, 0).cast("bigint")
+
+
+# How currencies are written.
+CURRENCIES = {
+    "EUR": ("€", "eur", "euro", "euros"),
+    "USD": ("us$", "$", "usd", "dolar", "dolares", "dólar", "dólares", "dollar", "dollars"),
+    "GBP": ("£", "gbp"),
+    "CHF": ("chf", "sfr"),
+    "SEK": ("sek",),
+    "DKK": ("dkk",),
+    "NOK": ("nok",),
+    "PLN": ("pln", "zł"),
+    "CZK": ("czk", "kč"),
+    "JPY": ("jpy", "¥"),
+    "MXN": ("mxn", "mx$"),
+    "CAD": ("cad", "ca$", "c$"),
+    "AUD": ("aud", "au$", "a$"),
+    "BRL": ("brl", "r$"),
+    "CNY": ("cny", "rmb"),
+    "INR": ("inr", "₹"),
+}
+
+
+def currency_of(text: Column) -> Column:
+    """The code of a currency as written, '' if unknown."""
+    table = F.create_map(*[F.lit(x) for code, names in CURRENCIES.items() for name in names for x in (name, code)])
+    return F.coalesce(F.try_element_at(table, F.lower(F.trim(text))), F.lit(""))
+
+
+def format_money(amount: Column, lang: str = "es", symbol: str = "€") -> Column:
+    """1.234,50 € in Spanish, 1 234,50 € in French, €1,234.50 in English."""
+    plain = F.format_number(amount, 2)
+    if lang == "en":
+        return F.concat(F.lit(symbol), plain)
+    return F.concat(F.translate(plain, ",.", ".," if lang == "es" else " ,"), F.lit(f" {symbol}"))

@@ -19,7 +19,11 @@ QUERY_BLOCK = 500
 def postings(docs: DataFrame, key: str, columns: dict[str, float]) -> DataFrame:
     """(key, term, wtf, len): the weighted term frequency over the text columns and
     the tokens of the whole row. One shuffle by (key, term), combined map-side."""
-    parts = [F.transform(tx.tokens(F.coalesce(F.col(c), F.lit(""))), lambda x, w=w: F.struct(x.alias("term"), F.lit(float(w)).alias("w"))) for c, w in columns.items()]
+
+    def weighted(column: str, weight: float) -> Column:
+        return F.transform(tx.tokens(F.coalesce(F.col(column), F.lit(""))), lambda x: F.struct(x.alias("term"), F.lit(float(weight)).alias("w")))
+
+    parts = [weighted(c, w) for c, w in columns.items()]
     all_terms = F.flatten(F.array(*parts))
     exploded = docs.select(key, F.explode(all_terms).alias("t"), F.size(all_terms).alias("len"))
     return exploded.groupBy(key, F.col("t.term").alias("term")).agg(F.sum("t.w").alias("wtf"), F.first("len").alias("len"))
@@ -40,14 +44,17 @@ def query_terms(text: str, most: int = 12) -> list[str]:
     return list(words)[:most]
 
 
+def _occurrences(words: Column, term: str, prefix: bool = False) -> Column:
+    return F.size(F.filter(words, lambda x: F.startswith(x, F.lit(term)) if prefix else x == term))
+
+
 def bm25(docs: DataFrame, key: str, columns: dict[str, float], terms: list[str], prefix: bool = False, every: bool = False) -> DataFrame:
     """(key, score) of rows that match: any term, or ``every`` one; ``prefix``
     lets a term match the beginning of words. Only the query's terms survive the
     scan, so what is shuffled is in proportion to the matches."""
-    match = lambda x, q: x.startswith(q) if prefix else x == q
     words = {c: tx.tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns}
     length = sum((F.size(w) for w in words.values()), F.lit(0))
-    tf = [sum((F.lit(float(wt)) * F.size(F.filter(words[c], lambda x, q=q: match(x, q))) for c, wt in columns.items()), F.lit(0.0)) for q in terms]
+    tf = [sum((F.lit(float(wt)) * _occurrences(words[c], q, prefix) for c, wt in columns.items()), F.lit(0.0)) for q in terms]
     rows = docs.select(key, length.alias("len"), *[v.alias(f"tf{i}") for i, v in enumerate(tf)])
     stats = rows.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
     hit = F.lit(False)
@@ -67,7 +74,7 @@ def bm25(docs: DataFrame, key: str, columns: dict[str, float], terms: list[str],
 def rescore(rows: DataFrame, key: str, columns: dict[str, float], length_column: str, terms: list[str], idf_floor: float = 0.1) -> DataFrame:
     """BM25 over a candidate set with smoothed idf; only ``length_column`` is normalised by length."""
     words = {c: tx.tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns}
-    tf = {(i, c): F.size(F.filter(words[c], lambda x, q=q: x == q)).cast("double").alias(f"tf{i}_{c}") for i, q in enumerate(terms) for c in columns}
+    tf = {(i, c): _occurrences(words[c], q).cast("double").alias(f"tf{i}_{c}") for i, q in enumerate(terms) for c in columns}
     base = rows.select(key, F.size(words[length_column]).alias("len"), *tf.values())
     seen = lambda i: sum((F.col(f"tf{i}_{c}") for c in columns), F.lit(0.0)) > 0
     stats = base.agg(F.count("*").alias("n_docs"), F.greatest(F.avg("len"), F.lit(1e-9)).alias("avg_len"), *[F.count_if(seen(i)).alias(f"n{i}") for i in range(len(terms))])
