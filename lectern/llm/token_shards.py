@@ -111,8 +111,9 @@ class Encoder:
             self.held += len(piece) + len(ids) + ENTRY_BYTES
         get = self.known.__getitem__
         out = [np.frombuffer(b"".join(map(get, pieces)), self.kind) for pieces in split]
-        if self.held > CACHE_BYTES:
-            self.known, self.held = {}, 0
+        if self.held > CACHE_BYTES:  # go on with what is in use now
+            self.known = {piece: self.known[piece] for piece in set().union(*split)}
+            self.held = sum(len(piece) + len(ids) + ENTRY_BYTES for piece, ids in self.known.items())
         return out
 
     def _ids(self, pieces: list[bytes]) -> list[bytes]:
