@@ -79,3 +79,49 @@ def drift_segments(frames: DataFrame, key: str, order: str, vector: str, least:
 
     types = dict(frames.dtypes)
     return frames.select(key, order, vector).groupBy(key).applyInPandas(fold, f"{key} {types[key]}, {order} {types[order]}, segment bigint")
+
+
+# Lines that speech recognition invents over silence.
+INVENTED = ("thanks for watching", "thank you for watching", "subtitles by", "gracias por ver", "subtitulos por", "suscribete")
+
+
+def invented(text):
+    """Whether a line is one that recognisers make up."""
+    from ..functions.text import fold, squeeze
+
+    s = squeeze(F.regexp_replace(fold(text), r"[^\p{L}\p{N} ]", " "))
+    out = F.lit(False)
+    for phrase in INVENTED:
+        out = out | s.startswith(phrase)
+    return out
+
+
+def collapsed(text: str, least: int = 4, longest: int = 4) -> tuple[str, int]:
+    """A text whose phrases of one to ``longest`` words that repeat ``least`` times
+    in a row stand once, and how many such loops there were."""
+    words, out, loops, i = text.split(), [], 0, 0
+    while i < len(words):
+        for n in range(1, longest + 1):
+            phrase, k = words[i : i + n], 1
+            while len(phrase) == n and words[i + k * n : i + (k + 1) * n] == phrase:
+                k += 1
+            if k >= least:
+                out += phrase
+                i += k * n
+                loops += 1
+                break
+        else:
+            out.append(words[i])
+            i += 1
+    return " ".join(out), loops
+
+
+def collapse_loops(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text, loops)."""
+
+    def run(batches):
+        for batch in batches:
+            done = [collapsed(x or "") for x in batch[text]]
+            yield pd.DataFrame({key: batch[key], text: [d[0] for d in done], "loops": [d[1] for d in done]})
+
+    return rows.select(key, text).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, {text} string, loops bigint")
