@@ -44,7 +44,7 @@ RANK_BITS = 512
 #: and what an entry costs besides.
 CACHE_BYTES, ENTRY_BYTES = 128 << 20, 136
 #: Text bytes that are encoded at a time; their pieces take ten times as much.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 6 << 20
 #: Pieces that go to the library in one string, and what stands between them: a
 #: token by itself, as it is neither letter, digit nor space.
 GROUP, SEPARATOR = 64, b"\x01"
@@ -105,12 +105,16 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [_pieces(text) for text in texts]
-        new = list(set().union(*split) - self.known.keys())
-        for piece, ids in zip(new, self._ids(new)):
-            self.known[piece] = ids
-            self.held += len(piece) + len(ids) + ENTRY_BYTES
-        get = self.known.__getitem__
-        out = [np.frombuffer(b"".join(map(get, pieces)), self.kind) for pieces in split]
+        rows = [list(map(self.known.get, pieces)) for pieces in split]
+        gaps = [[i for i, ids in enumerate(row) if ids is None] for row in rows]
+        new = list({pieces[i] for pieces, at in zip(split, gaps) for i in at})
+        ids = self._ids(new)
+        self.known.update(zip(new, ids))
+        self.held += sum(map(len, new)) + sum(map(len, ids)) + ENTRY_BYTES * len(new)
+        for pieces, row, at in zip(split, rows, gaps):
+            for i in at:
+                row[i] = self.known[pieces[i]]
+        out = [np.frombuffer(b"".join(row), self.kind) for row in rows]
         if self.held > CACHE_BYTES:  # go on with what is in use now
             self.known = {piece: self.known[piece] for piece in set().union(*split)}
             self.held = sum(len(piece) + len(ids) + ENTRY_BYTES for piece, ids in self.known.items())
