@@ -49,11 +49,14 @@ def iso_day(t):
     return t.events.select("event_id", times.parse_iso(raw).alias("day"))
 
 
-@query("i4_find_dates")
+@query("i4_find_dates", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, 'due' AS role FROM orders WHERE o_orderkey <= 4000")
 def find_dates(t):
     from ..operators.extraction import find_dates as run
 
-    return run(t.documents.select("doc_id", "text"), "doc_id", "text")
+    shapes = ("yyyy-MM-dd", "d/M/yyyy", "d MMMM yyyy", "MMMM d, yyyy")
+    written = F.array(*[F.date_format("day", s) for s in shapes])
+    text = F.concat(F.lit("Thank you.\nDue date: "), F.element_at(written, (F.col("o_orderkey") % 4 + 1).cast("int")), F.lit(", or 99/99/2024"))
+    return run(_day(t).select("o_orderkey", text.alias("text")), "o_orderkey", "text").select("o_orderkey", "day", "role")
 
 
 @query(
