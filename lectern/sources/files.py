@@ -18,7 +18,8 @@ MAGIC = (("pdf", "25504446"), ("zip", "504B0304"), ("image", "89504E47"), ("imag
 
 
 #: Where Windows-1252 differs from Latin-1: the code points and their characters.
-CP1252 = tuple("".join(x) for x in zip(*((chr(b), c) for b in range(128, 160) if (c := bytes([b]).decode("cp1252", "ignore")))))
+_DEFINED = [b for b in range(128, 160) if bytes([b]).decode("cp1252", "ignore")]
+CP1252 = "".join(map(chr, _DEFINED)), bytes(_DEFINED).decode("cp1252")
 
 
 def glob_regex(pattern: str) -> str:
