@@ -64,3 +64,32 @@ def to_utc(text: Column) -> Column:
     """A timestamp from RFC 822 or ISO text."""
     bare = F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]{3}, *", ""), r" (GMT|UTC?|Z)$", " +0000")
     return F.coalesce(F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss xx")), F.try_to_timestamp(text))
+
+
+# Spoken days and numbers in Spanish and English, folded.
+WEEKDAYS = {"lunes": 1, "monday": 1, "martes": 2, "tuesday": 2, "miercoles": 3, "wednesday": 3, "jueves": 4, "thursday": 4, "viernes": 5, "friday": 5, "sabado": 6, "saturday": 6, "domingo": 7, "sunday": 7}
+SPOKEN_NUMBERS = {"un": 1, "una": 1, "one": 1, "a": 1, "dos": 2, "two": 2, "tres": 3, "three": 3, "cuatro": 4, "four": 4, "cinco": 5, "five": 5, "seis": 6, "six": 6, "diez": 10, "ten": 10, "quince": 15}
+
+
+def spoken(text: Column, today: Column) -> Column:
+    """The day that a phrase means: today, tomorrow, in n days, weeks or months, a
+    weekday (the next one), the end of the month; null if none."""
+    from .text import fold
+
+    s = fold(text)
+    lookup = lambda table, word: F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), word)
+    count = r"\b(?:en|dentro de|in)\s+(\d+|[a-z]+)\s+(dia|day|semana|week|mes|month)"
+    word = F.regexp_extract(s, count, 1)
+    n = F.coalesce(word.try_cast("int"), lookup(SPOKEN_NUMBERS, word))
+    unit = F.regexp_extract(s, count, 2)
+    later = F.when(unit.isin("dia", "day"), F.date_add(today, n)).when(unit.isin("semana", "week"), F.date_add(today, n * 7)).when(unit.isin("mes", "month"), F.add_months(today, n))
+    weekday = lookup(WEEKDAYS, F.regexp_extract(s, r"\b(" + "|".join(WEEKDAYS) + r")\b", 1))
+    ahead = F.pmod(weekday - 1 - F.weekday(today), F.lit(7))
+    return (
+        F.when(s.rlike(r"pasado manana|day after tomorrow"), F.date_add(today, 2))
+        .when(s.rlike(r"\bmanana\b|tomorrow"), F.date_add(today, 1))
+        .when(s.rlike(r"\bhoy\b|\btoday\b"), today)
+        .when(n.isNotNull() & (unit != ""), later)
+        .when(s.rlike(r"fin de mes|end of the month"), F.last_day(today))
+        .when(weekday.isNotNull(), F.date_add(today, F.when(ahead == 0, 7).otherwise(ahead).cast("int")))
+    )
