@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -148,18 +148,27 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
     yield block
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, finish=None, schema=None) -> DataFrame:
     """``docs`` (columns with a ``text``) with N_WORDS, HIT (packed bits, one per
-    word, empty if none) and ITEMS (identifiers whose windows occur)."""
+    word, empty if none) and ITEMS (identifiers whose windows occur). ``finish``
+    works on the marked batches in the same pass and makes rows of ``schema``."""
     out = docs.select("*", F.lit(0).cast("bigint").alias(N_WORDS), F.lit(b"").alias(HIT), F.array().cast("array<string>").alias(ITEMS))
-    for block in _blocks(benchmark, block_bytes):
-        out = map_arrow(out, _scan(WindowSet(block, window)), out.schema)
+    blocks = _blocks(benchmark, block_bytes)
+    block = next(blocks)
+    for following in chain(blocks, [None]):
+        scan = _scan(WindowSet(block, window))
+        last = following is None and finish is not None
+        out = map_arrow(out, _then(scan, finish) if last else scan, schema if last else out.schema)
+        block = following
     return out
 
 
+def _then(first, second):
+    return lambda batches: second(first(batches))
+
+
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, share: int = SHARE) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
-    marked = mark(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark, window, block_bytes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,13 +183,13 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(marked.drop("text"), count, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+    schema = f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+    return mark(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark, window, block_bytes, count, schema)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, spans: bool = False, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, share: int = SHARE) -> DataFrame:
     """``docs`` without contaminated rows, or (``spans``) with every row but
     without the hit words; columns stay as they are."""
-    marked = mark(docs, benchmark, window, block_bytes)
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +206,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, spans: bool = False, window: i
                 hits = [int.from_bytes(b, "big").bit_count() for b in bits]
                 yield rows.filter(pa.array([not (h > 0 and share * h >= n) for h, n in zip(hits, n_words)], pa.bool_()))
 
-    return map_arrow(marked, cut, docs.schema)
+    return mark(docs, benchmark, window, block_bytes, cut, docs.schema)
 
 
 def without(text: str, hit: np.ndarray) -> str:
