@@ -42,9 +42,9 @@ BLOCK_TOKENS = 1 << 18
 RANK_BITS = 512
 #: Bytes of pieces and ids that the encoder remembers before it starts anew,
 #: and what an entry costs besides.
-CACHE_BYTES, ENTRY_BYTES = 128 << 20, 136
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 136
 #: Text bytes that are encoded at a time; their pieces take ten times as much.
-ENCODE_BYTES = 6 << 20
+ENCODE_BYTES = 4 << 20
 #: Pieces that go to the library in one string, and what stands between them: a
 #: token by itself, as it is neither letter, digit nor space.
 GROUP, SEPARATOR = 64, b"\x01"
