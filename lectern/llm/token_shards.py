@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -50,10 +49,6 @@ ENCODE_BYTES = 4 << 20
 GROUP, SEPARATOR = 64, b"\x01"
 END_ID = 1
 
-_SPACE = rb"[ \t\n\x0b\x0c\r]"
-#: What a mark may follow to be a token of its own: a letter of ASCII or Latin-1.
-_LETTER = rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))"
-_MARK_AT_END = re.compile(_LETTER + rb"([,.;:!?])(?=" + _SPACE + rb"|\Z)")
 #: Bytes of texts whose every mark may be cut off when white space follows it.
 _EASY = bytes(c for c in range(256) if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789,.;:!? \t\n\x0b\x0c\r" or c == 0xC3 or 0x80 <= c < 0xC0)
 _SHAPE = bytes(44 if chr(c) in ",.;:!?" else 32 if chr(c) in " \t\n\x0b\x0c\r" else c for c in range(256))
@@ -71,7 +66,7 @@ def _pieces(text: bytes) -> list[bytes]:
         shape = text.translate(_SHAPE)
         easy = shape.count(b",") == shape.count(b", ") + shape.endswith(b",")
     if not easy:
-        return _MARK_AT_END.sub(rb" \1", text).split()
+        return text.split()
     for mark in (b",", b".", b";", b":", b"!", b"?"):
         if mark in text:
             text = text.replace(mark, b" " + mark)
