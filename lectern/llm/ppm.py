@@ -13,11 +13,15 @@ Because a context's symbols are a subset of its suffix's, what exclusion leaves
 of the suffix depends on the context alone, so it is worked out once per
 context and scoring is a table look-up per byte, whole batches at a time.
 
-Counts are gathered by one aggregation over the corpus. The broadcast model is
-bounded by ``MAX_GRAMS`` entries an order, the most frequent ones; contexts left
-out back off to shorter ones. The word base score sends the ``HEAD_WORDS`` most
-frequent words (of at most ``HEAD_BYTES`` bytes each) to the tasks; the counts
-of all others are joined, exactly, from the aggregated table.
+Counts are gathered by one aggregation over the corpus, and no entry is left
+out. The ``HEAD_GRAMS`` most frequent entries of the longest order go to the
+tasks with their probabilities, which spares most bytes a shuffle. All other
+bytes are dealt, with the whole table, by the last ``BASE`` + 1 bytes of their
+context: every longer context of a byte is then in its partition, which works
+out the longer orders from its share of the table; the shorter orders, whose
+size the alphabet bounds, are broadcast whole. The word base score sends the
+``HEAD_WORDS`` most frequent words (of at most ``HEAD_BYTES`` bytes each) to the
+tasks; the counts of all others are joined, exactly, from the aggregated table.
 
 Defined results: null text counts as empty (its only token is the end); a null
 id counts as '' for the fold; with no training rows N and V are 0 and each byte
@@ -38,7 +42,11 @@ from pyspark.sql import functions as F
 from .common import crc_mod, map_arrow, materialise, slices, text_bytes
 
 ORDER = 5
-MAX_GRAMS = 1_250_000
+#: The longest of the orders that are broadcast whole.
+BASE = 2
+HEAD_GRAMS = 1_250_000
+#: Grams of the longest order in a partition of the table, about.
+BLOCK_GRAMS = 100_000
 HEAD_WORDS = 200_000
 HEAD_BYTES = 64
 FOLDS = 7
@@ -120,19 +128,28 @@ class Table:
         return out
 
 
+def levels_of(keys: np.ndarray, counts: np.ndarray, order: int, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, counts, context totals) of the orders ``least`` to ``order``,
+    shortest first, from the grams of the longest."""
+    levels = []
+    for k in range(order, least - 1, -1):
+        _, of = np.unique(keys >> np.uint64(8), return_inverse=True)
+        levels.append((keys, counts, np.bincount(of, counts)[of]))
+        keys, counts = np.unique(keys & np.uint64((1 << 8 * k) - 1), return_counts=True)
+    return levels[::-1]
+
+
 class Model:
     """Tables by order: ``levels[k]`` = (keys, counts, totals) of (context of k
     bytes, symbol), totals being the whole count of the context, entries that
-    are not kept included; their share is added to the context's escape."""
-
-    def __init__(self, levels: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        self.grams, self.weight, self.contexts, self.facts = [], [], [], []
-        kept = below = None
-        for k, (keys, counts, totals) in enumerate(levels):
-            if kept is not None:  # a gram needs its suffix
-                known = np.isin(keys & np.uint64((1 << 8 * k) - 1), kept)
-                keys, counts, totals = keys[known], counts[known], totals[known]
-            kept = keys
+    are not given included; their share is added to the context's escape. With
+    ``base`` the levels continue those of that model."""
+
+    def __init__(self, levels: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], base: Model | None = None) -> None:
+        parts = ("grams", "weight", "contexts", "facts")
+        self.grams, self.weight, self.contexts, self.facts = ([*getattr(base, p)] if base else [] for p in parts)
+        self.counts = base.counts if base else None
+        for k, (keys, counts, totals) in enumerate(levels, len(self.grams)):
             table = Table(keys)
             contexts, first, of = np.unique(keys >> np.uint64(8), return_index=True, return_inverse=True)
             n = totals[first].astype(float)
@@ -141,7 +158,7 @@ class Model:
             if k:  # what stays of the suffix once this context's symbols are ruled out
                 parent = self.contexts[-1].find(contexts & np.uint64((1 << 8 * (k - 1)) - 1))
                 suffix = self.grams[-1].find(keys & np.uint64((1 << 8 * k) - 1))
-                n_left = self.facts[-1][0][parent] - np.bincount(of, below[suffix], len(contexts))
+                n_left = self.facts[-1][0][parent] - np.bincount(of, self.counts[suffix], len(contexts))
                 e_left = self.facts[-1][1][parent] - DISCOUNT * d
             else:
                 n_left, e_left = SYMBOLS - d, np.zeros(len(contexts))
@@ -149,11 +166,11 @@ class Model:
             self.grams.append(table)
             self.weight.append(np.log10(counts - DISCOUNT)[table.order].astype(np.float32))
             self.contexts.append(place)
-            self.facts.append([x[place.order] for x in (n, escape, n_left, e_left)])
-            below = counts[table.order].astype(float)
+            # one more, for the position -1 of what is absent
+            self.facts.append([np.r_[x[place.order], 0.0] for x in (n, escape, n_left, e_left)])
+            self.counts = counts[table.order].astype(float)
             del table.order, place.order, keys, counts, totals, contexts, first, of
         self.order = len(self.grams) - 1
-        self.facts = [[x.astype(np.float32) for x in level] for level in self.facts]
         # at the longest order, the whole probability at once
         place = self.contexts[-1].find(self.grams[-1].keys[:-1] >> np.uint64(8))
         self.direct = (self.weight[-1] - np.log10(self.facts[-1][0][place])).astype(np.float32)
@@ -189,13 +206,28 @@ class Model:
         out[left] -= np.log10(np.maximum(n, 1))  # the bytes that no context has shown
         return out
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(texts))
+
+class Head:
+    """Frequent grams of the longest order and their log10 probabilities."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, order: int) -> None:
+        self.grams, self.order = Table(keys), order
+        self.direct = np.r_[(np.log10(counts - DISCOUNT) - np.log10(totals))[self.grams.order], 0.0].astype(np.float32)
+        del self.grams.order
+
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sum of each text over the bytes known here, the keys of all other
+        bytes, and where those of each text begin and end."""
+        out, missed, rows = np.zeros(len(texts)), [np.zeros(0, np.uint64)], np.zeros(len(texts) + 1, np.int64)
         for group in units(texts, self.order):
-            values = self.log10(gram_keys(group, self.order))
+            keys = gram_keys(group, self.order)
+            at = self.grams.find(keys)
             starts = np.r_[0, np.cumsum([len(body) for _, _, body in group])[:-1]]
-            np.add.at(out, [row for row, _, _ in group], np.add.reduceat(values, starts))
-        return out
+            row = [r for r, _, _ in group]
+            np.add.at(out, row, np.add.reduceat(self.direct[at].astype(float), starts))
+            np.add.at(rows, np.array(row) + 1, np.add.reduceat((at < 0).astype(np.int64), starts))
+            missed.append(keys[at < 0])
+        return out, np.concatenate(missed), np.cumsum(rows)
 
 
 def _counted(order: int):
@@ -263,29 +295,72 @@ def _least_count(table: DataFrame, most: int) -> int:
     return 1
 
 
-def trie_levels(counts: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(keys, counts, context totals) of each order, shortest first, at most
-    ``max_grams`` entries an order; one order at a time is on the driver."""
-    levels = [counts.where("gram >= 0").select("gram", "n")]
-    for k in range(order - 1, -1, -1):
-        suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
-        levels.append(materialise(levels[-1].groupBy(suffix.alias("gram")).agg(F.count("*").alias("n")), f"lm_order_{k}"))
-    while levels:
-        yield _fetched(levels.pop(), max_grams)
+def _fetched(rows: DataFrame) -> list[np.ndarray]:
+    """The columns of ``rows``, by the first one, a gram key."""
+    found = rows.toArrow()
+    keys = found.column(0).to_numpy().astype(np.uint64)
+    by = np.argsort(keys)
+    return [keys[by], *(c.to_numpy()[by] for c in found.columns[1:])]
 
 
-def _fetched(level: DataFrame, max_grams: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def head_of(grams: DataFrame, order: int, most: int) -> Head:
+    """The ``most`` most frequent grams, or fewer where counts are equal."""
     context = F.shiftright("gram", 8)
-    kept = level.where(F.col("n") >= _least_count(level, max_grams))
-    totals = level.groupBy(context.alias("c")).agg(F.sum("n").alias("total"))
-    rows = kept.join(totals, context == F.col("c")).select("gram", "n", "total").toArrow()
-    keys = rows.column(0).to_numpy().astype(np.uint64)
-    by = np.argsort(keys)
-    return keys[by], rows.column(1).to_numpy()[by], rows.column(2).to_numpy()[by]
+    kept = grams.where(F.col("n") >= _least_count(grams, most))
+    totals = grams.groupBy(context.alias("c")).agg(F.sum("n").alias("total"))
+    return Head(*_fetched(kept.join(totals, context == F.col("c")).select("gram", "n", "total")), order)
+
+
+def base_of(grams: DataFrame, order: int) -> Model | None:
+    """The whole model of the orders up to ``BASE`` (below ``order``)."""
+    base = min(BASE, order - 1)
+    if base < 0:
+        return None
+    longer = grams.select(F.col("gram").bitwiseAND(F.lit((1 << 8 * (base + 2)) - 1)).alias("gram")).distinct()
+    rows = longer.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (base + 1)) - 1)).alias("gram")).agg(F.count("*").alias("n"))
+    return Model(levels_of(*_fetched(rows), base, 0))
+
+
+def _answered(base, order: int):
+    """Rows (gram, -count), which make the model, then (gram, row) by row, to
+    (row, sum of log10 probabilities)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, machine = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], None
+        for batch in batches:
+            grams, what = batch.column(0).to_numpy().astype(np.uint64), batch.column(1).to_numpy()
+            n = int(np.searchsorted(what, 0))
+            keys.append(grams[:n])
+            counts.append(-what[:n])
+            if n == len(what):
+                continue
+            if machine is None:
+                keys, counts = np.concatenate(keys), np.concatenate(counts)
+                by = np.argsort(keys)
+                least = 0 if base is None else base.value.order + 1
+                machine = Model(levels_of(keys[by], counts[by], order, least), base and base.value)
+                keys, counts = [], []
+            rows, first = np.unique(what[n:], return_index=True)
+            sums = np.add.reduceat(machine.log10(grams[n:]), first)
+            yield pa.record_batch([pa.array(rows), pa.array(sums)], names=["row", "more_score"])
+
+    return run
+
+
+def answers(asked: DataFrame, grams: DataFrame, order: int) -> DataFrame:
+    """(row, more_score): for the rows (row, gram) asked, their sums of log10
+    probabilities under the whole table ``grams``, in parts."""
+    model = base_of(grams, order)
+    base = None if model is None else grams.sparkSession.sparkContext.broadcast(model)
+    blocks = max(1, -(-grams.count() // BLOCK_GRAMS))
+    both = grams.select("gram", (-F.col("n")).alias("what")).union(asked.select("gram", F.col("row").alias("what")))
+    block = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * (min(BASE, order - 1) + 1)) - 1))
+    dealt = both.repartition(blocks, block).sortWithinPartitions("what")
+    return map_arrow(dealt, _answered(base, order), "row bigint, more_score double")
 
 
 def _scored(model, head, ends: int):
-    """One pass: the model's score, and the base score's part that the head words give."""
+    """One pass: the part of both scores that the head grams and words give, and what they lack."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -309,17 +384,19 @@ def _scored(model, head, ends: int):
                 counts += [m for _, m in rest]
                 offsets.append(len(words))
             tail = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["word", "n"]))
+            scores, missed, starts = machine.scores(texts)
+            grams = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(missed.view(np.int64)))
             rows = np.arange(row, row + len(texts))
             row += len(texts)
             yield pa.record_batch(
-                [pa.array(rows, pa.int64()), batch.column(0), batch.column(1), pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array(sums), pa.array(machine.scores(texts)), tail],
-                names=["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "tail"],
+                [pa.array(rows, pa.int64()), batch.column(0), batch.column(1), pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array(sums), pa.array(scores), tail, grams],
+                names=["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "tail", "grams"],
             )
 
     return run
 
 
-def score(docs: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS, head_words: int = HEAD_WORDS) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, head_grams: int = HEAD_GRAMS, head_words: int = HEAD_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     held_out = crc_mod("doc_id", FOLDS) == HELD_OUT
@@ -328,7 +405,8 @@ def score(docs: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS, head_
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = counts.where("gram = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total, distinct = total + ends, distinct + (ends > 0)
-    model = spark.sparkContext.broadcast(Model(trie_levels(counts, order, max_grams)))
+    grams = counts.where("gram >= 0").select("gram", "n")
+    model = spark.sparkContext.broadcast(head_of(grams, order, head_grams))
     short = words.where(F.octet_length("word") <= HEAD_BYTES)
     least = _least_count(short, head_words)
     in_head = (F.octet_length("word") <= HEAD_BYTES) & (F.col("n") >= least)
@@ -336,18 +414,21 @@ def score(docs: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS, head_
     head = spark.sparkContext.broadcast(dict(zip(text_bytes(top.column(0)), top.column(1).to_pylist())))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out.alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    schema = f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, logs double, score double, tail array<struct<word: binary, n: bigint>>"
+    schema = f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, logs double, score double, tail array<struct<word: binary, n: bigint>>, grams array<bigint>"
     found = materialise(map_arrow(rows, _scored(model, head, ends), schema), "lm_scored")
     tail = found.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.n").alias("times"))
     rare = words.where(~in_head)
-    more = tail.join(rare, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
+    from_words = tail.join(rare, "word").select("row", F.col("times").alias("more"), (F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"), F.lit(0.0).alias("more_score"))
+    asked = found.select("row", F.explode("grams").alias("gram"))
+    from_grams = answers(asked, grams, order).select("row", F.lit(0).cast("bigint").alias("more"), F.lit(0.0).alias("more_logs"), "more_score")
+    more = from_words.union(from_grams).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more", "more_logs", "more_score")])
     log_all = float(np.log10(total + distinct + 1))
-    return found.drop("tail").join(more, "row", "left").select(
+    return found.drop("tail", "grams").join(more, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * log_all).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

@@ -2,6 +2,7 @@
 with nulls, empty and long texts, ties, repeated rows, empty tables and clashing
 column names."""
 
+import functools
 import hashlib
 import io
 import itertools
@@ -502,6 +503,38 @@ def test_ppm_scores(spark, docs, none):
     assert {(r["n_known"], round(r["score"], 6)) for r in ppm.score(lonely).collect()} == {(0, round(-3 * math.log10(256), 6))}
 
 
+def test_ppm_scores_use_every_gram(spark, docs):
+    order, rows = 5, corpus()
+    held = [zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 == 2 for r in rows]
+    texts = [b"\xfe" * order + (r[1] or "").encode() + b"\xff" for r in rows]
+    grams = Counter(t[i - order : i + 1] for t, h in zip(texts, held) if not h for i in range(order, len(t)))
+    seen = [None] * (order + 1)
+    for k in range(order, -1, -1):
+        seen[k] = {}
+        for g, n in grams.items():
+            seen[k].setdefault(g[:-1], {})[g[-1]] = n
+        grams = Counter(g[1:] for g in grams)
+
+    @functools.cache
+    def brute(gram):
+        out, logs = set(), 0.0
+        for k in range(order, -1, -1):
+            symbols = seen[k].get(gram[order - k : -1], {})
+            left = {s: n for s, n in symbols.items() if s not in out}
+            total = sum(left.values())
+            if gram[-1] in left:
+                return logs + math.log10((left[gram[-1]] - 0.5) / total)
+            logs += math.log10(0.5 * len(left) / total) if left else 0
+            out |= symbols.keys()
+        return logs - math.log10(256 - len(out))
+
+    expected = sorted((str(r[0]), math.fsum(brute(t[i - order : i + 1]) for i in range(order, len(t)))) for r, t in zip(rows, texts))
+    for head in (50, 1_000_000):  # positional: how many grams are at hand changes nothing
+        found = sorted((str(r["doc_id"]), r["score"]) for r in ppm.score(docs, order, head).collect())
+        assert len(found) == len(expected)
+        assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-5 * abs(b[1]) for a, b in zip(found, expected))
+
+
 def test_pipeline_stages(spark, tmp_path):
     tables = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{tables}/documents.parquet")
