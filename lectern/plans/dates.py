@@ -25,8 +25,8 @@ def _calendar(t):
     return cal.calendar(t.region.sparkSession, *_YEARS, "ES-MD")
 
 
-def _day(t, rows=4000):
-    return t.orders.where(F.col("o_orderkey") <= rows).select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+def _day(t):
+    return t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("day"))
 
 
 @query("i1_add_months", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + to_months(CAST(o_orderkey % 25 AS INT) - 12) AS DATE) AS day FROM orders")
