@@ -12,7 +12,7 @@ from .registry import query
 
 def _paper(t):
     """Paperwork written from the orders: each has a kind, dates, amounts and a number."""
-    o = t.orders.where("o_orderkey <= 3000").select("o_orderkey", "o_totalprice", F.to_date("o_orderdate").alias("d"))
+    o = t.orders.select("o_orderkey", "o_totalprice", F.to_date("o_orderdate").alias("d"))
     day = lambda n: F.date_format(F.date_add("d", n), "dd/MM/yyyy")
     amount = F.translate(F.format_number("o_totalprice", 2), ",.", ".,")
     key = F.col("o_orderkey").cast("string")

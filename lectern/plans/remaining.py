@@ -93,7 +93,7 @@ def merged_units(t):
 
 @query("n4_assigned_roles", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + to_days(30) AS DATE) AS due, CAST(o_orderdate AS DATE) AS issued FROM orders WHERE o_orderkey <= 3000")
 def assigned_roles(t):
-    o = t.orders.where("o_orderkey <= 3000").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
+    o = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("d"))
     day = lambda n: F.date_format(F.date_add("d", n), "dd/MM/yyyy")
     text = F.concat(F.lit("Invoice date: "), day(0), F.lit(" and due date: "), day(30))
     found = extraction.find_dates(o.select("o_orderkey", text.alias("text")), "o_orderkey", "text")

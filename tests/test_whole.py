@@ -16,6 +16,10 @@ WHOLE = {
         ("i4_find_dates", "i10_add_working_days", "i11_next_working_day", "i12_working_days_between", "i13_delivery_day", "i15_admin_deadline", "i22_count_working_days"),
         (LARGER, {" WHERE o_orderkey <= 4000": ""}),
     ),
+    **dict.fromkeys(
+        ("n2_kinds", "n3_dated_facts", "n4_assigned_roles", "n6_first_of_roles", "n7_periods", "n8_chosen_amount", "n9_references", "n10_issuers", "n11_deadlines"),
+        (LARGER, {" WHERE o_orderkey <= 3000 AND": " WHERE", " WHERE o_orderkey <= 3000": "", "o_orderkey BETWEEN 10 AND 3000": "o_orderkey >= 10"}),
+    ),
 }
 
 
@@ -38,3 +42,9 @@ def test_whole_table(spark, name):
     names = [d[0] for d in found.description]
     expected = sorted(str(tuple(map(plain, r))) for r in found.fetchall())
     assert expected == sorted(str(tuple(map(plain, r))) for r in plans.QUERIES[name](spark, folder).select(*names).collect())
+
+
+def test_every_order_is_a_document(spark):
+    found = plans.QUERIES["n1_extract_documents"](spark, LARGER).select("o_orderkey").collect()
+    expected = tables(LARGER).execute("SELECT o_orderkey FROM orders ORDER BY 1").fetchall()
+    assert sorted(r["o_orderkey"] for r in found) == [r[0] for r in expected]
