@@ -216,7 +216,7 @@ def tag_affinity(t):
     SELECT l_orderkey, l_linenumber, l_partkey, CAST(fl + CASE WHEN k <= rest THEN 1 ELSE 0 END AS BIGINT) AS share FROM f""",
 )
 def largest_remainder(t):
-    rows = t.lineitem.where("l_orderkey <= 400").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     return grouping.largest_remainder(rows, "l_orderkey", ["l_linenumber", "l_partkey"], "l_quantity", F.lit(1000)).select("l_orderkey", "l_linenumber", "l_partkey", "share")
 
 

@@ -20,6 +20,7 @@ WHOLE = {
         ("n2_kinds", "n3_dated_facts", "n4_assigned_roles", "n6_first_of_roles", "n7_periods", "n8_chosen_amount", "n9_references", "n10_issuers", "n11_deadlines"),
         (LARGER, {" WHERE o_orderkey <= 3000 AND": " WHERE", " WHERE o_orderkey <= 3000": "", "o_orderkey BETWEEN 10 AND 3000": "o_orderkey >= 10"}),
     ),
+    "d21_largest_remainder": (LARGER, {" WHERE l_orderkey <= 400": ""}),
 }
 
 
