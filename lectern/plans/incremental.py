@@ -84,7 +84,7 @@ def reminders(t):
     """WITH RECURSIVE r AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey <= 2000 UNION ALL SELECT o_orderkey, CAST(d + to_months(1) AS DATE) FROM r WHERE d <= DATE '1998-01-15') SELECT o_orderkey, max(d) AS day FROM r GROUP BY o_orderkey""",
 )
 def rolled_forward(t):
-    rows = t.orders.where("o_orderkey <= 2000").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
+    rows = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("d"))
     return rows.select("o_orderkey", times.rolled_forward(F.col("d"), 1, F.lit("1998-01-15").cast("date")).alias("day"))
 
 

@@ -130,9 +130,8 @@ def vtt_and_lrc(t):
 
 @query("a24_calendar_round_trip", "SELECT o_custkey, CAST(o_orderkey AS VARCHAR) AS uid, 'Order ' || o_orderkey || ', ' || o_orderstatus AS summary, strftime(o_orderdate, '%Y%m%d') AS start FROM orders WHERE o_custkey <= 100")
 def calendar_round_trip(t):
-    o = t.orders.where("o_custkey <= 100")
     key = F.col("o_orderkey").cast("string")
-    text = sinks.ics(o, "o_custkey", key, F.to_date("o_orderdate"), F.concat(F.lit("Order "), key, F.lit(", "), "o_orderstatus"))
+    text = sinks.ics(t.orders, "o_custkey", key, F.to_date("o_orderdate"), F.concat(F.lit("Order "), key, F.lit(", "), "o_orderstatus"))
     return feeds.parse_calendars(text, "o_custkey", "text").select("o_custkey", "uid", "summary", "start")
 
 

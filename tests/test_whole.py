@@ -2,6 +2,7 @@
 those, and against brute force where there is no SQL."""
 
 import os
+import re
 
 import pytest
 from test_queries import plain
@@ -20,7 +21,13 @@ WHOLE = {
         ("n2_kinds", "n3_dated_facts", "n4_assigned_roles", "n6_first_of_roles", "n7_periods", "n8_chosen_amount", "n9_references", "n10_issuers", "n11_deadlines"),
         (LARGER, {" WHERE o_orderkey <= 3000 AND": " WHERE", " WHERE o_orderkey <= 3000": "", "o_orderkey BETWEEN 10 AND 3000": "o_orderkey >= 10"}),
     ),
+    "a24_calendar_round_trip": (LARGER, {" WHERE o_custkey <= 100": ""}),
     "d21_largest_remainder": (LARGER, {" WHERE l_orderkey <= 400": ""}),
+    "e5_series_order": (LARGER, {" WHERE l_orderkey < 4000": ""}),
+    "h20_page_ranges": (LARGER, {" WHERE o_custkey < 120": ""}),
+    "h29_tracking_number": (LARGER, {" WHERE o_orderkey < 5000": ""}),
+    "o9_rolled_forward": (LARGER, {" WHERE o_orderkey <= 2000": ""}),
+    "r4_waveform_peaks": ("/root/testdata/sf0.1", {" WHERE vec_id < 500": "", "/ 500.0": "/ (SELECT count(*) FROM embeddings)"}),
 }
 
 
@@ -49,3 +56,14 @@ def test_every_order_is_a_document(spark):
     found = plans.QUERIES["n1_extract_documents"](spark, LARGER).select("o_orderkey").collect()
     expected = tables(LARGER).execute("SELECT o_orderkey FROM orders ORDER BY 1").fetchall()
     assert sorted(r["o_orderkey"] for r in found) == [r[0] for r in expected]
+
+
+def test_every_customer_name_is_compared(spark):
+    found = {r["c_custkey"]: r["score"] for r in plans.QUERIES["g11_name_similarity"](spark, LARGER).collect()}
+    expected = {}
+    for key, name in tables(LARGER).execute("SELECT c_custkey, c_name FROM customer").fetchall():
+        a = set(re.findall("[a-z0-9]+", name.lower()))
+        b = {"c", *re.findall("[a-z0-9]+", re.sub("^.*#0*", "", name))}
+        initials = sum(len(w) == 1 and any(v.startswith(w) for v in b - a) for w in a - b)
+        expected[key] = round(min(1.0, (len(a & b) + 0.5 * initials) / len(a | b)), 4)
+    assert found == expected
