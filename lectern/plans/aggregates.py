@@ -178,7 +178,7 @@ def decimal_mark_vote(t):
     SELECT conv_id, round(CAST(sum(levenshtein(truth, seen)) AS DOUBLE) / sum(length(truth)), 4) AS cer, count(*) FILTER (length(trim(seen)) = 0) AS empty, count(*) AS pages FROM p GROUP BY conv_id""",
 )
 def character_error_rate(t):
-    p = t.conversations.select("conv_id", F.left("text", F.lit(120)).alias("truth"), F.left(F.replace(F.replace(F.col("text"), F.lit("e"), F.lit("c")), F.lit("th"), F.lit("h")), F.lit(120)).alias("seen"))
+    p = t.conversations.select("conv_id", F.col("text").alias("truth"), F.replace(F.replace(F.col("text"), F.lit("e"), F.lit("c")), F.lit("th"), F.lit("h")).alias("seen"))
     wrong = F.sum(F.levenshtein("truth", "seen")) / F.sum(F.length("truth"))
     return p.groupBy("conv_id").agg(F.round(wrong, 4).alias("cer"), F.count_if(F.length(F.trim("seen")) == 0).alias("empty"), F.count("*").alias("pages"))
 

@@ -22,6 +22,7 @@ WHOLE = {
         (LARGER, {" WHERE o_orderkey <= 3000 AND": " WHERE", " WHERE o_orderkey <= 3000": "", "o_orderkey BETWEEN 10 AND 3000": "o_orderkey >= 10"}),
     ),
     "a24_calendar_round_trip": (LARGER, {" WHERE o_custkey <= 100": ""}),
+    "d18_character_error_rate": (LARGER, {"left(text, 120)": "text", "left(replace(replace(text, 'e', 'c'), 'th', 'h'), 120)": "replace(replace(text, 'e', 'c'), 'th', 'h')"}),
     "d21_largest_remainder": (LARGER, {" WHERE l_orderkey <= 400": ""}),
     "e5_series_order": (LARGER, {" WHERE l_orderkey < 4000": ""}),
     "h20_page_ranges": (LARGER, {" WHERE o_custkey < 120": ""}),
