@@ -111,7 +111,7 @@ def github_feed(t):
 
 
 def _cues(t):
-    one_line = F.trim(F.regexp_replace(F.substring("text", 1, 30), r"\s+", " "))
+    one_line = F.trim(F.regexp_replace("text", r"\s+", " "))
     return t.conversations.select("conv_id", "turn", (F.col("turn") * 2.5).alias("s"), (F.col("turn") * 2.5 + 2).alias("e"), one_line.alias("text"))
 
 

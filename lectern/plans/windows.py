@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import retrieval, windows
 from .registry import query
 
@@ -77,13 +78,13 @@ def min_max_scaled(t):
 def rolling_caption_dedupe(t):
     from ..operators.media import rolling_dedupe
 
-    cues = t.conversations.select("conv_id", "turn", F.concat(F.col("role"), F.lit(" "), F.substring("text", 1, 3)).alias("text"))
+    cues = t.conversations.select("conv_id", "turn", F.concat(F.col("role"), F.lit(" "), tx.squeeze(F.col("text"))).alias("text"))
     return rolling_dedupe(cues, "conv_id", "turn", "text")
 
 
 def _cues(t):
     at = F.col("turn").cast("double") * 7 + F.when(F.col("conv_id") % 3 == 0, F.col("turn").cast("double")).otherwise(0.0)
-    return t.conversations.select("conv_id", "turn", at.alias("s"), (at + 5 + F.length("text") % 3).alias("e"), F.substring("text", 1, 20).alias("text"))
+    return t.conversations.select("conv_id", "turn", at.alias("s"), (at + 5 + F.length("text") % 3).alias("e"), tx.squeeze(F.col("text")).alias("text"))
 
 
 @query("e9_timed_paragraphs")

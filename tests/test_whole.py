@@ -8,6 +8,8 @@ import pytest
 from test_queries import plain
 
 from lectern import plans
+from lectern.plans import sources
+from lectern.tables import Tables
 
 LARGER = "/root/testdata/sf0.01"
 
@@ -68,3 +70,40 @@ def test_every_customer_name_is_compared(spark):
         initials = sum(len(w) == 1 and any(v.startswith(w) for v in b - a) for w in a - b)
         expected[key] = round(min(1.0, (len(a & b) + 0.5 * initials) / len(a | b)), 4)
     assert found == expected
+
+
+def one_line(text):
+    return re.sub(r"\s+", " ", text).strip(" ")
+
+
+def test_captions_hold_the_whole_text(spark):
+    turns = tables(LARGER).execute("SELECT conv_id, turn, role, text FROM conversations ORDER BY ALL").fetchall()
+    expected = {}
+    for conv, turn, role, text in turns:
+        kept, line = expected.setdefault(conv, []), f"{role} {one_line(text)}".strip()
+        if any(line == old for _, old in kept[-3:]):
+            continue
+        if kept and line.startswith(kept[-1][1]):
+            kept[-1] = (kept[-1][0], line)
+        else:
+            kept.append((turn, line))
+    found = plans.QUERIES["e8_rolling_caption_dedupe"](spark, LARGER).select("conv_id", "turn", "text").collect()
+    assert sorted(map(tuple, found)) == sorted((k, *row) for k, rows in expected.items() for row in rows)
+
+
+def test_paragraphs_and_subtitles_hold_the_whole_text(spark):
+    turns = tables(LARGER).execute("SELECT conv_id, turn, text FROM conversations ORDER BY ALL").fetchall()
+    expected, spoken = {}, {}
+    for conv, turn, text in turns:
+        s, line = turn * 7.0 + (turn if conv % 3 == 0 else 0), one_line(text)
+        e, done = s + 5 + len(text) % 3, expected.setdefault(conv, [])
+        spoken[conv, turn] = line
+        a, b, said = done[-1] if done else (0.0, 0.0, "")
+        if not done or s - b >= 2 or (b - a >= 30 and said[-1:] in tuple(".!?…")) or e - a > 60:
+            done.append((s, e, line))
+        else:
+            done[-1] = (a, e, f"{said} {line}")
+    found = plans.QUERIES["e9_timed_paragraphs"](spark, LARGER).select("conv_id", "paragraph", "start", "end", "text").collect()
+    assert sorted(map(tuple, found)) == sorted((k, i, *p) for k, rows in expected.items() for i, p in enumerate(rows))
+    cues = sources._cues(Tables(spark, LARGER)).select("conv_id", "turn", "text").collect()
+    assert {(r["conv_id"], r["turn"]): r["text"] for r in cues} == spoken
