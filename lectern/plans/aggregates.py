@@ -69,7 +69,7 @@ def site_facets(t):
 def digest_by_site(t):
     from ..functions.urls import site_of
 
-    rows = t.pages.where("page_id >= 20").select(site_of(F.col("url")).alias("site"), "page_id")
+    rows = t.pages.select(site_of(F.col("url")).alias("site"), "page_id")
     return grouping.digest(rows, "site", F.col("page_id"), 3).select("site", "n", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
 
 

@@ -82,9 +82,8 @@ def to_markdown(t):
 
 @query("m12_markdown_to_text", "SELECT conv_id, turn, trim(text, ' ') AS text FROM conversations WHERE NOT regexp_matches(text, '[*_`#\\[]|\\n *([-*+>]|[0-9]+\\.) |^ *([-*+>]|[0-9]+\\.) |\\n{3,}')")
 def markdown_to_text(t):
-    rows = t.conversations.where(~F.col("text").rlike(r"[*_`#\[]|\n *([-*+>]|[0-9]+\.) |^ *([-*+>]|[0-9]+\.) |\n{3,}"))
     marked = F.concat(F.lit("## "), F.regexp_replace("text", "^", ""), F.lit(" **") , F.lit("** "))
-    return rows.select("conv_id", "turn", F.trim(markup.markdown_to_text(marked)).alias("text"))
+    return t.conversations.select("conv_id", "turn", F.trim(markup.markdown_to_text(marked)).alias("text"))
 
 
 @query(

@@ -35,8 +35,7 @@ def price_counts(t):
 
 @query("j4_formatted_money", "SELECT o_orderkey, translate(format('{:,.2f}', o_totalprice), ',.', '.,') || ' €' AS shown FROM orders WHERE abs(o_totalprice * 1000 % 10 - 5) > 0.01")
 def formatted_money(t):
-    sure = t.orders.where(F.abs(F.col("o_totalprice") * 1000 % 10 - 5) > 0.01)
-    return sure.select("o_orderkey", money.format_money(F.col("o_totalprice"), "es").alias("shown"))
+    return t.orders.select("o_orderkey", money.format_money(F.col("o_totalprice"), "es").alias("shown"))
 
 
 @query("j5_currency_of", "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' WHEN 2 THEN 'GBP' ELSE '' END AS currency FROM nation")

@@ -44,11 +44,12 @@ def sniffed(t):
 
 @query("a5_decoded", "SELECT conv_id, turn, md5(text) AS text FROM conversations WHERE length(regexp_replace(text, '[ -ÿ]|\\n', '', 'g')) = 0")
 def decoded(t):
-    rows = t.conversations.where(F.length(F.regexp_replace("text", "[ -ÿ]|\n", "")) == 0)
     kind = F.col("turn") % 3
-    data = F.when(kind == 0, F.encode("text", "UTF-8")).when(kind == 1, F.encode("text", "UTF-16")).otherwise(F.encode(F.concat(F.lit("é"), "text"), "ISO-8859-1"))
+    data = F.when(kind == 0, F.encode("text", "UTF-8")).when(kind == 1, F.encode("text", "UTF-16"))
+    marked, western = F.concat(F.lit("é"), "text"), F.col("text").rlike(r"^[\x00-\x7f\xa0-\xff]*\z")  # other texts have no such bytes
+    data = data.when(western, F.encode(marked, "ISO-8859-1")).otherwise(F.encode(marked, "UTF-8"))
     text = files.decoded(data)
-    return rows.select("conv_id", "turn", F.md5(F.when(kind == 2, F.substring(text, 2, 1_000_000)).otherwise(text)).alias("text"))
+    return t.conversations.select("conv_id", "turn", F.md5(F.when(kind == 2, F.substr(text, F.lit(2))).otherwise(text)).alias("text"))
 
 
 @query(

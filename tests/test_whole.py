@@ -1,6 +1,7 @@
 """Queries against their SQL without its row bounds, on tables that reach beyond
 those, and against brute force where there is no SQL."""
 
+import hashlib
 import os
 import re
 
@@ -26,6 +27,7 @@ WHOLE = {
     "a24_calendar_round_trip": (LARGER, {" WHERE o_custkey <= 100": ""}),
     "d18_character_error_rate": (LARGER, {"left(text, 120)": "text", "left(replace(replace(text, 'e', 'c'), 'th', 'h'), 120)": "replace(replace(text, 'e', 'c'), 'th', 'h')"}),
     "d21_largest_remainder": (LARGER, {" WHERE l_orderkey <= 400": ""}),
+    "d6_digest_by_site": (LARGER, {" WHERE page_id >= 20": ""}),
     "e5_series_order": (LARGER, {" WHERE l_orderkey < 4000": ""}),
     "h20_page_ranges": (LARGER, {" WHERE o_custkey < 120": ""}),
     "h29_tracking_number": (LARGER, {" WHERE o_orderkey < 5000": ""}),
@@ -107,3 +109,26 @@ def test_paragraphs_and_subtitles_hold_the_whole_text(spark):
     assert sorted(map(tuple, found)) == sorted((k, i, *p) for k, rows in expected.items() for i, p in enumerate(rows))
     cues = sources._cues(Tables(spark, LARGER)).select("conv_id", "turn", "text").collect()
     assert {(r["conv_id"], r["turn"]): r["text"] for r in cues} == spoken
+
+
+def test_every_text_is_decoded(spark, tmp_path):
+    texts = ["plain", "caf\u00e9", "5 \u20ac, \u65e5\u672c \U0001f600", "tab\tand\r\nline", "\u0093c1", ""]
+    rows = [(i, turn, "user", text) for i, text in enumerate(texts) for turn in range(3)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = plans.QUERIES["a5_decoded"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [(i, turn, hashlib.md5(text.encode()).hexdigest()) for i, turn, _, text in rows]
+
+
+def test_half_cents_are_shown(spark, tmp_path):
+    prices = [1.005, 2.675, 0.125, 0.375, 1234.565, 1234567.895, 3.0]
+    spark.createDataFrame(list(enumerate(prices)), "o_orderkey bigint, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    found = plans.QUERIES["j4_formatted_money"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [(i, f"{p:,.2f}".translate(str.maketrans(",.", ".,")) + " \u20ac") for i, p in enumerate(prices)]
+
+
+def test_turns_with_markdown_are_read(spark, tmp_path):
+    texts = {"See [a](http://x.y) and **b**, `c`\n- item\n\n\n\nend": "See a and b, c\nitem\n\nend", "plain": "plain"}
+    rows = [(i, 0, "user", text) for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = plans.QUERIES["m12_markdown_to_text"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [(i, 0, plain) for i, plain in enumerate(texts.values())]
