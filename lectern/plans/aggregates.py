@@ -64,7 +64,7 @@ def site_facets(t):
 @query(
     "d6_digest_by_site",
     f"""SELECT site, count(*) AS n, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) FILTER (k <= 3) AS items
-    FROM (SELECT site, page_id, row_number() OVER (PARTITION BY site ORDER BY page_id) AS k FROM (SELECT page_id, regexp_replace({_HOST}, '^www\\.', '') AS site FROM pages WHERE page_id >= 20)) GROUP BY site""",
+    FROM (SELECT site, page_id, row_number() OVER (PARTITION BY site ORDER BY page_id) AS k FROM (SELECT page_id, regexp_replace({_HOST}, '^www\\.', '') AS site FROM pages)) GROUP BY site""",
 )
 def digest_by_site(t):
     from ..functions.urls import site_of
@@ -174,7 +174,7 @@ def decimal_mark_vote(t):
 
 @query(
     "d18_character_error_rate",
-    """WITH p AS (SELECT conv_id, turn, left(text, 120) AS truth, left(replace(replace(text, 'e', 'c'), 'th', 'h'), 120) AS seen FROM conversations)
+    """WITH p AS (SELECT conv_id, turn, text AS truth, replace(replace(text, 'e', 'c'), 'th', 'h') AS seen FROM conversations)
     SELECT conv_id, round(CAST(sum(levenshtein(truth, seen)) AS DOUBLE) / sum(length(truth)), 4) AS cer, count(*) FILTER (length(trim(seen)) = 0) AS empty, count(*) AS pages FROM p GROUP BY conv_id""",
 )
 def character_error_rate(t):
@@ -211,7 +211,7 @@ def tag_affinity(t):
 
 @query(
     "d21_largest_remainder",
-    """WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, 1000 * l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey) AS x, 1000 * l_quantity AS a, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS w FROM lineitem WHERE l_orderkey <= 400),
+    """WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, 1000 * l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey) AS x, 1000 * l_quantity AS a, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS w FROM lineitem),
     f AS (SELECT *, floor(x) AS fl, row_number() OVER (PARTITION BY l_orderkey ORDER BY a - floor(x) * w DESC, l_linenumber, l_partkey) AS k, 1000 - sum(floor(x)) OVER (PARTITION BY l_orderkey) AS rest FROM p)
     SELECT l_orderkey, l_linenumber, l_partkey, CAST(fl + CASE WHEN k <= rest THEN 1 ELSE 0 END AS BIGINT) AS share FROM f""",
 )

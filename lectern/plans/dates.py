@@ -49,7 +49,7 @@ def iso_day(t):
     return t.events.select("event_id", times.parse_iso(raw).alias("day"))
 
 
-@query("i4_find_dates", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, 'due' AS role FROM orders WHERE o_orderkey <= 4000")
+@query("i4_find_dates", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, 'due' AS role FROM orders")
 def find_dates(t):
     from ..operators.extraction import find_dates as run
 
@@ -86,14 +86,14 @@ def calendar(t):
 
 @query(
     "i10_add_working_days",
-    _HOLIDAYS + """SELECT o_orderkey, CASE WHEN k = 0 THEN n.day ELSE m.day END AS due FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderkey % 31 AS k FROM orders WHERE o_orderkey <= 4000) o
+    _HOLIDAYS + """SELECT o_orderkey, CASE WHEN k = 0 THEN n.day ELSE m.day END AS due FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderkey % 31 AS k FROM orders) o
     JOIN num n ON n.day = o.d LEFT JOIN num m ON m.working AND m.number = n.number + o.k""",
 )
 def add_working_days(t):
     return cal.add_working_days(_day(t), "day", F.col("o_orderkey") % 31, _calendar(t), "due").select("o_orderkey", "due")
 
 
-@query("i11_next_working_day", _HOLIDAYS + "SELECT o_orderkey, next_working AS day FROM orders JOIN num ON num.day = CAST(o_orderdate AS DATE) WHERE o_orderkey <= 4000")
+@query("i11_next_working_day", _HOLIDAYS + "SELECT o_orderkey, next_working AS day FROM orders JOIN num ON num.day = CAST(o_orderdate AS DATE)")
 def next_working_day(t):
     table = _calendar(t).select("day", "next_working")
     return _day(t).join(F.broadcast(table), "day").select("o_orderkey", F.col("next_working").alias("day"))
@@ -101,7 +101,7 @@ def next_working_day(t):
 
 @query(
     "i12_working_days_between",
-    _HOLIDAYS + """SELECT o_orderkey, CAST((b.number - b.working::INT) - (a.number - a.working::INT) AS BIGINT) AS days FROM orders JOIN num a ON a.day = CAST(o_orderdate AS DATE) JOIN num b ON b.day = DATE '1998-06-15' WHERE o_orderkey <= 4000""",
+    _HOLIDAYS + """SELECT o_orderkey, CAST((b.number - b.working::INT) - (a.number - a.working::INT) AS BIGINT) AS days FROM orders JOIN num a ON a.day = CAST(o_orderdate AS DATE) JOIN num b ON b.day = DATE '1998-06-15'""",
 )
 def working_days_between(t):
     rows = _day(t).withColumn("end", F.lit("1998-06-15").cast("date"))
@@ -110,7 +110,7 @@ def working_days_between(t):
 
 @query(
     "i13_delivery_day",
-    _HOLIDAYS + """SELECT o_orderkey, working OR (dayofweek(day) = 6 AND o_orderkey % 2 = 0) AS delivers FROM orders JOIN num ON num.day = CAST(o_orderdate AS DATE) WHERE o_orderkey <= 4000""",
+    _HOLIDAYS + """SELECT o_orderkey, working OR (dayofweek(day) = 6 AND o_orderkey % 2 = 0) AS delivers FROM orders JOIN num ON num.day = CAST(o_orderdate AS DATE)""",
 )
 def delivery_day(t):
     carrier = F.when(F.col("o_orderkey") % 2 == 0, "amazon").otherwise("seur")
@@ -126,7 +126,7 @@ def to_utc(t):
 
 @query(
     "i15_admin_deadline",
-    _HOLIDAYS + """SELECT o_orderkey, next_working AS due FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS d FROM orders WHERE o_orderkey <= 4000) JOIN num ON num.day = d""",
+    _HOLIDAYS + """SELECT o_orderkey, next_working AS due FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS d FROM orders) JOIN num ON num.day = d""",
 )
 def admin_deadline(t):
     rows = _day(t).select("o_orderkey", F.add_months("day", 1).alias("day"))
@@ -177,7 +177,7 @@ def agenda_window(t):
 
 @query(
     "i22_count_working_days",
-    _HOLIDAYS + """SELECT o_orderkey, CAST(greatest(b.number - a.number, 0) AS BIGINT) AS days FROM orders JOIN num a ON a.day = CAST(o_orderdate AS DATE) JOIN num b ON b.day = DATE '1998-06-15' WHERE o_orderkey <= 4000""",
+    _HOLIDAYS + """SELECT o_orderkey, CAST(greatest(b.number - a.number, 0) AS BIGINT) AS days FROM orders JOIN num a ON a.day = CAST(o_orderdate AS DATE) JOIN num b ON b.day = DATE '1998-06-15'""",
 )
 def count_working_days(t):
     rows = _day(t).select("o_orderkey", F.date_add("day", 1).alias("day"), F.lit("1998-06-16").cast("date").alias("end"))

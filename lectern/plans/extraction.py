@@ -31,34 +31,34 @@ def extract_documents(t):
     return extraction.extract_documents(_paper(t), "o_orderkey", "text")
 
 
-@query("n2_kinds", "SELECT o_orderkey, ['invoice', 'insurance', 'fine', 'warranty', 'other'][o_orderkey % 5 + 1] AS kind FROM orders WHERE o_orderkey <= 3000")
+@query("n2_kinds", "SELECT o_orderkey, ['invoice', 'insurance', 'fine', 'warranty', 'other'][o_orderkey % 5 + 1] AS kind FROM orders")
 def kinds(t):
     return extraction.classified(_paper(t), "o_orderkey", "text").select("o_orderkey", "kind")
 
 
 @query(
     "n3_dated_facts",
-    """SELECT o_orderkey, d AS day, ['issue', 'start', 'notified', 'purchase'][o_orderkey % 5 + 1] AS role FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey <= 3000) WHERE o_orderkey % 5 < 4
-    UNION ALL SELECT o_orderkey, CAST(d + to_days(CASE o_orderkey % 5 WHEN 0 THEN 20 ELSE 365 END) AS DATE), CASE o_orderkey % 5 WHEN 0 THEN 'due' ELSE 'end' END FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey <= 3000) WHERE o_orderkey % 5 < 2""",
+    """SELECT o_orderkey, d AS day, ['issue', 'start', 'notified', 'purchase'][o_orderkey % 5 + 1] AS role FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders) WHERE o_orderkey % 5 < 4
+    UNION ALL SELECT o_orderkey, CAST(d + to_days(CASE o_orderkey % 5 WHEN 0 THEN 20 ELSE 365 END) AS DATE), CASE o_orderkey % 5 WHEN 0 THEN 'due' ELSE 'end' END FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders) WHERE o_orderkey % 5 < 2""",
 )
 def dated_facts(t):
     return extraction.find_dates(_paper(t), "o_orderkey", "text").select("o_orderkey", "day", "role")
 
 
-@query("n6_first_of_roles", "SELECT o_orderkey, CAST(CASE o_orderkey % 5 WHEN 0 THEN d + to_days(20) ELSE d + to_days(365) END AS DATE) AS day FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey <= 3000) WHERE o_orderkey % 5 < 2")
+@query("n6_first_of_roles", "SELECT o_orderkey, CAST(CASE o_orderkey % 5 WHEN 0 THEN d + to_days(20) ELSE d + to_days(365) END AS DATE) AS day FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders) WHERE o_orderkey % 5 < 2")
 def first_of_roles(t):
     found = extraction.find_dates(_paper(t), "o_orderkey", "text").where("role in ('due', 'end')")
     order = F.when(F.col("role") == "due", 0).otherwise(1)
     return windows.first_of_each(found, ["o_orderkey"], [order.asc(), F.asc("start")]).select("o_orderkey", "day")
 
 
-@query("n7_periods", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 2 THEN 20 ELSE 36 END AS n, CASE o_orderkey % 5 WHEN 2 THEN 'day' ELSE 'month' END AS unit, CASE o_orderkey % 5 WHEN 2 THEN 'fine_discount' ELSE 'warranty' END AS purpose FROM orders WHERE o_orderkey <= 3000 AND o_orderkey % 5 IN (2, 3)")
+@query("n7_periods", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 2 THEN 20 ELSE 36 END AS n, CASE o_orderkey % 5 WHEN 2 THEN 'day' ELSE 'month' END AS unit, CASE o_orderkey % 5 WHEN 2 THEN 'fine_discount' ELSE 'warranty' END AS purpose FROM orders WHERE o_orderkey % 5 IN (2, 3)")
 def periods(t):
     make = lambda k, body: ((k, n, unit, purpose) for n, unit, _, purpose in extraction.periods_in(body or ""))
     return extraction.mapped(_paper(t), ["o_orderkey", "text"], "o_orderkey bigint, n int, unit string, purpose string", make)
 
 
-@query("n8_chosen_amount", "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 5 < 4 THEN round(CAST(o_totalprice AS DECIMAL(18, 4)), 2) END AS DOUBLE) AS amount FROM orders WHERE o_orderkey <= 3000")
+@query("n8_chosen_amount", "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 5 < 4 THEN round(CAST(o_totalprice AS DECIMAL(18, 4)), 2) END AS DOUBLE) AS amount FROM orders")
 def chosen_amount(t):
     def make(k, body):
         total, _ = extraction.chosen_amount(body or "")
@@ -67,13 +67,13 @@ def chosen_amount(t):
     return extraction.mapped(_paper(t), ["o_orderkey", "text"], "o_orderkey bigint, amount double", make)
 
 
-@query("n9_references", "SELECT o_orderkey, ['F-', 'P-', 'X-', 'O-'][o_orderkey % 5 + 1] || o_orderkey AS ref FROM orders WHERE o_orderkey BETWEEN 10 AND 3000 AND o_orderkey % 5 < 4")
+@query("n9_references", "SELECT o_orderkey, ['F-', 'P-', 'X-', 'O-'][o_orderkey % 5 + 1] || o_orderkey AS ref FROM orders WHERE o_orderkey >= 10 AND o_orderkey % 5 < 4")
 def references(t):
     make = lambda k, body: ((k, r) for r in extraction.references_in(body or "")[:1])
     return extraction.mapped(_paper(t).where("o_orderkey >= 10 and n < 4"), ["o_orderkey", "text"], "o_orderkey bigint, ref string", make)
 
 
-@query("n10_issuers", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'Aguas Claras S.L.' ELSE 'Ayuntamiento de Villa' END AS issuer FROM orders WHERE o_orderkey <= 3000 AND o_orderkey % 5 IN (0, 2)")
+@query("n10_issuers", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'Aguas Claras S.L.' ELSE 'Ayuntamiento de Villa' END AS issuer FROM orders WHERE o_orderkey % 5 IN (0, 2)")
 def issuers(t):
     make = lambda k, body: [(k, extraction.issuer_of(body or ""))]
     return extraction.mapped(_paper(t).where("n in (0, 2)"), ["o_orderkey", "text"], "o_orderkey bigint, issuer string", make)
@@ -81,7 +81,7 @@ def issuers(t):
 
 @query(
     "n11_deadlines",
-    """WITH o AS (SELECT o_orderkey, o_orderkey % 5 AS n, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey <= 3000)
+    """WITH o AS (SELECT o_orderkey, o_orderkey % 5 AS n, CAST(o_orderdate AS DATE) AS d FROM orders)
     SELECT o_orderkey, 'payment' AS kind, CAST(d + to_days(20) AS DATE) AS day FROM o WHERE n = 0 UNION ALL SELECT o_orderkey, 'renewal', CAST(d + to_days(365) AS DATE) FROM o WHERE n = 1 UNION ALL SELECT o_orderkey, 'cancel_by', CAST(CAST(d + to_days(365) AS DATE) - to_months(1) AS DATE) FROM o WHERE n = 1
     UNION ALL SELECT o_orderkey, 'fine_discount', CAST(d + to_days(20) AS DATE) FROM o WHERE n = 2 UNION ALL SELECT o_orderkey, 'warranty', CAST(d + to_months(36) AS DATE) FROM o WHERE n = 3""",
 )

@@ -81,7 +81,7 @@ def reminders(t):
 
 @query(
     "o9_rolled_forward",
-    """WITH RECURSIVE r AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey <= 2000 UNION ALL SELECT o_orderkey, CAST(d + to_months(1) AS DATE) FROM r WHERE d <= DATE '1998-01-15') SELECT o_orderkey, max(d) AS day FROM r GROUP BY o_orderkey""",
+    """WITH RECURSIVE r AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders UNION ALL SELECT o_orderkey, CAST(d + to_months(1) AS DATE) FROM r WHERE d <= DATE '1998-01-15') SELECT o_orderkey, max(d) AS day FROM r GROUP BY o_orderkey""",
 )
 def rolled_forward(t):
     rows = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("d"))

@@ -137,7 +137,7 @@ def edit_distance(t):
     return t.part.select("p_partkey", F.levenshtein("p_name", "p_type").cast("bigint").alias("distance"))
 
 
-@query("r4_waveform_peaks", "SELECT label, CAST(floor((vec_id) * 10 / 500.0) AS BIGINT) AS bucket, round(max(abs(embedding[1]::DOUBLE)), 5) AS peak FROM embeddings WHERE vec_id < 500 GROUP BY ALL")
+@query("r4_waveform_peaks", "SELECT label, CAST(floor((vec_id) * 10 / (SELECT count(*) FROM embeddings)) AS BIGINT) AS bucket, round(max(abs(embedding[1]::DOUBLE)), 5) AS peak FROM embeddings GROUP BY ALL")
 def waveform_peaks(t):
     n = t.embeddings.agg(F.count("*").alias("n"))
     rows = t.embeddings.crossJoin(F.broadcast(n)).select("label", F.floor(F.col("vec_id") * 10 / F.col("n")).alias("bucket"), F.abs(F.get("embedding", F.lit(0)).cast("double")).alias("v"))

@@ -91,7 +91,7 @@ def merged_units(t):
     return extraction.mapped(rows, ["conv_id", "titles", "texts"], "conv_id bigint, kept boolean", make)
 
 
-@query("n4_assigned_roles", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + to_days(30) AS DATE) AS due, CAST(o_orderdate AS DATE) AS issued FROM orders WHERE o_orderkey <= 3000")
+@query("n4_assigned_roles", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + to_days(30) AS DATE) AS due, CAST(o_orderdate AS DATE) AS issued FROM orders")
 def assigned_roles(t):
     o = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("d"))
     day = lambda n: F.date_format(F.date_add("d", n), "dd/MM/yyyy")

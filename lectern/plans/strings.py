@@ -113,7 +113,7 @@ def citation(t):
 
 @query(
     "h20_page_ranges",
-    """WITH e AS (SELECT o_custkey, o_orderkey % 40 AS p FROM orders WHERE o_custkey < 120 GROUP BY ALL), i AS (SELECT o_custkey, p, p - row_number() OVER (PARTITION BY o_custkey ORDER BY p) AS g FROM e),
+    """WITH e AS (SELECT o_custkey, o_orderkey % 40 AS p FROM orders GROUP BY ALL), i AS (SELECT o_custkey, p, p - row_number() OVER (PARTITION BY o_custkey ORDER BY p) AS g FROM e),
     r AS (SELECT o_custkey, min(p) AS a, max(p) AS b FROM i GROUP BY o_custkey, g)
     SELECT o_custkey, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ', ' ORDER BY a) AS pages FROM r GROUP BY o_custkey""",
 )
@@ -204,7 +204,7 @@ def card_numbers(t):
     return t.documents.select("doc_id", F.size(found).cast("bigint").alias("cards")).where("cards > 0")
 
 
-@query("h29_tracking_number", r"SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'ups' WHEN 1 THEN 'postal' ELSE '' END AS carrier FROM orders WHERE o_orderkey < 5000")
+@query("h29_tracking_number", r"SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'ups' WHEN 1 THEN 'postal' ELSE '' END AS carrier FROM orders")
 def tracking_number(t):
     from ..functions.tracking import classify
 

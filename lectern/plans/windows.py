@@ -55,7 +55,7 @@ def price_alerts(t):
 
 @query(
     "e5_series_order",
-    """SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY coalesce(CASE WHEN l_returnflag = 'R' THEN l_shipdate END, CASE WHEN l_linestatus = 'O' THEN TIMESTAMP '1998-01-01' END, TIMESTAMP '1992-01-01'), l_linenumber, l_partkey) AS place FROM lineitem WHERE l_orderkey < 4000""",
+    """SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY coalesce(CASE WHEN l_returnflag = 'R' THEN l_shipdate END, CASE WHEN l_linestatus = 'O' THEN TIMESTAMP '1998-01-01' END, TIMESTAMP '1992-01-01'), l_linenumber, l_partkey) AS place FROM lineitem""",
 )
 def series_order(t):
     at = F.coalesce(F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")), F.when(F.col("l_linestatus") == "O", F.lit("1998-01-01").cast("timestamp_ntz")), F.lit("1992-01-01").cast("timestamp_ntz"))
