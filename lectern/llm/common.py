@@ -22,9 +22,12 @@ SLICE_BYTES = 8 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session; a local one is set only where that is unset."""
+    the session. Where that is unset a local master gets a local folder; on a
+    cluster it is an error, as executors would not see each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
         folder = LOCAL_CHECKPOINTS
@@ -46,6 +49,38 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """``name``, lengthened until no column of ``tables`` has it (in any case)."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Groups that ``join_groups`` sends to every task; no other one holds more than
+#: one row in so many.
+HOT_GROUPS = 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, spread: str, most: int = HOT_GROUPS) -> DataFrame:
+    """``rows`` left-joined with ``groups`` (one row a value of ``on``, none of
+    it null) less its column ``size``, the number of rows of the group. The
+    ``most`` largest groups are broadcast, so that a group that holds a third of
+    all rows is never dealt to one task; their rows are dealt by ``spread`` and
+    meet nothing there."""
+    told = [c for c in groups.columns if c not in (on, size)]
+    hot = groups.orderBy(F.desc(size), on).limit(most).select(F.col(on).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in told])
+    hot = materialise(hot, "hot_groups")
+    kind = groups.schema[on].dataType
+    key = F.when(F.col("__hot").isNull(), F.col(on)).otherwise(F.xxhash64(spread).cast("string").cast("binary") if kind.typeName() == "binary" else F.xxhash64(spread))
+    cold = groups.join(F.broadcast(hot.select("__hot")), F.col(on) == F.col("__hot"), "left_anti")
+    cold = cold.select(F.col(on).alias("__cold"), *[F.col(c).alias(f"__cold_{c}") for c in told])
+    dealt = rows.join(F.broadcast(hot), F.col(on) == F.col("__hot"), "left").withColumn("__key", key)
+    joined = dealt.join(cold, F.col("__key") == F.col("__cold"), "left")
+    value = lambda c: F.when(F.col("__hot").isNull(), F.col(f"__cold_{c}")).otherwise(F.col(f"__hot_{c}")).alias(c)
+    return joined.select(*rows.columns, *[value(c) for c in told])
+
+
 #: What workers remember from task to task, by operator: how to drop it.
 CACHES: dict[str, Callable[[], None]] = {}
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
+from lectern.llm.common import fresh, join_groups  # noqa: E402
 from lectern.llm import decontaminate, exact_dedup, html_extract, mixing, ppm, simhash, token_counts, token_shards, toxicity, warc_zip  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, hit string, s string"
@@ -74,17 +75,43 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.exact_duplicates(none).count() == 0
 
 
-def test_patricia_trie_spills_by_subtree():
+def least_and_count(rows):
+    found = {}
+    for k, i, n in rows:
+        old = found.get(k, (None, 0))
+        found[k] = (exact_dedup._smaller(old[0], i), old[1] + n)
+    return found
+
+
+@pytest.mark.parametrize("budget", [1 << 30, 60_000, 12_000])
+def test_patricia_trie_spills_by_subtree(tmp_path, budget):
     rng = random.Random(1)
+    shared = bytes(rng.choices(b"xyz", k=20_000 if budget > 20_000 else 2_000))
     keys = [bytes(rng.choices(b"ab", k=rng.randint(0, 12))) for _ in range(3000)] + [b"aaaa" * 50 + bytes([i % 7]) for i in range(50)]
-    rows = [(k, i if i % 5 else None, 1) for i, k in enumerate(keys)]
-    expected = {}
-    for k, i, n in rows:
-        old = expected.get(k, (None, 0))
-        expected[k] = (exact_dedup._smaller(old[0], i), old[1] + n)
-    for budget in (1 << 30, 20_000, 2_000):
-        found = {k: (i, n) for k, i, n in exact_dedup.owners(iter(rows), budget)}
-        assert found == expected
+    keys += [shared + bytes(rng.choices(b"ab", k=rng.randint(0, 6))) for _ in range(300)] + [b"q" * i for i in range(150)]
+    for order in range(2):  # as they come, and shuffled: a spilled subtree may itself be spilled
+        rows = [(k, i if i % 5 else None, 1) for i, k in enumerate(keys)]
+        found = list(exact_dedup.owners(iter(rows), tmp_path.as_uri(), budget))
+        assert {k: (i, n) for k, i, n in found} == least_and_count(rows) and len(found) == len(set(keys))
+        rng.shuffle(keys)
+    assert budget > 1 << 20 or list(tmp_path.iterdir()) == []
+
+
+def test_exact_dedup_of_long_shared_beginnings(spark):
+    shared = "lorem ipsum dolor " * 1200
+    rows = [(i, shared + str(i % 40)) for i in range(200)] + [(1000 + i, "hot") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    found = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_duplicates(docs, budget=30_000).collect()}
+    assert found == {i: (i % 40, 5) for i in range(200)} | {1000 + i: (1000, 300) for i in range(300)}
+
+
+@pytest.mark.parametrize("most", [1, 3, 100])
+def test_large_groups_are_joined_apart(spark, most):
+    rows = spark.createDataFrame([(i, i % 7 if i % 3 else 0) for i in range(200)] + [(500, 99)], "id bigint, k bigint")
+    groups = rows.where("k < 50").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    found = join_groups(rows, groups, "k", "n", "id", most)
+    expected = {(r["id"], r["k"]): min(i for i in range(200) if (i % 7 if i % 3 else 0) == r["k"]) if r["k"] < 50 else None for r in rows.collect()}
+    assert {(r["id"], r["k"]): r["least"] for r in found.collect()} == expected and found.count() == 201
 
 
 def brute_fingerprint(text):
