@@ -70,7 +70,6 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, spread:
     meet nothing there."""
     told = [c for c in groups.columns if c not in (on, size)]
     hot = groups.orderBy(F.desc(size), on).limit(most).select(F.col(on).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in told])
-    hot = materialise(hot, "hot_groups")
     kind = groups.schema[on].dataType
     key = F.when(F.col("__hot").isNull(), F.col(on)).otherwise(F.xxhash64(spread).cast("string").cast("binary") if kind.typeName() == "binary" else F.xxhash64(spread))
     cold = groups.join(F.broadcast(hot.select("__hot")), F.col(on) == F.col("__hot"), "left_anti")

@@ -180,25 +180,60 @@ def brute_components(points, radius=4):
     return {frozenset(g) for g in groups.values() if len(g) > 1}
 
 
-@pytest.mark.parametrize("spread", [3, 400])
-def test_vantage_point_tree_links_all_pairs(spread):
-    points = random_links(random.Random(spread), 600, spread)
-    links = simhash.spanning_links(np.array(points, np.uint64))
+def linked(points, spanning):
     groups = {}
-    for a, b in links:
+    for a, b in zip(*map(np.ndarray.tolist, spanning)):
         groups.setdefault(b, {points[b]}).add(points[a])
-    assert {frozenset(g) for g in groups.values()} == brute_components(points)
+    return {frozenset(g) for g in groups.values()}
 
 
-@pytest.mark.parametrize("shard_rows", [50_000, 20])
-def test_shards_and_rings_lose_no_link(spark, shard_rows):
-    points = random_links(random.Random(9), 500, 60)
-    prints = spark.createDataFrame([(simhash._signed(p),) for p in points], "fp bigint")
-    roots = simhash.components(simhash.near_links(prints, shard_rows=shard_rows)).collect()
+@pytest.mark.parametrize("spread", [3, 400, 3000])
+def test_vantage_point_tree_links_all_pairs(spread):
+    points = random_links(random.Random(spread), 3000, spread)
+    assert linked(points, simhash.spanning_links(np.array(points, np.uint64))) == brute_components(points)
+
+
+def test_vantage_point_tree_takes_branches_whole():
+    """A ball of radius 2 is one component, and so is what touches it."""
+    ball = [0] + [1 << i for i in range(64)] + [1 << i | 1 << j for i in range(64) for j in range(i)]
+    points = [*ball, *(p ^ 0xFFFF << 40 for p in ball[:500])]
+    assert linked(points, simhash.spanning_links(np.array(points, np.uint64))) == brute_components(points)
+
+
+def near_groups(prints, **how):
     groups = {}
-    for a, root in roots:
+    for a, root in simhash.components(simhash.near_links(prints, **how)).collect():
         groups.setdefault(root, {root % (1 << 64)}).add(a % (1 << 64))
-    assert {frozenset(g) for g in groups.values()} == brute_components(points)
+    return {frozenset(g) for g in groups.values()}
+
+
+@pytest.mark.parametrize("how", [{}, {"tree_rows": 100}, {"tree_rows": 4}, {"shard_rows": 40}, {"tree_rows": 200, "shard_rows": 25}])
+def test_shards_rings_and_blocks_lose_no_link(spark, how):
+    points = random_links(random.Random(9), 500, 60)
+    crowd = [0xF0F0 ^ 1 << i ^ 1 << j for i in range(20) for j in range(i)]  # rings can't part it
+    points = sorted({*points, *crowd})
+    prints = spark.createDataFrame([(simhash._signed(p),) for p in points], "fp bigint")
+    assert near_groups(prints, **how) == brute_components(points)
+
+
+@pytest.mark.parametrize("rows, radius", [(20_000, 4), (10**7, 4), (10**10, 4), (10**6, 7)])
+def test_projections_meet_every_linked_pair(rows, radius):
+    rng = random.Random(rows)
+    masks = simhash.projections(rows, radius)
+    assert max(m.bit_count() for m in masks) >= math.log2(rows / simhash.TREE_ROWS)
+    for _ in range(300):
+        change = sum(1 << b for b in rng.sample(range(64), radius))
+        assert any(not change & m for m in masks)
+
+
+def test_trees_do_the_linking_on_a_real_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    prints = simhash.fingerprints(docs).select("fp").distinct().cache()
+    points = sorted(r["fp"] % (1 << 64) for r in prints.collect())
+    built = simhash.VantagePointTree(np.array(points, np.uint64))
+    assert len(points) > 9000 and built.nodes > 150  # one shard, one tree of many nodes
+    assert simhash.projections(len(points)) == [0]
+    assert near_groups(prints) == near_groups(prints, tree_rows=2000) == brute_components(points)
 
 
 def test_components_of_a_long_chain(spark):
