@@ -462,21 +462,6 @@ def test_html_extraction(spark):
     assert html_extract.main_texts(pages.limit(0)).count() == 0
 
 
-def test_minimum_cut_is_minimal():
-    rng = random.Random(8)
-    for _ in range(60):
-        n = rng.randint(1, 8)
-        evidence = [rng.randint(-20, 20) for _ in range(n)]
-        edges = [(i, j, rng.randint(1, 25)) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.5]
-
-        def cost(labels):
-            cut = sum(c for i, j, c in edges if labels[i] != labels[j])
-            return cut + sum(e if e > 0 and not x else -e if e < 0 and x else 0 for e, x in zip(evidence, labels))
-
-        best = min(cost(x) for x in itertools.product((False, True), repeat=n))
-        assert cost(html_extract.minimum_cut(evidence, edges)) == best
-
-
 def test_token_counts(spark, docs, none):
     ranks = {"▁": 1, "a": 2, "b": 3, "ab": 4, "▁ab": 5, "▁a": 6, "aba": 7, "é": 8}
     pieces = token_counts.Pieces(ranks)
