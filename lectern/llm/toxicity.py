@@ -4,22 +4,26 @@ score = sigmoid(w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j) over the hashed
 of a text, x being 1 + ln(occurrences), so pairs of terms (an insult and a group, say) carry weight
 that an additive model can't give them.
 
-Training takes at most ``SAMPLE_ROWS`` labelled rows, the first by a hash of
-their ids: that bounded list of ids is broadcast, so no text is shuffled. Term
-counts by class (at most ``BUCKETS`` rows) choose ``TERMS`` buckets by their
-chi-square; the rows of the sample come back as their chosen buckets only, at
-most ``SAMPLE_ROWS * TERMS`` two-byte numbers. Scoring is one pass over all
-documents.
+Training takes at most ``SAMPLE_ROWS`` labelled ids, the first by a hash, and one
+row an id: that bounded list of ids is broadcast, the rows that match are written
+once (only they are shuffled) and read by all later steps. Term counts by class
+(at most ``BUCKETS`` rows) choose ``TERMS`` buckets by their chi-square; the rows
+of the sample come to the driver as their chosen buckets only, at most
+``SAMPLE_ROWS * TERMS`` two-byte numbers. Scoring is one pass over all documents.
 
 Defined results: null text counts as empty; an empty text gets the model's bias;
-a null id is scored and counts as '' for the fold; of repeated labels of an id
-the largest counts, null labels are ignored; without both classes in the
-training rows every score is the share of toxic rows (0 if there are none);
-repeated rows each get a score; extra columns are ignored.
+very long texts are read whole; a null id is scored and counts as '' for the
+fold; a label above 0 means toxic, of repeated labels of an id the largest
+counts, null labels are ignored; of rows that share a labelled id the one with
+the least text is learned from; equal scores of terms choose the smaller bucket;
+without both classes in the training rows every score is the share of toxic rows
+(0 if there are none); repeated rows each get a score; an empty table gives no
+rows; extra columns are ignored, whatever their names; ids keep their type.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_arrow, slices, text_bytes
+from .common import crc_mod, map_arrow, materialise, slices, text_bytes
 from .decontaminate import words
 
 SAMPLE_ROWS = 20_000
@@ -41,7 +45,8 @@ LEAST_ROWS = 3
 #: Lengths in bytes of the word beginnings that are terms of their own.
 PREFIXES = (4, 5, 6, 7, 8)
 FACTORS = 8
-EPOCHS = 30
+#: Passes over the sample; more on a small one, until so many steps are made.
+EPOCHS, LEAST_STEPS = 30, 200
 BATCH = 512
 RATE = 0.05
 L2 = 1e-5
@@ -107,8 +112,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, terms:
     first = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
     step = 0
-    for epoch in range(EPOCHS):
-        order, rate = rng.permutation(len(rows)), RATE / (1 + epoch / 10)
+    epochs = max(EPOCHS, math.ceil(LEAST_STEPS / math.ceil(len(rows) / BATCH)))
+    for epoch in range(epochs):
+        order, rate = rng.permutation(len(rows)), RATE / (1 + epoch * EPOCHS / epochs / 10)
         for at in range(0, len(order), BATCH):
             part = order[at : at + BATCH]
             x = np.zeros((len(part), terms), np.float32)
@@ -132,14 +138,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on labelled rows of ``docs`` outside the held-out fold."""
     none = np.full(BUCKETS, -1, np.int16)
     known = labels.where("doc_id is not null and toxic is not null").where(crc_mod("doc_id", FOLDS) != HELD_OUT)
-    sample = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    sample = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     picked = [(r[0], r[1]) for r in sample.collect()]
     if not picked:
         return Model(-35.0, none, np.zeros(0), np.zeros((0, FACTORS)))
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     mine = F.broadcast(spark.createDataFrame(picked, f"doc_id {kind}, label int"))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(mine, "doc_id").select("doc_id", "label", "text")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(mine, "doc_id")
+    texts = materialise(texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "toxicity_sample")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, BUCKETS), np.int64)
