@@ -50,9 +50,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def fresh(name: str, *tables: DataFrame) -> str:
-    """``name``, lengthened until no column of ``tables`` has it (in any case)."""
-    taken = {c.lower() for df in tables for c in df.columns}
-    while name.lower() in taken:
+    """``name``, lengthened until no column of ``tables`` begins so (in any case)."""
+    taken = [c.lower() for df in tables for c in df.columns]
+    while any(c.startswith(name.lower()) for c in taken):
         name += "_"
     return name
 
@@ -62,21 +62,24 @@ def fresh(name: str, *tables: DataFrame) -> str:
 HOT_GROUPS = 10_000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, spread: str, most: int = HOT_GROUPS) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, spread, most: int = HOT_GROUPS) -> DataFrame:
     """``rows`` left-joined with ``groups`` (one row a value of ``on``, none of
-    it null) less its column ``size``, the number of rows of the group. The
-    ``most`` largest groups are broadcast, so that a group that holds a third of
-    all rows is never dealt to one task; their rows are dealt by ``spread`` and
-    meet nothing there."""
+    it null, best a written table) less its column ``size``, the number of rows
+    of the group. The ``most`` largest groups are broadcast, so that a group that
+    holds a third of all rows is never dealt to one task; their rows are dealt by
+    ``spread`` and meet nothing there."""
     told = [c for c in groups.columns if c not in (on, size)]
-    hot = groups.orderBy(F.desc(size), on).limit(most).select(F.col(on).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in told])
-    kind = groups.schema[on].dataType
-    key = F.when(F.col("__hot").isNull(), F.col(on)).otherwise(F.xxhash64(spread).cast("string").cast("binary") if kind.typeName() == "binary" else F.xxhash64(spread))
-    cold = groups.join(F.broadcast(hot.select("__hot")), F.col(on) == F.col("__hot"), "left_anti")
-    cold = cold.select(F.col(on).alias("__cold"), *[F.col(c).alias(f"__cold_{c}") for c in told])
-    dealt = rows.join(F.broadcast(hot), F.col(on) == F.col("__hot"), "left").withColumn("__key", key)
-    joined = dealt.join(cold, F.col("__key") == F.col("__cold"), "left")
-    value = lambda c: F.when(F.col("__hot").isNull(), F.col(f"__cold_{c}")).otherwise(F.col(f"__hot_{c}")).alias(c)
+    head = fresh("__", rows, groups)
+    hot_key, cold_key, dealt_by = F.col(f"{head}hot"), F.col(f"{head}cold"), f"{head}key"
+    hot = groups.orderBy(F.desc(size), on).limit(most).select(F.col(on).alias(f"{head}hot"), *[F.col(c).alias(f"{head}hot_{c}") for c in told])
+    other = F.xxhash64(spread)
+    if groups.schema[on].dataType.typeName() == "binary":
+        other = other.cast("string").cast("binary")
+    cold = groups.join(F.broadcast(hot.select(f"{head}hot")), F.col(on) == hot_key, "left_anti")
+    cold = cold.select(F.col(on).alias(f"{head}cold"), *[F.col(c).alias(f"{head}cold_{c}") for c in told])
+    dealt = rows.join(F.broadcast(hot), F.col(on) == hot_key, "left").withColumn(dealt_by, F.when(hot_key.isNull(), F.col(on)).otherwise(other))
+    joined = dealt.join(cold, F.col(dealt_by) == cold_key, "left")
+    value = lambda c: F.when(hot_key.isNull(), F.col(f"{head}cold_{c}")).otherwise(F.col(f"{head}hot_{c}")).alias(c)
     return joined.select(*rows.columns, *[value(c) for c in told])
 
 

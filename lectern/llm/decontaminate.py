@@ -6,19 +6,26 @@ keeps stretches made of such ids only, looks their rolling hashes up and
 verifies each hit word by word. Documents are read once and never shuffled.
 
 The set is built from at most ``BLOCK_BYTES`` of benchmark text at a time. A
-larger benchmark is dealt into blocks, each broadcast in turn over the same
-rows, and hit words and items are carried from block to block.
-
-Defined results: null texts have no words; an item with no words has no window;
-repeated items or rows count one by one; an empty benchmark hits nothing;
-``items`` holds each identifier once, sorted as strings; a null item id is ''.
+larger benchmark is dealt into blocks, one job each over the texts alone: a block
+is broadcast, the texts that it hits are written as (hash of the text, hits), and
+its set is released before the next one is built. The hits of all blocks are then
+merged by text and joined to the rows.
+
+Defined results: null and empty texts have no words; very long texts and items
+are scanned whole; an item with no words has no window; repeated items or rows
+count one by one; windows that several items share hit all of them; an empty
+benchmark hits nothing, an empty table gives no rows; ``items`` holds each
+identifier once, sorted as strings; a null item id is ''; extra columns pass
+through or are ignored, whatever their names; ids keep their type.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain, repeat
 
 import numpy as np
@@ -26,15 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, text_bytes
+from .common import fresh, join_groups, map_arrow, materialise, slices, text_bytes
 
 WINDOW = 13
-#: Bound of the benchmark text behind one broadcast set.
-BLOCK_BYTES = 16 << 20
+#: Bound of the benchmark text behind one broadcast set (a set takes some fifty
+#: times as much).
+BLOCK_BYTES = 2 << 20
 #: A document is contaminated when at least one word in so many is hit.
 SHARE = 20
-#: Columns that a scan adds; no table has such names.
-N_WORDS, HIT, ITEMS = "__n_words", "__hit", "__items"
 
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes(c if c in _KEEP or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -98,120 +104,158 @@ def _rolled(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scan(windows: WindowSet):
-    """One pass: adds this block's hit words (packed bits) and items to a row's own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            get, all_ids, counts = windows.vocabulary.get, [], []
-            for text in text_bytes(batch.column("text")):
-                parts = words(text)
-                counts.append(len(parts))
-                all_ids.append(np.fromiter(map(get, parts, repeat(0)), np.int32, len(parts)))
-                all_ids.append(np.zeros(1, np.int32))  # windows don't cross rows
-            ids = np.concatenate(all_ids)
-            starts = np.r_[0, np.cumsum(np.array(counts, np.int64) + 1)]
-            change = np.zeros(len(ids) + 1, np.int64)
-            items: dict[int, set[str]] = {}
-            for i, size, numbers in windows.hits(ids):
-                change[i] += 1
-                change[i + size] -= 1
-                row = int(np.searchsorted(starts, i, side="right")) - 1
-                items.setdefault(row, set()).update(windows.names[k] for k in numbers)
-            hit = np.cumsum(change)[:-1] > 0
-            old_bits, old_items = batch.column(HIT).to_pylist(), batch.column(ITEMS).to_pylist()
-            bits, names = [], []
-            for row, n in enumerate(counts):
-                own = hit[starts[row] : starts[row] + n]
-                if old_bits[row]:
-                    own = own | np.unpackbits(np.frombuffer(old_bits[row], np.uint8), count=n).astype(bool)
-                bits.append(np.packbits(own).tobytes() if own.any() else b"")
-                names.append(sorted(items.get(row, set()) | set(old_items[row] or ())))
-            columns = [batch.column(name) for name in batch.schema.names[:-3]]
-            columns += [pa.array(counts, pa.int64()), pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string()))]
-            yield pa.record_batch(columns, names=batch.schema.names)
-
-    return run
+@dataclass
+class Marks:
+    """What a scan says of a batch of texts: words, hit words (packed bits, one
+    per word, empty if none) and identifiers of the items whose windows occur."""
+
+    n_words: list[int]
+    bits: list[bytes]
+    items: list[list[str]]
+
+    def n_hit(self) -> list[int]:
+        return [int.from_bytes(b, "big").bit_count() for b in self.bits]
+
+    def contaminated(self, share: int) -> list[bool]:
+        return [h > 0 and share * h >= n for h, n in zip(self.n_hit(), self.n_words)]
+
+
+def scan(windows: WindowSet, texts: list[bytes]) -> Marks:
+    """The marks of ``texts``."""
+    get, all_ids, counts = windows.vocabulary.get, [], []
+    for text in texts:
+        parts = words(text)
+        counts.append(len(parts))
+        all_ids.append(np.fromiter(map(get, parts, repeat(0)), np.int32, len(parts)))
+        all_ids.append(np.zeros(1, np.int32))  # windows don't cross rows
+    ids = np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32)
+    starts = np.r_[0, np.cumsum(np.array(counts, np.int64) + 1)]
+    change = np.zeros(len(ids) + 1, np.int64)
+    items: dict[int, set[str]] = {}
+    for i, size, numbers in windows.hits(ids):
+        change[i] += 1
+        change[i + size] -= 1
+        row = int(np.searchsorted(starts, i, side="right")) - 1
+        items.setdefault(row, set()).update(windows.names[k] for k in numbers)
+    hit = np.cumsum(change)[:-1] > 0
+    bits = [np.packbits(hit[starts[row] : starts[row] + n]).tobytes() if row in items else b"" for row, n in enumerate(counts)]
+    return Marks(counts, bits, [sorted(items.get(row, ())) for row in range(len(counts))])
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
     """The items in blocks of at most ``block_bytes`` of text (a longer item alone)."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
     block, held = [], 0
     for name, text in rows.toLocalIterator():
-        text = text.encode()
         if block and held + len(text) > block_bytes:
             yield block
             block, held = [], 0
-        block.append((name, text))
+        block.append((name, bytes(text)))
         held += len(text)
     yield block
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, finish=None, schema=None) -> DataFrame:
-    """``docs`` (columns with a ``text``) with N_WORDS, HIT (packed bits, one per
-    word, empty if none) and ITEMS (identifiers whose windows occur). ``finish``
-    works on the marked batches in the same pass and makes rows of ``schema``."""
-    out = docs.select("*", F.lit(0).cast("bigint").alias(N_WORDS), F.lit(b"").alias(HIT), F.array().cast("array<string>").alias(ITEMS))
+def _text_key(text: bytes) -> bytes:
+    return hashlib.sha256(text).digest()
+
+
+def _hits(docs: DataFrame, windows: WindowSet) -> DataFrame:
+    """(key, bits, items, n) of the n rows of each distinct text that a block of the benchmark hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            texts = text_bytes(batch.column(0))
+            found = scan(windows, texts)
+            rows = [(_text_key(t), b, i) for t, b, i in zip(texts, found.bits, found.items) if b]
+            yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.list_(pa.string())))], names=["key", "bits", "items"])
+
+    found = map_arrow(docs.select(F.col("text").cast("string").alias("text")), run, "key binary, bits binary, items array<string>")
+    return materialise(found.groupBy("key").agg(F.first("bits").alias("bits"), F.first("items").alias("items"), F.count("*").alias("n")), "window_hits")
+
+
+def _merged(hits: list[DataFrame]) -> DataFrame:
+    """(key, bits, items, n): the hits of all blocks by text, one row a text."""
+    rows = functools.reduce(DataFrame.unionByName, hits)
+    each = rows.groupBy("key").agg(F.collect_list(F.struct("bits", "items")).alias("found"), F.max("n").alias("n"))  # a row a block
+    united = F.reduce(F.transform("found", lambda f: f["items"]), F.array().cast("array<string>"), F.array_union)
+
+    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in some]).tobytes() for some in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(bits, pa.binary()), batch.column(2), batch.column(3)], names=["key", "bits", "items", "n"])
+
+    slim = each.select("key", F.transform("found", lambda f: f["bits"]).alias("bits"), united.alias("items"), "n")
+    return materialise(map_arrow(slim, either, "key binary, bits binary, items array<string>, n bigint"), "merged_hits")
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, finish, schema, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``finish(batch, marks)`` of every batch of ``docs`` (columns with a string
+    ``text``), which makes rows of ``schema``."""
     blocks = _blocks(benchmark, block_bytes)
-    block = next(blocks)
-    for following in chain(blocks, [None]):
-        scan = _scan(WindowSet(block, window))
-        last = following is None and finish is not None
-        out = map_arrow(out, _then(scan, finish) if last else scan, schema if last else out.schema)
-        block = following
-    return out
+    first, second = next(blocks), next(blocks, None)
+    if second is None:  # the whole benchmark at once: one pass, no shuffle
+        windows = WindowSet(first, window)
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                yield finish(batch, scan(windows, text_bytes(batch.column("text"))))
 
-def _then(first, second):
-    return lambda batches: second(first(batches))
+        return map_arrow(docs, run, schema)
+    hits = [_hits(docs, WindowSet(block, window)) for block in chain((first, second), blocks)]
+    names, head = docs.columns, fresh("__", docs)
+    key, bits, items, n = (f"{head}{c}" for c in ("key", "bits", "items", "n"))
+    own = docs.withColumn(key, F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)))
+    joined = join_groups(own, _merged(hits).toDF(key, bits, items, n), key, n, F.monotonically_increasing_id()).select(*names, bits, items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            counts = [len(words(t)) for t in text_bytes(batch.column("text"))]
+            old_bits, old_items = ([x or empty for x in batch.column(c).to_pylist()] for c, empty in ((bits, b""), (items, [])))
+            yield finish(batch.select(names), Marks(counts, old_bits, [sorted(x) for x in old_items]))
+
+    return map_arrow(joined, run, schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, share: int = SHARE) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words = batch.column(N_WORDS).to_pylist()
-            hits = [int.from_bytes(b, "big").bit_count() for b in batch.column(HIT).to_pylist()]
-            items = batch.column(ITEMS).to_pylist()
-            digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            bad = [h > 0 and share * h >= n for h, n in zip(hits, n_words)]
-            yield pa.record_batch(
-                [batch.column("doc_id"), batch.column(N_WORDS), pa.array(hits, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(digests, pa.string()), pa.array(bad, pa.bool_())],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
+    def count(batch: pa.RecordBatch, marks: Marks) -> pa.RecordBatch:
+        digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in marks.items]
+        return pa.record_batch(
+            [
+                batch.column("doc_id"),
+                pa.array(marks.n_words, pa.int64()),
+                pa.array(marks.n_hit(), pa.int64()),
+                pa.array(map(len, marks.items), pa.int64()),
+                pa.array(digests, pa.string()),
+                pa.array(marks.contaminated(share), pa.bool_()),
+            ],
+            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+        )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
-    return mark(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark, window, block_bytes, count, schema)
+    return marked(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark, count, schema, window, block_bytes)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, spans: bool = False, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, share: int = SHARE) -> DataFrame:
     """``docs`` without contaminated rows, or (``spans``) with every row but
     without the hit words; columns stay as they are."""
-    names = docs.columns
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits, n_words = batch.column(HIT).to_pylist(), batch.column(N_WORDS).to_pylist()
-            rows = batch.select(names)
-            if spans:
-                column = batch.column("text").to_pylist()
-                for i in (i for i, b in enumerate(bits) if b):
-                    column[i] = without(column[i], np.unpackbits(np.frombuffer(bits[i], np.uint8), count=n_words[i]))
-                at = names.index("text")
-                yield rows.set_column(at, batch.schema.field("text"), pa.array(column, pa.string()))
-            else:
-                hits = [int.from_bytes(b, "big").bit_count() for b in bits]
-                yield rows.filter(pa.array([not (h > 0 and share * h >= n) for h, n in zip(hits, n_words)], pa.bool_()))
-
-    return mark(docs, benchmark, window, block_bytes, cut, docs.schema)
-
-
-def without(text: str, hit: np.ndarray) -> str:
-    """``text`` less its hit words; what stood between two removed words goes too."""
-    data = text.encode()
+    def cut(batch: pa.RecordBatch, marks: Marks) -> pa.RecordBatch:
+        if not spans:
+            return batch.filter(pa.array([not bad for bad in marks.contaminated(share)], pa.bool_()))
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        for i in (i for i, b in enumerate(marks.bits) if b):
+            texts[i] = without(texts[i], np.unpackbits(np.frombuffer(marks.bits[i], np.uint8), count=marks.n_words[i]))
+        at = batch.schema.get_field_index("text")
+        return batch.set_column(at, batch.schema.field("text"), pa.array(texts, pa.binary()).cast(batch.schema.field("text").type))
+
+    return marked(docs, benchmark, cut, docs.schema, window, block_bytes)
+
+
+def without(data: bytes, hit: np.ndarray) -> bytes:
+    """A text less its hit words; what stood between two removed words goes too."""
     spans = [m.span() for m in re.finditer(rb"[^ ]+", data.translate(_FOLD))]
     out, at, i = [], 0, 0
     while i < len(spans):
@@ -224,7 +268,7 @@ def without(text: str, hit: np.ndarray) -> str:
         out.append(data[at : spans[i][0]])
         at = spans[j][1]
         i = j + 1
-    return b"".join([*out, data[at:]]).decode()
+    return b"".join([*out, data[at:]])
 
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
