@@ -10,12 +10,15 @@ anew above ``MEMBER_BYTES``. Files lie in the shared folder; the manifest of
 written files is the commit, so a task that runs twice leaves no double records.
 
 Of records with equal payloads the one with the largest id is the response, the
-others are revisits that name it and hold the HTTP headers only.
-
-Defined results: a null payload counts as empty; rows that repeat the largest id
-of a payload are responses all; null ids sort below every number, and a payload
-with null ids only has responses; a null url becomes ``about:blank``; an empty
-table writes no archive; extra columns are ignored.
+others are revisits that name it and hold the HTTP headers only. Which they are
+is worked out on (id, payload hash) rows; a payload itself moves only when the
+list of revisits is too large to be sent to the tasks, and then by its page id.
+
+Defined results: a null payload counts as empty; very long payloads are written
+whole; rows that repeat the largest id of a payload are responses all; null ids
+sort below every number, and a payload with null ids only has responses; a null
+url becomes ``about:blank``; an empty table writes no archive; extra columns are
+ignored, whatever their names. Ids are read as ``bigint``.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, scratch, slices, text_bytes
+from .common import join_groups, map_arrow, materialise, scratch, slices, text_bytes
 
 #: Payloads below this many bytes are always responses.
 LEAST_PAYLOAD = 0
@@ -272,11 +275,13 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_payload: i
     folder = folder or scratch(pages.sparkSession, "archives")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     keyed = rows.withColumn("key", F.sha2("payload", 256))
-    large = keyed.where(F.octet_length("payload") >= least_payload)
-    groups = large.groupBy("key").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
-    told = keyed.join(materialise(groups, "payload_groups"), "key", "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
-    dealt = told.select("page_id", "url", "payload", refers.alias("refers_to"))
+    # payloads stay where they are: only (page, key) rows are grouped and joined
+    slim = materialise(keyed.where(F.octet_length("payload") >= least_payload).select("page_id", "key"), "payload_keys")
+    groups = materialise(slim.groupBy("key").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1 and response is not null"), "payload_groups")
+    told = join_groups(slim, groups, "key", "n", "page_id").where("response is not null and not page_id <=> response")
+    revisits = materialise(told.select(F.col("page_id").alias("page"), F.col("key").alias("its_key"), "response").distinct(), "revisits")
+    mine = F.col("page_id").eqNullSafe(F.col("page")) & (F.col("key") == F.col("its_key"))
+    dealt = keyed.join(revisits, mine, "left").select("page_id", "url", "payload", F.col("response").alias("refers_to"))
     return materialise(map_arrow(dealt, _writer(folder, member_bytes), "part bigint, path string, records bigint"), "archive_manifest")
 
 
