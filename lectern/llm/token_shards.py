@@ -14,9 +14,16 @@ lengths, zeros of each plane), then for each plane, highest bit first, the rank
 directory (4 bytes for every ``RANK_BITS`` bits) and the bits, raw: succinct
 already, they can be read in place.
 
-Defined results: a null text counts as empty (its row has the end id only);
-null ids come first; repeated rows are written one after the other, ties in the
-order of their texts; an empty table writes no file; extra columns are ignored.
+A reader of a file answers for the whole of it: the token at a position, the
+count of a token between two positions, and where it occurs, going from the
+directory of blocks to the rank and select of the few blocks concerned.
+
+Defined results: a null text counts as empty (its row has the end id only, or no
+token where there is no end id); very long texts are encoded whole; bytes that
+are no UTF-8 read as U+FFFD; null ids come first; rows of one
+id follow in the order of a hash of their texts, repeated rows one after the
+other, and a partition may end among them; an empty table writes no file; extra
+columns are ignored, whatever their names. Ids are read as ``bigint``.
 """
 
 from __future__ import annotations
@@ -25,7 +32,9 @@ import json
 import os
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -122,7 +131,7 @@ class Encoder:
             mark, width = self.separator, self.kind.itemsize
             for at in range(0, len(plain), GROUP * 64):
                 groups = [plain[i : i + GROUP] for i in range(at, min(at + GROUP * 64, len(plain)), GROUP)]
-                joined = [(b" " + SEPARATOR + b" ").join([*g, b""]).decode() for g in groups]
+                joined = [(b" " + SEPARATOR + b" ").join([*g, b""]).decode("utf-8", "replace") for g in groups]
                 for group, got in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
                     row = np.array(got.ids, self.kind)
                     ends = np.flatnonzero(row == mark)
@@ -131,7 +140,7 @@ class Encoder:
         return [found[p] if p in found else self._one(p) for p in pieces]
 
     def _one(self, piece: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+        return np.array(self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind).tobytes()
 
 
 CACHES["token_shards"] = Encoder._loaded.clear
@@ -161,7 +170,7 @@ def build_block(doc_ids: list, tokens: list[np.ndarray]) -> bytes:
 
 def _symbols(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values in order, and each value's place among them."""
-    seen = np.zeros(int(values.max()) + 1, bool)
+    seen = np.zeros(int(values.max(initial=0)) + 1, bool)
     seen[values] = True
     symbols = np.flatnonzero(seen)
     place = (np.cumsum(seen) - 1).astype(np.uint16 if len(symbols) <= 1 << 16 else np.uint32)
@@ -225,9 +234,9 @@ class Block:
         found = self._range(token, start, self.n if stop is None else stop)
         return found[2] - found[1] if found else 0
 
-    def locate(self, token: int) -> Iterator[int]:
-        """Positions of ``token``, ascending."""
-        found = self._range(token, 0, self.n)
+    def locate(self, token: int, start: int = 0, stop: int | None = None) -> Iterator[int]:
+        """Positions of ``token`` from ``start`` to ``stop``, ascending."""
+        found = self._range(token, start, self.n if stop is None else stop)
         for i in range(found[1], found[2]) if found else ():
             for plane in range(len(self.zeros) - 1, -1, -1):
                 bit = found[0] >> (len(self.zeros) - 1 - plane) & 1
@@ -259,6 +268,7 @@ class ShardReader:
             raise ValueError(f"not a token shard: {uri}")
         length = int.from_bytes(tail[:8], "little")
         self.blocks = json.loads(zstandard.ZstdDecompressor().decompress(self.file.read_at(length, size - 16 - length)))
+        self.starts = [0, *accumulate(b["tokens"] for b in self.blocks)]
 
     def block(self, i: int) -> Block:
         at, length = self.blocks[i]["at"], self.blocks[i]["bytes"]
@@ -267,8 +277,37 @@ class ShardReader:
     def __iter__(self) -> Iterator[Block]:
         return (self.block(i) for i in range(len(self.blocks)))
 
+    def __len__(self) -> int:
+        """Tokens in the file."""
+        return self.starts[-1]
+
+    def access(self, i: int) -> int:
+        """The token at position ``i`` of the file."""
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        at = bisect_right(self.starts, i) - 1
+        return self.block(at).access(i - self.starts[at])
+
+    def count(self, token: int, start: int = 0, stop: int | None = None) -> int:
+        """Occurrences of ``token`` in positions ``start`` to ``stop`` of the file."""
+        return sum(self.block(at).count(token, a, b) for at, a, b in self._blocks_of(start, stop))
+
+    def locate(self, token: int, start: int = 0, stop: int | None = None) -> Iterator[int]:
+        """Positions of ``token`` in the file, ascending, from ``start`` to ``stop``."""
+        for at, a, b in self._blocks_of(start, stop):
+            yield from (self.starts[at] + i for i in self.block(at).locate(token, a, b))
+
+    def _blocks_of(self, start: int, stop: int | None) -> Iterator[tuple[int, int, int]]:
+        """(block, start, stop in the block) of every block that a range touches."""
+        stop = len(self) if stop is None else min(stop, len(self))
+        at = bisect_right(self.starts, start) - 1
+        while at < len(self.blocks) and self.starts[at] < stop:
+            low = self.starts[at]
+            yield at, max(0, start - low), min(stop, self.starts[at + 1]) - low
+            at += 1
+
 
-def _writer(folder: str, vocabulary: str, end_id: int | None):
+def _writer(folder: str, vocabulary: str, end_id: int | None, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -299,11 +338,11 @@ def _writer(folder: str, vocabulary: str, end_id: int | None):
                 held += len(own)
                 docs += 1
                 total += len(own)
-                if held >= BLOCK_TOKENS:
+                if held >= block_tokens:
                     flush()
         if out is None:
             return
-        if any(len(t) for t in tokens):
+        if ids:
             flush()
         footer = zstandard.ZstdCompressor(3).compress(json.dumps(places).encode())
         out.write(footer + len(footer).to_bytes(8, "little") + MAGIC)
@@ -316,13 +355,15 @@ def _writer(folder: str, vocabulary: str, end_id: int | None):
     return run
 
 
-def write_shards(docs: DataFrame, vocabulary: str, end_id: int | None = END_ID, folder: str | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, vocabulary: str, end_id: int | None = END_ID, folder: str | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Write ``docs`` (doc_id, text) as shards; returns their manifest: shard
     (ascending with the ids), path, n_docs, n_tokens, start (tokens before it)."""
     folder = folder or scratch(docs.sparkSession, "token_shards")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = materialise(map_arrow(dealt, _writer(folder, vocabulary, end_id), "shard bigint, path string, n_docs bigint, n_tokens bigint", "token_shards"), "token_manifest")
+    # one id may hold many rows, and one text of an id too: ranges go on by these
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
+    dealt = rows.repartitionByRange("doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
+    manifest = materialise(map_arrow(dealt, _writer(folder, vocabulary, end_id, block_tokens), "shard bigint, path string, n_docs bigint, n_tokens bigint", "token_shards"), "token_manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("bigint")))
 
