@@ -15,10 +15,11 @@ document is taken is then an expression over its own columns and its source's
 row, which is broadcast only when the sources' count and bytes are below a
 bound and joined by shuffle otherwise.
 
-Defined results: tokens are white-space separated words; a null text has none; a
-null source is the source ''; sources without tokens take no budget and keep
-each row once; a null id hashes as ''; rows with one id go together; an empty
-table stays empty; extra columns pass through.
+Defined results: tokens are white-space separated words; a null or empty text has
+none; very long texts count whole; a null source is the source ''; sources
+without tokens take no budget and keep each row once; a null id hashes as '';
+rows with one id, and rows of equal hash, go together; an empty table stays
+empty; extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 SECTIONS = 16
@@ -154,12 +155,13 @@ def mixed(docs: DataFrame, seed: str = SEED, **target) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; columns stay as they are."""
     _, rows = plan(docs, seed=seed, **target)
     small = _small(rows)
-    rows = rows.select(*[F.col(c).alias(f"__{c}") for c in rows.columns])
-    own = docs.withColumns({"__source": _source(), "__place": _place(seed)})
-    joined = own.join(F.broadcast(rows) if small else rows, F.col("__source") == F.col("__s"))
-    copies = _copies(seed, F.col("__source"), F.col("__place"), "__")
-    taken = joined.withColumn("__copies", copies).where(F.col("__copies") > 0)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))).select(*docs.columns)
+    head = fresh("__mix_", docs)  # no column of ``docs`` begins so
+    rows = rows.select(*[F.col(c).alias(f"{head}{c}") for c in rows.columns])
+    own = docs.withColumns({f"{head}source": _source(), f"{head}place": _place(seed)})
+    joined = own.join(F.broadcast(rows) if small else rows, F.col(f"{head}source") == F.col(f"{head}s"))
+    copies = _copies(seed, F.col(f"{head}source"), F.col(f"{head}place"), head)
+    taken = joined.withColumn(f"{head}copies", copies).where(F.col(f"{head}copies") > 0)
+    return taken.withColumn(f"{head}copy", F.explode(F.sequence(F.lit(1).cast("bigint"), f"{head}copies"))).select(*docs.columns)
 
 
 #: Targets of the registered query.
