@@ -20,7 +20,8 @@ character references are decoded, runs of white space become one space, and the
 ends are trimmed. ``br`` counts as white space.
 
 Defined results: null or empty html gives the empty text; a page without content
-blocks too; pages of any length are read whole; equal costs fall to boilerplate;
+blocks too; pages of any length are read whole; bytes that are no UTF-8 read as
+U+FFFD; equal costs fall to boilerplate;
 unclosed or stray tags are repaired as browsers do for paragraphs, list items
 and table cells; CDATA sections are markup; repeated rows each get a row; an
 empty table gives none; extra columns are ignored, whatever their names.
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices
+from .common import map_arrow, slices, text_bytes
 
 # Names of HTML elements, and words of class and id attributes.
 BLOCK_TAGS = frozenset(
@@ -438,7 +439,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            texts = [extract(h) for h in batch.column(2).to_pylist()]
+            texts = [extract(h.decode("utf-8", "replace")) for h in text_bytes(batch.column(2))]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

@@ -23,9 +23,12 @@ size the alphabet bounds, are broadcast whole. The word base score sends the
 ``HEAD_WORDS`` most frequent words (of at most ``HEAD_BYTES`` bytes each) to the
 tasks; the counts of all others are joined, exactly, from the aggregated table.
 
-Defined results: null text counts as empty (its only token is the end); a null
-id counts as '' for the fold; with no training rows N and V are 0 and each byte
-has probability 1/256; repeated rows count and score one by one.
+Defined results: null text counts as empty (its only token is the end); very long
+texts are read whole, in parts that know what precedes; a null id counts as ''
+for the fold; with no training rows N and V are 0 and each byte has probability
+1/256; entries of equal count are all at hand or all looked up, which changes no
+score; repeated rows count and score one by one; an empty table gives no rows;
+extra columns are ignored, whatever their names; ids keep their type.
 """
 
 from __future__ import annotations

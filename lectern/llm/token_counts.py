@@ -14,7 +14,9 @@ covers is spelt in its UTF-8 bytes, at a score below any piece's. Equal scores
 prefer fewer tokens.
 
 Defined results: a null text counts as empty, which has no words and no tokens;
-repeated rows each get a row; extra columns are ignored.
+very long texts and words are read whole; bytes that are no UTF-8 are spelt as
+they are; repeated rows each get a row; an empty table gives none; extra columns
+are ignored, whatever their names; ids keep their type.
 """
 
 from __future__ import annotations
@@ -77,7 +79,7 @@ class Pieces:
             del best[shared + 1 :], count[shared + 1 :]
             for j in range(shared + 1, len(path) + 1):
                 char = path[j - 1]
-                n = len(char.encode("utf-8", "surrogatepass"))
+                n = len(char.encode("utf-8", "surrogateescape"))
                 top, tokens, found = -math.inf, 0, False
                 for size in lengths.get(char, ()):
                     if size > j:
@@ -101,8 +103,8 @@ class Pieces:
         """Words, tokens and scores of each text."""
         split = [text.split() for text in texts]
         new = set().union(*split) - self.known.keys()
-        for word, tokens, score in self.count_words(w.decode() for w in new):
-            key = word.encode()
+        for word, tokens, score in self.count_words(w.decode("utf-8", "surrogateescape") for w in new):
+            key = word.encode("utf-8", "surrogateescape")
             self.known[key] = (tokens, score)
             self.held += len(key) + ENTRY_BYTES
         get = self.known.__getitem__
@@ -111,8 +113,9 @@ class Pieces:
             values = list(map(get, words))
             tokens.append(sum(v[0] for v in values))
             scores.append(math.fsum(v[1] for v in values))
-        if self.held > CACHE_BYTES:
-            self.known, self.held = {}, 0
+        if self.held > CACHE_BYTES:  # go on with what is in use now
+            self.known = {word: self.known[word] for word in set().union(*split)}
+            self.held = sum(map(len, self.known)) + ENTRY_BYTES * len(self.known)
         return [len(w) for w in split], tokens, scores
 
 

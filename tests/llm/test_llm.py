@@ -280,11 +280,67 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.report(short, benchmark.limit(0)).where("n_hit > 0 or contaminated").count() == 0
 
 
+def test_fresh_names(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "__a int, __B_c int, a int")
+    assert fresh("__", df) == "___" and fresh("__b", df) == "__b__" and fresh("x", df) == "x"
+
+
+#: Columns that operators might use for themselves.
+CLASHING = "__source, __place, __copies, __copy, __mix_s, __hit, __items, __n_words, __key, __hot, s, h, row, fp, a, b, shard, digest, n, held_out, label, score, keep_id, component_id, payload, key, n_tokens, start".split(", ")
+
+
+def test_pipeline_stages_pass_clashing_columns_through(spark, docs):
+    wide = docs.drop("score", "hit", "s")
+    for i, name in enumerate(CLASHING):
+        wide = wide.withColumn(name, F.concat(F.lit(f"own {i} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    marks = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, toxic int")
+    items = spark.createDataFrame([(1, "größe other"), (2, "bar. x1 other")], "item_id bigint, text string")
+    stages = [
+        toxicity.reject(wide, marks),
+        simhash.one_of_each(wide),
+        decontaminate.remove(wide, items),
+        decontaminate.remove(wide, items, block_bytes=5),
+        decontaminate.remove(wide, items, spans=True),
+        mixing.mixed(wide, repetition=1.5, cover=True),
+    ]
+    for after in stages:
+        assert after.columns == wide.columns
+        rows = after.collect()
+        assert rows and all(r[name] == f"own {i} {'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for i, name in enumerate(CLASHING))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pages = wide.withColumnsRenamed({"doc_id": "page_id", "text": "html", "lang": "url"})
+    for found in (token_shards.round_trip(wide, path), simhash.near_duplicates(wide), exact_dedup.exact_duplicates(wide), ppm.score(wide), toxicity.score(wide, marks), decontaminate.report(wide, items), mixing.decisions(wide, entropy=0.9), token_counts.token_counts(wide, public_tokenizers.path("piece_bpe_32k.model")), warc_zip.round_trip(pages), html_extract.main_texts(pages)):
+        assert found.count() == wide.count()
+
+
+def test_bytes_that_are_no_utf8(spark, library):
+    broken = b"good b\xffad \xc3 words\xe2\x82 here \xf0\x9f\x98\x80"
+    docs = spark.createDataFrame([(1, bytearray(broken)), (2, bytearray(b"\xff"))], "doc_id bigint, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"))
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    none = spark.createDataFrame([], "doc_id bigint, toxic int")
+    items = spark.createDataFrame([(1, "words here")], "item_id bigint, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = {r["doc_id"]: r for r in token_shards.round_trip(docs, path).collect()}
+    ids = [library.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids + [1] for t in (broken, b"\xff")]
+    assert [found[i + 1]["ids_crc32"] for i in range(2)] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
+    counts = token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert {r["doc_id"]: r["n_words"] for r in counts} == {1: len(broken.split()), 2: 1}
+    assert {r["doc_id"]: r["text_sha256"] for r in exact_dedup.exact_duplicates(docs).collect()} == {1: hashlib.sha256(broken).hexdigest(), 2: hashlib.sha256(b"\xff").hexdigest()}
+    assert {r["payload_bytes"] for r in warc_zip.round_trip(pages).collect()} == {len(broken), 1}
+    assert {r["n_hit"] for r in decontaminate.report(docs, items).collect()} == {0}
+    for df in (simhash.near_duplicates(docs), ppm.score(docs), toxicity.score(docs, none), mixing.decisions(docs.withColumn("source", F.lit("a")), entropy=0.9)):
+        assert df.count() == 2
+    assert html_extract.main_texts(pages).count() == 2
+
+
 def test_decontamination_spans(spark):
     docs = spark.createDataFrame([(1, "Start: one two THREE four. End!"), (2, None)], "doc_id int, text string")
     benchmark = spark.createDataFrame([("a", "two three, four")], "item_id string, text string")
     found = dict(map(tuple, decontaminate.remove(docs, benchmark, spans=True).collect()))
     assert found == {1: "Start: one . End!", 2: None}
+    more = benchmark.union(spark.createDataFrame([("b", "END")], "item_id string, text string"))
+    found = dict(map(tuple, decontaminate.remove(docs, more, spans=True, block_bytes=4).collect()))
+    assert found == {1: "Start: one !", 2: None}  # "four. End" is one run of hit words
 
 
 def test_toxicity_learns_pairs_and_rejects(spark, none):
@@ -298,10 +354,13 @@ def test_toxicity_learns_pairs_and_rejects(spark, none):
         labels.append((i, int(insult and group)))
     rows += [(1000, None, None, None, None, None, None, None), (1001, "", None, None, None, None, None, None), (None, "x", None, None, None, None, None, None), rows[0]]
     docs = spark.createDataFrame(rows, SCHEMA)
+    rows += [(i, f"another text of this id {n}", None, None, None, None, None, None) for i in range(5) for n in range(20)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = [(i, 3 * x) for i, x in labels]  # any label above 0 means toxic
     marks = spark.createDataFrame(labels + [(5, None), (None, 1), labels[0]], "doc_id bigint, toxic int")
     found = toxicity.score(docs, marks).collect()
     assert len(found) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in found)
-    truth = dict(labels)
+    truth = {i: int(x > 0) for i, x in labels if i >= 5}
     held = [r for r in found if r["held_out"] and r["doc_id"] in truth]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in found if r["doc_id"] is not None)
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.95
@@ -390,6 +449,34 @@ def test_wavelet_block():
         assert block.count(65_000) == 0 and list(block.locate(65_000)) == []
 
 
+def test_shard_files_answer_for_the_whole(spark):
+    rng = random.Random(6)
+    texts = [(i, words(rng, rng.randint(0, 400))) for i in range(60)] + [(60, ""), (61, None)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for end_id in (1, None):
+        manifest = token_shards.write_shards(spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1), path, end_id, block_tokens=300).collect()
+        assert sum(r["n_docs"] for r in manifest) == len(texts)
+        read = 0
+        for row in manifest:
+            reader = token_shards.ShardReader(row["path"])
+            flat = np.concatenate([b.decode() for b in reader])
+            read += sum(len(b.docs) for b in reader)
+            assert len(reader) == len(flat) == row["n_tokens"]
+            if not len(flat):
+                continue
+            for i in [0, len(flat) - 1, *rng.choices(range(len(flat)), k=40)]:
+                assert reader.access(i) == flat[i]
+            for token in {int(flat[0]), int(flat[len(flat) // 2]), 40_000}:
+                places = np.flatnonzero(flat == token)
+                a, b = sorted(rng.choices(range(len(flat)), k=2))
+                assert reader.count(token) == len(places) and list(reader.locate(token)) == places.tolist()
+                inside = places[(places >= a) & (places < b)].tolist()
+                assert reader.count(token, a, b) == len(inside) and list(reader.locate(token, a, b)) == inside
+            with pytest.raises(IndexError):
+                reader.access(len(flat))
+        assert read == len(texts)
+
+
 def test_warc_archives(spark, none):
     rows = [(1, "http://a/x y", "<p>hé</p>"), (2, None, None), (3, "u\nv", "<p>hé</p>"), (3, "again", "<p>hé</p>"), (4, "http://b", ""), (None, "n", "only"), (7, "long", "x" * 300_000), (None, "m", "")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("payload", F.lit(1)).withColumn("key", F.lit(2))
