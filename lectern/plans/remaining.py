@@ -77,18 +77,17 @@ def spoken_dates(t):
     return t.orders.select("o_orderkey", times.spoken(said, F.to_date("o_orderdate")).alias("due"))
 
 
-@query("m6_merged_units", "SELECT conv_id, count(*) > 0 AS kept FROM conversations GROUP BY conv_id")
+@query(
+    "m6_merged_units",
+    """WITH u AS (SELECT conv_id, turn, row_number() OVER l AS place, role, text, CASE WHEN length(text) >= 200 THEN turn END AS long FROM conversations WINDOW l AS (PARTITION BY conv_id ORDER BY turn)),
+    o AS (SELECT *, coalesce(min(long) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), max(long) OVER d, first_value(turn) OVER (PARTITION BY conv_id ORDER BY length(text) DESC, place)) AS owner, max(long) OVER d IS NULL AS none FROM u WINDOW d AS (PARTITION BY conv_id))
+    SELECT conv_id, owner AS turn, max(role) FILTER (owner = turn) AS title, md5(string_agg(CASE WHEN owner = turn THEN text ELSE role || chr(10) || text END, chr(10) || chr(10) ORDER BY CASE WHEN none AND owner = turn THEN 1 ELSE 0 END, place)) AS text FROM o GROUP BY conv_id, owner""",
+)
 def merged_units(t):
     from ..operators.chunking import merged_units as merge
 
-    def make(k, titles, texts):
-        out = merge(list(zip(titles, texts)))
-        whole = "".join(text for _, text in out)
-        yield k, all(x in whole for x in texts)
-
-    g = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("x"))
-    rows = g.select("conv_id", F.transform("x", lambda x: x["role"]).alias("titles"), F.transform("x", lambda x: x["text"]).alias("texts"))
-    return extraction.mapped(rows, ["conv_id", "titles", "texts"], "conv_id bigint, kept boolean", make)
+    rows = t.conversations.select("conv_id", "turn", F.lit("section").alias("kind"), "role", "text")
+    return merge(rows, "conv_id", "turn", "kind", "role", "text").select("conv_id", "turn", "title", F.md5("text").alias("text"))
 
 
 @query("n4_assigned_roles", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + to_days(30) AS DATE) AS due, CAST(o_orderdate AS DATE) AS issued FROM orders")

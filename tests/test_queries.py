@@ -130,7 +130,29 @@ def test_chunks_cover_the_text():
     assert all(b - a <= chunking.SIZE + chunking.LEAST_TAIL for a, b in spans)
     assert all(nxt[0] <= here[1] for here, nxt in zip(spans, spans[1:]))
     assert list(chunking.pieces("")) == [] and list(chunking.pieces("short")) == [(0, 5)]
-    assert chunking.merged_units([("A", "tiny"), ("B", "x" * 300)]) == [("B", "A\ntiny\n\n" + "x" * 300)]
+    assert chunking.without_short([(0, 10), (10, 300), (300, 310)], 120) == [(0, 310)]
+
+
+def test_pieces_end_at_the_best_break():
+    text = "a" * 500 + ", " + "b" * 100 + ". " + "c" * 100 + "\n" + "d" * 150 + " " + "e" * 400
+    assert text[slice(*chunking.pieces(text)[0])].endswith("c")  # a line's end beats what comes later and before
+    text = "w " * 300 + "x" * 200 + "\n\n" + "y" * 600
+    assert text[slice(*chunking.pieces(text)[0])].endswith("x")
+    text = "z" * 899 + "\n\n" + "z" * 800  # the window ends inside the blank line
+    assert chunking.pieces(text)[0] == (0, 899)
+
+
+def test_units_are_merged(spark):
+    long = "x" * 300
+    units = {
+        1: [("section", "A", "tiny"), ("section", "B", long), ("section", "", "end")],
+        2: [("section", "A", "a"), ("section", "B", "bbb"), ("section", "C", "cc")],
+        3: [("page", "A", "tiny"), ("section", "B", long)],
+        4: [("section", None, None)],
+    }
+    rows = spark.createDataFrame([(k, i, *u) for k, us in units.items() for i, u in enumerate(us)], "k int, o int, kind string, title string, text string")
+    found = sorted(map(tuple, chunking.merged_units(rows, "k", "o", "kind", "title", "text").collect()))
+    assert found == [(1, 1, "B", f"A\ntiny\n\n{long}\n\nend"), (2, 1, "B", "A\na\n\nC\ncc\n\nbbb"), (3, 0, "A", "tiny"), (3, 1, "B", long), (4, 0, "", "")]
 
 
 def test_reading_plan_is_optimal():
