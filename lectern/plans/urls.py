@@ -26,7 +26,7 @@ def url_key(t):
 @query("h3_split_url", r"""SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS query, regexp_extract(url, '#(.*)$', 1) AS fragment FROM pages""")
 def split_url(t):
     u = F.col("url")
-    return t.pages.select("page_id", urls.scheme(u).alias("scheme"), urls.host_of(u).alias("host"), urls.part(u, 3).alias("path"), urls.part(u, 4).alias("query"), urls.part(u, 5).alias("fragment"))
+    return t.pages.select("page_id", urls.scheme(u).alias("scheme"), urls.host_of(u).alias("host"), urls.part(u, urls.PATH).alias("path"), urls.part(u, urls.QUERY).alias("query"), urls.part(u, urls.FRAGMENT).alias("fragment"))
 
 
 @query("h4_unwrapped_redirect", "SELECT page_id, url FROM pages")
@@ -51,7 +51,7 @@ def cleaned_url(t):
     r"""SELECT name, count(*) AS n, bool_or(regexp_matches(name, '^(utm_|mc_|_hs|vero_|trk)')) AS tracks FROM (SELECT split_part(unnest(string_split(regexp_extract(url, '\?([^#]*)', 1), '&')), '=', 1) AS name FROM pages) WHERE name <> '' GROUP BY name""",
 )
 def tracking_params(t):
-    names = t.pages.select(F.explode(F.split(urls.part(F.col("url"), 4), "&")).alias("x")).select(F.split_part("x", F.lit("="), F.lit(1)).alias("name")).where("name <> ''")
+    names = t.pages.select(F.explode(F.split(urls.part(F.col("url"), urls.QUERY), "&")).alias("x")).select(F.split_part("x", F.lit("="), F.lit(1)).alias("name")).where("name <> ''")
     return names.groupBy("name").agg(F.count("*").alias("n"), F.bool_or(urls.is_tracking(F.col("name"))).alias("tracks"))
 
 

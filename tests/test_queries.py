@@ -71,12 +71,22 @@ def one(spark, column):
         (None, ""),
         ("https://medium.com/p?ref=x&q=1", "https://medium.com/p?q=1"),
         ("https://h.com/p?ref=x", "https://h.com/p?ref=x"),
+        ("https://es.linkedin.com/jobs/view/data-engineer-at-x-4012345?trk=abc", "https://www.linkedin.com/jobs/view/4012345"),
+        ("linkedin.com/jobs/collections/top?a=1&currentJobId=77&b", "https://www.linkedin.com/jobs/view/77"),
+        ("https://www.linkedin.com/in/someone/", "https://www.linkedin.com/in/someone"),
+        ("bücher.example/a", "https://bücher.example/a"),
     ],
 )
 def test_url_identity(spark, raw, canonical):
     assert one(spark, urls.normalize(F.lit(raw).cast("string"))) == canonical
 
 
+def test_international_hosts(spark):
+    rows = spark.createDataFrame([(1, "https://bücher.example:81/a?b"), (2, "https://h.com/ü"), (3, ""), (4, None)], "id int, url string")
+    found = dict(map(tuple, urls.punycoded(rows, "url").collect()))
+    assert found == {1: "https://xn--bcher-kva.example:81/a?b", 2: "https://h.com/ü", 3: "", 4: None}
+
+
 def test_redirects(spark):
     inner = "https://t.example/c?url=https%3A%2F%2Fshop.example%2Fa"
     assert one(spark, urls.unwrap_redirect(F.lit(inner))) == "https://shop.example/a"
