@@ -3,7 +3,8 @@ group, remove benchmark contamination, mix the sources, write token shards.
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and
 is written as Parquet and read again before the next one. All stages but the
-last return the columns of ``documents``.
+last return the columns of ``documents``; extra columns pass through, whatever
+their names, and an empty table stays empty. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -20,22 +21,37 @@ REPETITION = 1.25
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` without rows that score 0.5 or more. A null text counts as empty;
+    equal texts share their score, so repeated rows go or stay together; without
+    both classes in the labels every row has the share of toxic labels as score."""
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group. Null and empty texts are
+    near duplicates of each other; rows without an id all stay; repeated rows
+    count once; rows of one id with different texts stay or go together."""
     return simhash.one_of_each(docs)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` without rows of which one word in twenty or more lies in a window
+    of the benchmark. Null and empty texts have no words and stay; exactly one in
+    twenty goes; repeated rows go or stay together."""
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row once at least, those of small sources more often. A null source
+    is the source ''; rows without tokens are taken once; rows of one id (null
+    ids too) are taken as often as each other."""
     return mixing.mixed(docs, repetition=REPETITION, cover=True)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards, read back: a row for each row of ``docs``, in ascending
+    doc_id order, null ids first; null and empty texts have the end id only;
+    repeated rows follow one another."""
     return token_shards.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.vectors import dot
+from ..storage import materialise, scratch
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
 RRF_K = 60
-#: Queries of a search block; a block's vectors are broadcast with each batch of rows.
-QUERY_BLOCK = 500
+#: Queries that are compared with a chunk of rows at a time, and rows of a chunk.
+QUERY_BLOCK, ROW_CHUNK = 500, 50_000
 
 
 def postings(docs: DataFrame, key: str, columns: dict[str, float]) -> DataFrame:
@@ -24,8 +26,9 @@ def postings(docs: DataFrame, key: str, columns: dict[str, float]) -> DataFrame:
         return F.transform(tx.tokens(F.coalesce(F.col(column), F.lit(""))), lambda x: F.struct(x.alias("term"), F.lit(float(weight)).alias("w")))
 
     parts = [weighted(c, w) for c, w in columns.items()]
-    all_terms = F.flatten(F.array(*parts))
-    exploded = docs.select(key, F.explode(all_terms).alias("t"), F.size(all_terms).alias("len"))
+    words = docs.select(key, F.flatten(F.array(*parts)).alias("_t"))
+    # the size is taken before the rows multiply, not once for each of them
+    exploded = words.select(key, "_t", F.size("_t").alias("len")).select(key, F.explode("_t").alias("t"), "len")
     return exploded.groupBy(key, F.col("t.term").alias("term")).agg(F.sum("t.w").alias("wtf"), F.first("len").alias("len"))
 
 
@@ -48,44 +51,60 @@ def _occurrences(words: Column, term: str, prefix: bool = False) -> Column:
     return F.size(F.filter(words, lambda x: F.startswith(x, F.lit(term)) if prefix else x == term))
 
 
-def bm25(docs: DataFrame, key: str, columns: dict[str, float], terms: list[str], prefix: bool = False, every: bool = False) -> DataFrame:
-    """(key, score) of rows that match: any term, or ``every`` one; ``prefix``
-    lets a term match the beginning of words. Only the query's terms survive the
-    scan, so what is shuffled is in proportion to the matches."""
-    words = {c: tx.tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns}
+def term_counts(docs: DataFrame, key: str, columns: dict[str, float], terms: list[str], prefix: bool = False) -> DataFrame:
+    """(key, len, tf0 … or pf0 … with prefixes, and those of each column): every
+    text is tokenised once, and the slim result is written, since statistics and
+    hits both read it."""
+    words = {c: f"_w{i}" for i, c in enumerate(columns)}
+    tokenised = docs.select(key, *[tx.tokens(F.coalesce(F.col(c), F.lit(""))).alias(w) for c, w in words.items()])
+    # the queries' words only: what counts below reads short arrays
+    meant = lambda x: _any([F.startswith(x, F.lit(q)) for q in terms] if prefix else [x.isin(*terms)])
     length = sum((F.size(w) for w in words.values()), F.lit(0))
-    tf = [sum((F.lit(float(wt)) * _occurrences(words[c], q, prefix) for c, wt in columns.items()), F.lit(0.0)) for q in terms]
-    rows = docs.select(key, length.alias("len"), *[v.alias(f"tf{i}") for i, v in enumerate(tf)])
-    stats = rows.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
-    hit = F.lit(False)
-    for i in range(len(terms)):
-        hit = hit | (F.col(f"tf{i}") > 0)
-    joined = rows.where(hit).join(F.broadcast(stats))  # one row of statistics
+    slim = tokenised.select(key, length.alias("len"), *[F.size(w).alias(f"len_{c}") for c, w in words.items()], *[F.filter(w, meant).alias(w) for w in words.values()])
+    counts = [(f"tf{i}_{c}", _occurrences(F.col(w), q)) for i, q in enumerate(terms) for c, w in words.items()]
+    counts += [(f"pf{i}_{c}", _occurrences(F.col(w), q, True)) for i, q in enumerate(terms) for c, w in words.items() if prefix]
+    weighted = [(f"{kind}{i}", sum((F.lit(float(columns[c])) * F.col(f"{kind}{i}_{c}") for c in columns), F.lit(0.0))) for kind in ("tf", "pf")[: 1 + prefix] for i in range(len(terms))]
+    own = materialise(slim, "term_counts")
+    return own.select(key, "len", *[f"len_{c}" for c in columns], *[v.cast("double").alias(n) for n, v in counts]).select("*", *[v.alias(n) for n, v in weighted])
+
+
+def _any(conditions: list[Column]) -> Column:
+    return functools.reduce(Column.__or__, conditions, F.lit(False))
+
+
+def scored(rows: DataFrame, key: str, n_terms: int, counts: str = "tf", every: bool = False) -> DataFrame:
+    """(key, score): BM25 of the rows of ``term_counts`` with any term, or every one."""
+    tf = [F.col(f"{counts}{i}") for i in range(n_terms)]
+    stats = rows.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *[F.count_if(f > 0).alias(f"n{i}") for i, f in enumerate(tf)])
+    joined = rows.where(_any([f > 0 for f in tf])).join(F.broadcast(stats))  # one row of statistics
     score, all_hit = F.lit(0.0), F.lit(True)
-    for i in range(len(terms)):
-        f, n = F.col(f"tf{i}"), F.col(f"n{i}")
-        idf = F.log((F.col("n_docs") - n + 0.5) / (n + 0.5))
-        idf = F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR))
-        score = score + F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))).otherwise(0.0)
+    for i, f in enumerate(tf):
+        weight = idf(F.col("n_docs"), F.col(f"n{i}"))
+        score = score + F.when(f > 0, weight * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))).otherwise(0.0)
         all_hit = all_hit & (f > 0)
     return joined.where(all_hit if every else F.lit(True)).select(key, score.alias("score"))
 
 
+def bm25(docs: DataFrame, key: str, columns: dict[str, float], terms: list[str], prefix: bool = False, every: bool = False) -> DataFrame:
+    """(key, score) of rows that match: any term, or ``every`` one; ``prefix``
+    lets a term match the beginning of words. For many queries over one table
+    build a ``search_index`` instead."""
+    return scored(term_counts(docs, key, columns, terms, prefix), key, len(terms), "pf" if prefix else "tf", every)
+
+
 def rescore(rows: DataFrame, key: str, columns: dict[str, float], length_column: str, terms: list[str], idf_floor: float = 0.1) -> DataFrame:
     """BM25 over a candidate set with smoothed idf; only ``length_column`` is normalised by length."""
-    words = {c: tx.tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns}
-    tf = {(i, c): _occurrences(words[c], q).cast("double").alias(f"tf{i}_{c}") for i, q in enumerate(terms) for c in columns}
-    base = rows.select(key, F.size(words[length_column]).alias("len"), *tf.values())
+    base = term_counts(rows, key, columns, terms).withColumn("len", F.col(f"len_{length_column}"))
     seen = lambda i: sum((F.col(f"tf{i}_{c}") for c in columns), F.lit(0.0)) > 0
     stats = base.agg(F.count("*").alias("n_docs"), F.greatest(F.avg("len"), F.lit(1e-9)).alias("avg_len"), *[F.count_if(seen(i)).alias(f"n{i}") for i in range(len(terms))])
     joined, score = base.join(F.broadcast(stats)), F.lit(0.0)  # one row of statistics
     norm = K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
     for i in range(len(terms)):
         n = F.col(f"n{i}")
-        idf = F.greatest(F.lit(idf_floor), F.log(1 + (F.col("n_docs") - n + 0.5) / (n + 0.5)))
+        weight = F.greatest(F.lit(idf_floor), F.log(1 + (F.col("n_docs") - n + 0.5) / (n + 0.5)))
         for c, w in columns.items():
             f = F.col(f"tf{i}_{c}")
-            score = score + F.when(f > 0, idf * w * f * (K1 + 1) / (f + (norm if c == length_column else F.lit(K1)))).otherwise(0.0)
+            score = score + F.when(f > 0, weight * w * f * (K1 + 1) / (f + (norm if c == length_column else F.lit(K1)))).otherwise(0.0)
     return joined.select(key, score.alias("score")).where("score > 0")
 
 
@@ -103,47 +122,51 @@ def dense(rows: DataFrame, key: str, vector: str, wanted: DataFrame, least: floa
     return out if least is None else out.where(F.col("score") >= least)
 
 
-def top_k_of_queries(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def top_k_of_queries(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int = QUERY_BLOCK, chunk: int = ROW_CHUNK) -> DataFrame:
     """(query, found, score, rank): the k nearest rows of each query, itself
-    excluded. Queries go out in blocks of at most ``block`` vectors as one matrix;
-    every task keeps k per query of its batch, so k rows a query and batch are shuffled."""
+    excluded. The queries are written to the shared folder; a task gathers a
+    ``chunk`` of its rows and reads the queries past them, ``block`` vectors at a
+    time, so neither the driver nor a plan holds them and the rows are scanned once.
+    What is shuffled is k rows a query and chunk."""
     import numpy as np
     import pyarrow as pa
-
-    def search(ids, matrix):
-        def run(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_numpy()
-                values = batch.column(1)
-                data = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                scores = matrix @ data.T
-                scores[ids[:, None] == own[None, :]] = -np.inf
-                m = min(k, batch.num_rows)
-                at = np.argpartition(-scores, m - 1, axis=1)[:, :m]
-                # ties at the edge: take every row that scores as the m-th
-                edge = np.take_along_axis(scores, at, 1).min(axis=1)
-                q, r = np.nonzero((scores >= edge[:, None]) & np.isfinite(scores))
-                yield pa.record_batch([pa.array(ids[q]), pa.array(own[r]), pa.array(scores[q, r])], names=["query", "found", "score"])
-
-        return run
-
-    out, held = None, []
-    wanted = queries.select(F.col(key).cast("bigint"), vector)
-
-    def add(out, held):
-        ids = np.array([r[0] for r in held], np.int64)
-        matrix = np.array([r[1] for r in held], np.float64)
-        part = rows.select(F.col(key).cast("bigint").alias(key), vector).mapInArrow(search(ids, matrix), "query bigint, found bigint, score double")
-        return part if out is None else out.unionByName(part)
-
-    for row in wanted.toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            out, held = add(out, held), []
-    if held or out is None:
-        out = add(out, held) if held else queries.sparkSession.createDataFrame([], "query bigint, found bigint, score double")
+    import pyarrow.dataset as ds
+    import pyarrow.fs as pafs
+
+    folder = scratch(rows.sparkSession, "queries")
+    queries.select(F.col(key).cast("bigint").alias("query"), F.col(vector).cast("array<double>").alias("v")).write.parquet(folder)
+
+    def matrix(column: pa.ListArray) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+    def nearest(own: np.ndarray, data: np.ndarray):
+        fs, path = pafs.FileSystem.from_uri(folder)
+        m = min(k + 1, len(own))  # the row itself may be among them
+        for batch in ds.dataset(path, format="parquet", filesystem=fs).to_batches(batch_size=block):
+            if not batch.num_rows:
+                continue
+            ids = batch.column("query").to_numpy()
+            scores = matrix(batch.column("v")) @ data.T
+            scores[ids[:, None] == own[None, :]] = -np.inf
+            # ties at the edge: take every row that scores as the last
+            edge = np.partition(scores, len(own) - m, axis=1)[:, len(own) - m]
+            q, r = np.nonzero((scores >= edge[:, None]) & np.isfinite(scores))
+            yield pa.record_batch([pa.array(ids[q]), pa.array(own[r]), pa.array(scores[q, r])], names=["query", "found", "score"])
+
+    def run(batches):
+        ids, vectors, held = [], [], 0
+        for batch in batches:
+            if batch.num_rows:
+                ids.append(batch.column(0).to_numpy())
+                vectors.append(matrix(batch.column(1)))
+                held += batch.num_rows
+            if held >= chunk:
+                yield from nearest(np.concatenate(ids), np.concatenate(vectors))
+                ids, vectors, held = [], [], 0
+        if held:
+            yield from nearest(np.concatenate(ids), np.concatenate(vectors))
+
+    out = rows.select(F.col(key).cast("bigint").alias(key), F.col(vector).cast("array<double>").alias(vector)).mapInArrow(run, "query bigint, found bigint, score double")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "found")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -167,16 +190,45 @@ def best_per_group(hits: DataFrame, group: list[str], key: str, others: int = 3)
 
 
 def ladder(docs: DataFrame, key: str, columns: dict[str, float], terms: list[str]) -> DataFrame:
-    """Hits of the first rung that has any: all terms, all terms as prefixes, any term."""
-    rungs = [bm25(docs, key, columns, terms, every=True), bm25(docs, key, columns, terms, prefix=True, every=True), bm25(docs, key, columns, terms)]
-    union = None
-    for i, rung in enumerate(rungs):
-        part = rung.withColumn("rung", F.lit(i))
-        union = part if union is None else union.unionByName(part)
+    """Hits of the first rung that has any: all terms, all terms as prefixes, any
+    term. All rungs read the same counts."""
+    counts, n = term_counts(docs, key, columns, terms, prefix=True), len(terms)
+    rungs = [scored(counts, key, n, "tf", True), scored(counts, key, n, "pf", True), scored(counts, key, n)]
+    union = functools.reduce(DataFrame.unionByName, [rung.withColumn("rung", F.lit(i)) for i, rung in enumerate(rungs)])
     first = union.agg(F.min("rung").alias("rung"))  # one row
     return union.join(F.broadcast(first), "rung")
 
 
+#: Partitions of a written index by a hash of the term.
+INDEX_PARTS = 64
+
+
+def search_index(docs: DataFrame, key: str, columns: dict[str, float], folder: str | None = None, parts: int = INDEX_PARTS) -> str:
+    """Write an inverted index of the text columns and return its folder:
+    ``postings`` (term, key, wtf, len) in ``parts`` folders by a hash of the term,
+    sorted by term, and ``stats`` (n_docs, avg_len). A search reads the folders of
+    its terms, and in them the row groups that hold them."""
+    folder = folder or scratch(docs.sparkSession, "index")
+    rows = postings(docs, key, columns).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+    rows.repartition("part", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("part", "term", key).write.partitionBy("part").parquet(f"{folder}/postings")
+    own = docs.select(sum((F.size(tx.tokens(F.coalesce(F.col(c), F.lit("")))) for c in columns), F.lit(0)).alias("len"))
+    own.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")).write.parquet(f"{folder}/stats")
+    return folder
+
+
+def searched(spark: SparkSession, folder: str, key: str, terms: list[str], every: bool = False, parts: int = INDEX_PARTS) -> DataFrame:
+    """(key, score): BM25 from a written index, of rows with any term or every one."""
+    places = spark.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("term")).select(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part"))
+    wanted = sorted({r["part"] for r in places.collect()})  # a handful of numbers: they prune folders
+    found = spark.read.parquet(f"{folder}/postings").where(F.col("part").isin(*wanted) & F.col("term").isin(*terms))
+    df = found.groupBy("term").agg(F.count("*").alias("n"))  # a row a term
+    stats = spark.read.parquet(f"{folder}/stats")  # one row
+    f = F.col("wtf")
+    score = idf(F.col("n_docs"), F.col("n")) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    hits = found.join(F.broadcast(df), "term").join(F.broadcast(stats)).groupBy(key).agg(F.sum(score).alias("score"), F.count("*").alias("terms"))
+    return (hits.where(F.col("terms") == len(terms)) if every else hits).select(key, "score")
+
+
 def idf(n_docs: Column, n: Column) -> Column:
     raw = F.log((n_docs - n + 0.5) / (n + 0.5))
     return F.when(raw > 0, raw).otherwise(F.lit(IDF_FLOOR))

@@ -87,7 +87,7 @@ def issuers(t):
 )
 def deadlines(t):
     papers = _paper(t)
-    joined = papers.select("o_orderkey", "text").join(extraction.classified(papers, "o_orderkey", "text"), "o_orderkey")
+    joined = extraction.classified(papers, "o_orderkey", "text", keep=("text",))
     make = lambda k, body, kind: ((k, what, day) for what, day, _ in extraction.deadlines_of(body or "", kind))
     return extraction.mapped(joined, ["o_orderkey", "text", "kind"], "o_orderkey bigint, kind string, day date", make)
 

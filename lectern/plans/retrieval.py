@@ -63,6 +63,13 @@ def bm25_topk(t):
     return rt.top(hits, "doc_id", 10).select("doc_id", F.round("score", 4).alias("score"), "rank")
 
 
+@query("l6_indexed_search", _bm25_sql() + "SELECT doc_id, round(score, 4) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= 10")
+def indexed_search(t):
+    spark, columns = t.documents.sparkSession, {"text": 1.0, "source": 0.5}
+    hits = rt.searched(spark, rt.search_index(t.documents, "doc_id", columns), "doc_id", TERMS)
+    return rt.top(hits, "doc_id", 10).select("doc_id", F.round("score", 4).alias("score"), "rank")
+
+
 @query("l6_postings", rf"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all({_FOLD}, '[\p{{L}}\p{{N}}]+')) AS term FROM documents) GROUP BY ALL")
 def postings(t):
     return rt.postings(t.documents, "doc_id", {"text": 1.0}).select("doc_id", "term", F.col("wtf").cast("bigint").alias("tf"))

@@ -233,3 +233,23 @@ def test_folder_scan(spark, tmp_path):
         (tmp_path / name).write_text(text)
     found = {r["rel"]: r["kind"] for r in files.scan(spark, str(tmp_path), [], ["**/skip/**"]).select("rel", "kind").collect()}
     assert found == {"a.md": "md", "sub/b.TXT": "txt"}
+
+
+@pytest.mark.parametrize(
+    "text, issuer, category, kind",
+    [
+        ("FACTURA nº 12. Base imponible 10. IVA 21 %", "", "", "invoice"),
+        ("Factura simplificada. Gracias por su compra. IVA incluido", "", "", "receipt"),
+        ("Boletín de denuncia: multa por infracción. Notificación. Expediente 3. Matrícula", "", "", "fine"),
+        ("Nómina. Devengos, deducciones, Agencia Tributaria, IRPF, Seguridad Social", "", "", "payslip"),
+        ("Contrato, póliza, tomador y prima", "", "", "insurance"),
+        ("Nothing to see", "", "utility", "other"),
+        ("consumo", "", "utility", "bill"),
+        ("a letter", "Agencia Tributaria", "", "tax"),
+        ("a letter", "", "insurer", "insurance"),
+        (None, None, None, "other"),
+    ],
+)
+def test_kinds(spark, text, issuer, category, kind):
+    rows = spark.createDataFrame([(1, text, issuer, category)], "k int, text string, issuer string, category string")
+    assert extraction.classified(rows, "k", "text", "issuer", "category").first()["kind"] == kind
