@@ -1,10 +1,9 @@
-"""Shared folder, materialisation and Arrow helpers of the training-data operators."""
+"""Names, joins and Arrow helpers of the training-data operators."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,43 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where checkpoints go when the session names no shared folder (tests, local mode).
-LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
+from ..storage import materialise, scratch
+
+__all__ = ["CACHES", "SLICE_BYTES", "SPACES", "crc_mod", "drop_caches", "fresh", "give_back", "join_groups", "map_arrow", "materialise", "scratch", "slices", "table", "text_bytes"]
+
 #: ASCII white space as the contracts define it.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text that a worker turns into Python objects at a time.
 SLICE_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session. Where that is unset a local master gets a local folder; on a
-    cluster it is an error, as executors would not see each other's files."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
-        folder = LOCAL_CHECKPOINTS
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared folder."""
-    return f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage so
-    that a lost executor costs a re-read, not a recomputation."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(name: str, *tables: DataFrame) -> str:
     """``name``, lengthened until no column of ``tables`` begins so (in any case)."""
     taken = [c.lower() for df in tables for c in df.columns]
