@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CACHES, map_arrow, materialise, scratch, slices, text_bytes
+from .common import CACHES, SPACES, map_arrow, materialise, scratch, slices, text_bytes
 
 MAGIC = b"LWMX0001"
 BLOCK_TOKENS = 1 << 18
@@ -63,23 +63,43 @@ _EASY = bytes(c for c in range(256) if chr(c) in "abcdefghijklmnopqrstuvwxyz0123
 _SHAPE = bytes(44 if chr(c) in ",.;:!?" else 32 if chr(c) in " \t\n\x0b\x0c\r" else c for c in range(256))
 
 
-def _pieces(text: bytes) -> list[bytes]:
-    """Parts of a text that the tokenizer handles apart: white-space separated,
-    marks cut from the words they end, ASCII in lower case as the library will
-    have it (not where special tokens may stand)."""
+_SPACE = np.zeros(256, bool)
+_SPACE[list(SPACES)] = True
+
+
+def _spaced(text: bytes) -> bytes:
+    """A text whose white-space separated parts the tokenizer handles apart: marks
+    cut from the words they end, ASCII in lower case as the library will have it
+    (not where special tokens may stand)."""
     if b"<" in text:
-        return text.split()
+        return text
     text = text.lower()
     easy = not text.translate(None, _EASY) and b"\xc3\x97" not in text and b"\xc3\xb7" not in text
     if easy:
         shape = text.translate(_SHAPE)
         easy = shape.count(b",") == shape.count(b", ") + shape.endswith(b",")
-    if not easy:
-        return text.split()
-    for mark in (b",", b".", b";", b":", b"!", b"?"):
-        if mark in text:
-            text = text.replace(mark, b" " + mark)
-    return text.split()
+    if easy:
+        for mark in (b",", b".", b";", b":", b"!", b"?"):
+            if mark in text:
+                text = text.replace(mark, b" " + mark)
+    return text
+
+
+def _pieces(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct parts of ``texts``, the number of the one at each place, and
+    where each text's places end. No object is made for a place."""
+    spaced = [_spaced(text) for text in texts]
+    data = np.frombuffer(b"\n".join([*spaced, b""]), np.uint8)
+    gap = _SPACE[data]
+    edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    if len(data) and not gap[0]:
+        edges = np.r_[0, edges]
+    starts, ends = edges[::2], edges[1::2]  # the last byte is a gap
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    parts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[np.flatnonzero(~gap)])]).dictionary_encode()
+    upto = np.searchsorted(starts, np.cumsum([len(text) + 1 for text in spaced]))
+    return parts.dictionary.to_pylist(), parts.indices.to_numpy(), upto
 
 
 class Encoder:
@@ -108,36 +128,38 @@ class Encoder:
         return cls._loaded[path]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [_pieces(text) for text in texts]
-        rows = [list(map(self.known.get, pieces)) for pieces in split]
-        gaps = [[i for i, ids in enumerate(row) if ids is None] for row in rows]
-        new = list({pieces[i] for pieces, at in zip(split, gaps) for i in at})
-        ids = self._ids(new)
-        self.known.update(zip(new, ids))
-        self.held += sum(map(len, new)) + sum(map(len, ids)) + ENTRY_BYTES * len(new)
-        for pieces, row, at in zip(split, rows, gaps):
-            for i in at:
-                row[i] = self.known[pieces[i]]
-        out = [np.frombuffer(b"".join(row), self.kind) for row in rows]
+        used, at, upto = _pieces(texts)
+        ids = self._ids([piece for piece in used if piece not in self.known])
+        self.known.update(ids)
+        self.held += sum(map(len, ids)) + sum(map(len, ids.values())) + ENTRY_BYTES * len(ids)
+        rows = list(map(self.known.__getitem__, used))
+        values = np.frombuffer(b"".join(rows), self.kind)
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // self.kind.itemsize
+        first, sizes = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ends = np.cumsum(sizes)
+        out = values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + sizes, sizes)]
+        cuts = np.r_[0, ends][upto].tolist()
         if self.held > CACHE_BYTES:  # go on with what is in use now
-            self.known = {piece: self.known[piece] for piece in set().union(*split)}
-            self.held = sum(len(piece) + len(ids) + ENTRY_BYTES for piece, ids in self.known.items())
-        return out
+            self.known = dict(zip(used, rows))
+            self.held = sum(map(len, used)) + sum(map(len, rows)) + ENTRY_BYTES * len(used)
+        return [out[a:b] for a, b in zip([0, *cuts], cuts)]
 
-    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+    def _ids(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of pieces, those that hold no mark of a special token in groups."""
+        plain = [p for p in pieces if SEPARATOR not in p and b"<" not in p] if self.separator is not None else []
         found: dict[bytes, bytes] = {}
-        if self.separator is not None:
-            plain = [p for p in pieces if SEPARATOR not in p and b"<" not in p]
-            mark, width = self.separator, self.kind.itemsize
-            for at in range(0, len(plain), GROUP * 64):
-                groups = [plain[i : i + GROUP] for i in range(at, min(at + GROUP * 64, len(plain)), GROUP)]
-                joined = [(b" " + SEPARATOR + b" ").join([*g, b""]).decode("utf-8", "replace") for g in groups]
-                for group, got in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-                    row = np.array(got.ids, self.kind)
-                    ends = np.flatnonzero(row == mark)
-                    data, starts = row.tobytes(), width * np.r_[0, ends[:-1] + 1]
-                    found.update(zip(group, map(data.__getitem__, map(slice, starts.tolist(), (width * ends).tolist()))))
-        return [found[p] if p in found else self._one(p) for p in pieces]
+        mark, width, between = self.separator, self.kind.itemsize, b" " + SEPARATOR + b" "
+        for at in range(0, len(plain), GROUP * 64):
+            part = plain[at : at + GROUP * 64]
+            joined = [between.join([*part[i : i + GROUP], b""]).decode("utf-8", "replace") for i in range(0, len(part), GROUP)]
+            got = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+            row = np.concatenate([np.array(g.ids, self.kind) for g in got])
+            ends = np.flatnonzero(row == mark)
+            data, starts = row.tobytes(), width * np.r_[0, ends[:-1] + 1]
+            found.update(zip(part, map(data.__getitem__, map(slice, starts.tolist(), (width * ends).tolist()))))
+        if len(found) < len(pieces):
+            found.update((p, self._one(p)) for p in pieces if p not in found)
+        return found
 
     def _one(self, piece: bytes) -> bytes:
         return np.array(self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind).tobytes()
