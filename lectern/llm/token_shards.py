@@ -60,6 +60,8 @@ END_ID = 1
 
 #: Bytes of texts whose every mark may be cut off when white space follows it.
 _EASY = bytes(c for c in range(256) if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789,.;:!? \t\n\x0b\x0c\r" or c == 0xC3 or 0x80 <= c < 0xC0)
+#: Bytes of lower-case words of Western European letters (two signs aside).
+_LETTERS = bytes(c for c in range(256) if chr(c) in "abcdefghijklmnopqrstuvwxyz" or c == 0xC3 or 0x80 <= c < 0xC0)
 _SHAPE = bytes(44 if chr(c) in ",.;:!?" else 32 if chr(c) in " \t\n\x0b\x0c\r" else c for c in range(256))
 
 
@@ -120,6 +122,11 @@ class Encoder:
         self.held = 0
         ids = self.tokenizer.encode(SEPARATOR.decode(), add_special_tokens=False).ids
         self.separator = ids[0] if len(ids) == 1 else None
+        # which ids end a run of letters, if the vocabulary marks them
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends_word = np.zeros(1 + max(self.tokenizer.get_vocab().values(), default=0), bool)
+        if suffix:
+            self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -145,22 +152,37 @@ class Encoder:
         return [out[a:b] for a, b in zip([0, *cuts], cuts)]
 
     def _ids(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of pieces, those that hold no mark of a special token in groups."""
-        plain = [p for p in pieces if SEPARATOR not in p and b"<" not in p] if self.separator is not None else []
+        """The ids of pieces. Runs of letters go to the library in groups between
+        spaces, where the vocabulary marks their last ids, others that hold no mark
+        of a special token between separators, the rest one by one."""
         found: dict[bytes, bytes] = {}
-        mark, width, between = self.separator, self.kind.itemsize, b" " + SEPARATOR + b" "
-        for at in range(0, len(plain), GROUP * 64):
-            part = plain[at : at + GROUP * 64]
-            joined = [between.join([*part[i : i + GROUP], b""]).decode("utf-8", "replace") for i in range(0, len(part), GROUP)]
-            got = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
-            row = np.concatenate([np.array(g.ids, self.kind) for g in got])
-            ends = np.flatnonzero(row == mark)
-            data, starts = row.tobytes(), width * np.r_[0, ends[:-1] + 1]
-            found.update(zip(part, map(data.__getitem__, map(slice, starts.tolist(), (width * ends).tolist()))))
+        if self.ends_word.any():
+            letters = [p for p in pieces if not p.translate(None, _LETTERS) and b"\xc3\x97" not in p and b"\xc3\xb7" not in p]
+            self._grouped(letters, b" ", self.ends_word, 0, found)
+        if self.separator is not None and len(found) < len(pieces):
+            separates = np.zeros(len(self.ends_word), bool)
+            separates[self.separator] = True
+            plain = [p for p in pieces if p not in found and SEPARATOR not in p and b"<" not in p]
+            self._grouped(plain, b" " + SEPARATOR + b" ", separates, 1, found)
         if len(found) < len(pieces):
             found.update((p, self._one(p)) for p in pieces if p not in found)
         return found
 
+    def _grouped(self, pieces: list[bytes], between: bytes, is_end: np.ndarray, drop: int, found: dict[bytes, bytes]) -> None:
+        """Add the ids of pieces, joined in groups; ``is_end`` marks the ids that
+        end one, of which the last ``drop`` belong to no piece. Groups whose ends
+        don't match their pieces are left out."""
+        width = self.kind.itemsize
+        for at in range(0, len(pieces), GROUP * 64):
+            part = pieces[at : at + GROUP * 64]
+            joined = [between.join([*part[i : i + GROUP], b""]).decode("utf-8", "replace") for i in range(0, len(part), GROUP)]
+            got = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+            row = np.concatenate([np.array(g.ids, self.kind) for g in got])
+            ends = np.flatnonzero(is_end[row]) + 1
+            if len(ends) == len(part):
+                data, starts, stops = row.tobytes(), width * np.r_[0, ends[:-1]], width * (ends - drop)
+                found.update(zip(part, map(data.__getitem__, map(slice, starts.tolist(), stops.tolist()))))
+
     def _one(self, piece: bytes) -> bytes:
         return np.array(self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind).tobytes()
 

@@ -434,6 +434,14 @@ def test_encoder_matches_the_library_on_odd_texts(library):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_encoder_matches_the_library_on_real_texts(spark, library):
+    encoder = token_shards.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    texts += ["\xe9t\xe9 \xdcber \xd7 a\xd7b \xf7 \xff\xfe caf\xe9's e\u0301a \u0130x stra\xdfe \xc0", "e\u0301 " * 300]
+    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_wavelet_block():
     rng = np.random.default_rng(4)
     for top, n in ((1, 5), (3, 1000), (50_000, 3000)):
