@@ -93,3 +93,52 @@ def spoken(text: Column, today: Column) -> Column:
         .when(s.rlike(r"fin de mes|end of the month"), F.last_day(today))
         .when(weekday.isNotNull(), F.date_add(today, F.when(ahead == 0, 7).otherwise(ahead).cast("int")))
     )
+
+
+# Seconds of the units that an age is said in, folded; a month has 30 days, a year 365.
+AGE_UNITS = {
+    1: "s sec secs second seconds seg segundo segundos",
+    60: "m min mins minute minutes minuto minutos",
+    3600: "h hr hrs hour hours hora horas",
+    86400: "d day days dia dias",
+    604800: "w week weeks semana semanas",
+    2592000: "mo month months mes meses",
+    31536000: "y year years ano anos",
+}
+
+
+def since(text: Column, now: Column) -> Column:
+    """The moment (without a time zone, UTC) from which a phrase counts: epoch
+    seconds, an ISO date or time, an age ("2h", "hace 3 dias", "1.5 weeks ago"), "last
+    hour", or a named day, week or month. ``now`` is a timestamp without a time zone;
+    null where the phrase can't be read."""
+    from .text import fold
+
+    s = F.regexp_replace(F.trim(fold(text)), r"\s+", " ")
+    seconds = F.create_map(*[F.lit(x) for n, words in AGE_UNITS.items() for word in words.split() for x in (word, n)])
+    back = lambda n: now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), n.cast("decimal(18,6)"))
+    age = r"^(?:(?:hace|last) )?(\d+(?:[.,]\d+)?) ?([a-z]+)(?: ago)?$"
+    count = F.translate(F.regexp_extract(s, age, 1), ",", ".").try_cast("double")
+    unit = F.try_element_at(seconds, F.regexp_extract(s, age, 2))
+    last = F.try_element_at(seconds, F.regexp_extract(s, r"^(?:(?:la|el|the) )?(?:ultim[ao]|last|past) ([a-z]+)$", 1))
+    iso = r"^(\d{4}-\d\d-\d\d(?:[t ][\d:.]+)?)(z|[+-]\d\d:?\d\d)?$"
+    zone = F.regexp_extract(s, iso, 2)
+    minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.right(zone, F.lit(2)).try_cast("int")
+    east = F.when(zone.isin("", "z"), 0).when(zone.startswith("-"), -minutes).otherwise(minutes)
+    written = F.upper(F.regexp_extract(s, iso, 1)).try_cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), east)
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), s.try_cast("decimal(18,6)"))
+    day = F.to_date(now)
+    at = lambda d, hours=0: d.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(hours))
+    return (
+        F.when(s.rlike(r"^\d{9,}(\.\d+)?$"), epoch)
+        .when(s.rlike(iso), written)
+        .when(s.isin("hoy", "today"), at(day))
+        .when(s.isin("ayer", "yesterday"), at(F.date_sub(day, 1)))
+        .when(s.isin("esta manana", "this morning"), at(day, 6))
+        .when(s.isin("esta semana", "this week"), at(F.trunc(day, "week")))
+        .when(s.isin("este mes", "this month"), at(F.trunc(day, "month")))
+        .when(s.isin("la semana pasada", "last week"), back(F.lit(604800)))
+        .when(s.isin("el mes pasado", "last month"), back(F.lit(2592000)))
+        .when(last.isNotNull(), back(last))
+        .when(unit.isNotNull(), back(count * unit))
+    )

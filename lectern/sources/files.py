@@ -64,7 +64,8 @@ def sniffed(path: Column, content: Column) -> Column:
         out = F.when(found, value) if out is None else out.when(found, value)
     text = F.decode(F.substring(content, 1, 1000), "ISO-8859-1")
     html = F.lower(text).rlike(r"^\s*(<!doctype html|<html)")
-    return out.when(html, "html").when(kind_of(path) != "", kind_of(path)).when(F.instr(text, "\x00") > 0, "binary").otherwise("txt")
+    marked = head.startswith("FFFE") | head.startswith("FEFF")  # UTF-16 or UTF-32, whose zero bytes are text
+    return out.when(html, "html").when(kind_of(path) != "", kind_of(path)).when(~marked & (F.instr(text, "\x00") > 0), "binary").otherwise("txt")
 
 
 def decoded(content: Column) -> Column:
@@ -90,3 +91,11 @@ def watch(spark: SparkSession, folder: str, most: int = 200) -> DataFrame:
     """The files of a folder as a stream, at most ``most`` a trigger; what was seen
     is the stream's checkpoint."""
     return spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", most).load(folder)
+
+
+def stored(rows: DataFrame, content: str, extension: str) -> DataFrame:
+    """(sha, path, bytes, refs) of a store by content: one row a distinct content, at
+    a path that its hash gives. Only hashes and sizes are shuffled."""
+    put = rows.where(F.col(content).isNotNull()).select(F.sha2(content, 256).alias("sha"), F.octet_length(content).cast("bigint").alias("bytes"))
+    path = F.concat(F.substring("sha", 1, 2), F.lit("/"), F.col("sha"), F.lit(f".{extension}"))
+    return put.groupBy("sha").agg(F.max("bytes").alias("bytes"), F.count("*").alias("refs")).select("sha", path.alias("path"), "bytes", "refs")

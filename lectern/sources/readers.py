@@ -18,9 +18,11 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.chunking import markdown_sections
 from ..operators.html import read as read_html
+from .files import sniffed
 
 Unit = tuple[str, int, str, str, int | None]
 CSV_ROWS = 200
@@ -157,12 +159,22 @@ def odt(data: bytes) -> Iterator[Unit]:
             held.append(text)
 
 
+#: Groups that hold no text, and the marks of RTF by what they stand for.
+_RTF_TABLES = re.compile(r"\{\\(?:fonttbl|colortbl|stylesheet|info|\*)[^{}]*(?:\{[^{}]*\}[^{}]*)*\}")
+_RTF_MARK = re.compile(r"\\'(?P<byte>[0-9a-fA-F]{2})|\\u(?P<unit>-?\d+) ?(?:\\'[0-9a-fA-F]{2}|\?)?|\\(?P<word>[a-zA-Z]+)-?\d* ?|\\(?P<sign>[\\{}])|\\.|[{}\r\n]", re.S)
+
+
+def _rtf_mark(m: re.Match) -> str:
+    if m["byte"]:
+        return bytes([int(m["byte"], 16)]).decode("cp1252", "replace")
+    if m["unit"]:
+        return chr(int(m["unit"]) % 65536)
+    return m["sign"] or {"par": "\n", "line": "\n", "tab": "\t"}.get(m["word"] or "", "")
+
+
 def rtf(data: bytes) -> Iterator[Unit]:
-    s = re.sub(r"\{\\(?:fonttbl|colortbl|stylesheet|info|\*)[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", "", data.decode("latin-1"))
-    s = re.sub(r"\\'([0-9a-fA-F]{2})", lambda m: bytes([int(m[1], 16)]).decode("cp1252", "replace"), s)
-    s = re.sub(r"\\u(-?\d+)\s?\??", lambda m: chr(int(m[1]) % 65536), s)
-    s = re.sub(r"\\(?:par|line)\b ?", "\n", s)
-    yield "text", 1, "", re.sub(r"\\[a-zA-Z]+-?\d* ?|[{}]", "", s).strip(), 1
+    s = _RTF_MARK.sub(_rtf_mark, _RTF_TABLES.sub("", data.decode("latin-1")))
+    yield "text", 1, "", s.encode("utf-16", "surrogatepass").decode("utf-16", "replace").strip(), 1
 
 
 def eml(data: bytes) -> Iterator[Unit]:
@@ -203,3 +215,36 @@ def units(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "unit_kind", "number", "title", "text", "line", "note"]).astype({"line": "Int64"})
 
     return files.select("path", "kind", "content").mapInPandas(run, "path string, unit_kind string, number bigint, title string, text string, line bigint, note string")
+
+
+def read_any(files: DataFrame) -> DataFrame:
+    """(path, kind, title, n_units, text, needs_ocr, note): one row a file of (path,
+    content), its kind told by its bytes. A picture, or a PDF of which at least half
+    of the pages have no text, needs OCR; an empty, broken, legacy or unknown file
+    has no text and the reason as its note."""
+    told = files.select("path", sniffed(F.col("path"), F.col("content")).alias("kind"), "content")
+    names = ["path", "kind", "title", "n_units", "text", "needs_ocr", "note"]
+
+    def one(path: str, kind: str, data: bytes) -> tuple:
+        stem = posixpath.splitext(posixpath.basename(path or ""))[0]
+        if not data:
+            return path, kind, stem, 0, "", False, "the file is empty"
+        if kind == "image":
+            return path, kind, stem, 0, "", True, "a picture: its text needs OCR"
+        if kind not in READERS:
+            return path, kind, stem, 0, "", False, f"no reader for {kind}"
+        try:
+            found = list(READERS[kind](data))
+        except Exception as e:  # a broken file is a row, not a failed job
+            return path, kind, stem, 0, "", kind == "pdf", f"could not be read: {type(e).__name__}: {e}"[:200]
+        bare = sum(not u[3].strip() for u in found)
+        ocr = kind == "pdf" and 2 * bare >= max(2, len(found))
+        kept = [u for u in found if u[3]]
+        title = kept[0][2] if kept and len(kept) == 1 else ""
+        return path, kind, title or stem, len(kept), "\n\n".join(u[3] for u in kept), ocr, f"{bare} pages have no text" if kind == "pdf" and bare else None
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([one(p, k, bytes(c or b"")) for p, k, c in zip(b["path"], b["kind"], b["content"])], columns=names)
+
+    return told.mapInPandas(run, "path string, kind string, title string, n_units int, text string, needs_ocr boolean, note string")
