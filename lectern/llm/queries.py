@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extract, mixing, ppm, simhash, token_counts, token_shards, toxicity, warc_zip
+from . import decontaminate, exact_dedup, filter_audit, html_extract, importance, mixing, ppm, simhash, token_counts, token_shards, topk, toxicity, warc_zip
 from .common import table
 
 
@@ -52,6 +52,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, topk.ids_divisible_by(vectors, topk.DIVISOR), topk.K)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.corpus_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -62,4 +75,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc_zip": warc_zip.ORACLE_SQL,
         "op8_benchmark_decontamination": decontaminate.ORACLE_SQL,
         "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op11_exact_topk": topk.ORACLE_SQL,
+        "op12_filter_audit": filter_audit.ORACLE_SQL,
     }
