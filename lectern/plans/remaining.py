@@ -16,10 +16,10 @@ from .registry import query
 @query("a1_folder_scan", "SELECT 6 AS files, 'csv,html,md,txt' AS kinds")
 def folder_scan(t):
     """Writes a small folder into the shared scratch and scans it."""
-    from ..streaming.jobs import shared_folder
+    from ..storage import scratch
 
     spark = t.region.sparkSession
-    folder = shared_folder(t.region, "scan")
+    folder = scratch(t.spark, "scan")
     for name in ("a.md", "b.txt", "c.html", "d.csv", "sub/e.md", "sub/f.txt", "skip/g.md", "h.bin"):
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
         out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)

@@ -8,7 +8,6 @@ a queue and a ``writeStream`` of their own.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,19 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Where checkpoints go when the session names no shared folder.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
-
-def shared_folder(df: DataFrame, name: str) -> str:
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-    return f"{folder.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
-
+from ..storage import scratch
 
 def run_once(table: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """Write ``table`` to a folder, stream it through ``job`` until it is used up,
     and return what came out."""
-    spark, base = table.sparkSession, shared_folder(table, job.__name__)
+    spark, base = table.sparkSession, scratch(table.sparkSession, f"stream-{job.__name__}")
     table.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(table.schema).parquet(f"{base}/in")
     out, path = job(stream), f"{base}/out"

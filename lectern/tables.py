@@ -18,6 +18,13 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self._spark, self._dir = spark, sf_dir
 
+    @property
+    def spark(self) -> SparkSession:
+        return self._spark
+
+    def path(self, name: str) -> str:
+        return f"{self._dir}/{name}.parquet"
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in NAMES:
             raise AttributeError(name)
