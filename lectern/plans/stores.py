@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..operators import dense_index, minhash, ordering, phrases
 from ..sources import messages
 from ..storage import scratch
@@ -75,3 +76,28 @@ def index_search(t):
     index = dense_index.build(t.embeddings, "vec_id", "embedding")
     asked = t.embeddings.where("vec_id % 50 = 0")
     return dense_index.search(t.spark, index, asked, "vec_id", "embedding", 10).select("query_id", "rank", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query("px_chunk_text_function")
+def chunk_text_function(t):
+    """The chunks of ``m8_chunk_text``, from SQL."""
+    tables.register(t.spark)
+    return t.spark.sql("SELECT * FROM chunk_text(TABLE(SELECT doc_id, text FROM {docs}))", docs=t.documents)
+
+
+@query("px_chunk_units_function")
+def chunk_units_function(t):
+    """The chunks of ``m5_chunk_units``, from SQL."""
+    tables.register(t.spark)
+    units = t.conversations.select("conv_id", "turn", F.lit("section").alias("kind"), F.concat("role", F.lit(" "), F.col("turn").cast("string")).alias("title"), "text")
+    return t.spark.sql("SELECT * FROM chunk_units(TABLE(SELECT * FROM {units}) PARTITION BY conv_id ORDER BY turn)", units=units)
+
+
+@query("px_cues_function", "SELECT conv_id, count(*) AS cues, CAST(max(turn * 2.5 + 2) AS DOUBLE) AS last_end FROM conversations GROUP BY conv_id")
+def cues_function(t):
+    from ..sources import sinks
+    from .sources import _cues
+
+    tables.register(t.spark)
+    text = sinks.srt(_cues(t), "conv_id", "turn", "s", "e", "text").select("conv_id", "text")
+    return t.spark.sql("SELECT conv_id, count(*) AS cues, max(stop) AS last_end FROM cues(TABLE(SELECT * FROM {text})) GROUP BY conv_id", text=text)

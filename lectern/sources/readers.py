@@ -200,18 +200,21 @@ def pdf(data: bytes) -> Iterator[Unit]:
 READERS = {"md": markdown, "txt": plain, "code": plain, "csv": table, "html": html, "epub": epub, "docx": docx, "pptx": pptx, "xlsx": xlsx, "odt": odt, "rtf": rtf, "eml": eml, "pdf": pdf}
 
 
+def file_units(path: str, kind: str, content: bytes) -> list[tuple]:
+    """(path, unit_kind, number, title, text, line, note) of one file's units; a file
+    that can't be read gives one row with the reason as its note."""
+    try:
+        return [(path, *unit, None) for unit in READERS.get(kind, plain)(content)]
+    except Exception as e:  # a broken file is a row, not a failed job
+        return [(path, "error", 0, "", "", None, f"{type(e).__name__}: {e}"[:200])]
+
+
 def units(files: DataFrame) -> DataFrame:
-    """(path, unit_kind, number, title, text, line, note) of files (path, kind,
-    content); a file that can't be read gives one row with the reason as its note."""
+    """``file_units`` of files (path, kind, content)."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for path, kind, content in zip(batch["path"], batch["kind"], batch["content"]):
-                try:
-                    out += [(path, *unit, None) for unit in READERS.get(kind, plain)(bytes(content))]
-                except Exception as e:  # a broken file is a row, not a failed job
-                    out.append((path, "error", 0, "", "", None, f"{type(e).__name__}: {e}"[:200]))
+            out = [u for path, kind, content in zip(batch["path"], batch["kind"], batch["content"]) for u in file_units(path, kind, bytes(content))]
             yield pd.DataFrame(out, columns=["path", "unit_kind", "number", "title", "text", "line", "note"]).astype({"line": "Int64"})
 
     return files.select("path", "kind", "content").mapInPandas(run, "path string, unit_kind string, number bigint, title string, text string, line bigint, note string")
