@@ -67,16 +67,16 @@ def chosen_amount(t):
     return extraction.mapped(_paper(t), ["o_orderkey", "text"], "o_orderkey bigint, amount double", make)
 
 
-@query("n9_references", "SELECT o_orderkey, ['F-', 'P-', 'X-', 'O-'][o_orderkey % 5 + 1] || o_orderkey AS ref FROM orders WHERE o_orderkey >= 10 AND o_orderkey % 5 < 4")
+@query("n9_references", "SELECT o_orderkey, CASE WHEN o_orderkey >= 10 THEN ['F-', 'P-', 'X-', 'O-'][o_orderkey % 5 + 1] || o_orderkey END AS ref FROM orders")
 def references(t):
-    make = lambda k, body: ((k, r) for r in extraction.references_in(body or "")[:1])
-    return extraction.mapped(_paper(t).where("o_orderkey >= 10 and n < 4"), ["o_orderkey", "text"], "o_orderkey bigint, ref string", make)
+    make = lambda k, body: [(k, next(iter(extraction.references_in(body or "")), None))]
+    return extraction.mapped(_paper(t), ["o_orderkey", "text"], "o_orderkey bigint, ref string", make)
 
 
-@query("n10_issuers", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'Aguas Claras S.L.' ELSE 'Ayuntamiento de Villa' END AS issuer FROM orders WHERE o_orderkey % 5 IN (0, 2)")
+@query("n10_issuers", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'Aguas Claras S.L.' WHEN 1 THEN 'Póliza: P-' || o_orderkey WHEN 2 THEN 'Ayuntamiento de Villa' WHEN 3 THEN 'Warranty and receipt' ELSE 'A note without any paperwork ' || o_orderkey END AS issuer FROM orders")
 def issuers(t):
     make = lambda k, body: [(k, extraction.issuer_of(body or ""))]
-    return extraction.mapped(_paper(t).where("n in (0, 2)"), ["o_orderkey", "text"], "o_orderkey bigint, issuer string", make)
+    return extraction.mapped(_paper(t), ["o_orderkey", "text"], "o_orderkey bigint, issuer string", make)
 
 
 @query(
@@ -163,7 +163,7 @@ def merchants_in_text(t):
     return t.documents.join(F.broadcast(names), F.lower("text").contains(F.col("merchant"))).select("doc_id", "merchant")
 
 
-@query("n12_hint_check", "SELECT conv_id, turn, turn % 3 <> 0 AS literal FROM conversations WHERE length(text) > 30")
+@query("n12_hint_check", "SELECT conv_id, turn, turn % 3 <> 0 AS literal FROM conversations")
 def hint_check(t):
     hint = F.when(F.col("turn") % 3 != 0, F.substring("text", 5, 20)).otherwise("never said in any text")
-    return t.conversations.where(F.length("text") > 30).select("conv_id", "turn", F.col("text").contains(hint).alias("literal"))
+    return t.conversations.select("conv_id", "turn", F.col("text").contains(hint).alias("literal"))

@@ -112,16 +112,21 @@ def interval_overlap(t):
     return joining.interval_overlaps(views, buys, ["user_id"], "vs", "ve", "ps", "pe", 3600.0).select("user_id", "view_id", "purchase_id")
 
 
+WEEK = 7 * 24 * 3600
+
+
 @query(
     "c13_containment",
     """SELECT e.event_id, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 604800) AS BIGINT) AS week FROM events e""",
 )
 def containment(t):
-    spark = t.events.sparkSession
-    weeks = spark.range(0, 6).select(F.col("id").alias("week"), (F.col("id") * 604800).alias("start"), ((F.col("id") + 1) * 604800).alias("stop"))
     at = F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp_ntz"))
-    e = t.events.select("event_id", at.alias("at"))
-    return e.join(F.broadcast(weeks), (F.col("at") >= F.col("start")) & (F.col("at") < F.col("stop"))).select("event_id", "week")  # six rows
+    e = t.events.select("event_id", at.alias("at"), (at + 1).alias("behind"))
+    week = F.floor(F.col("at") / WEEK)
+    # a row a week of the table's time, whatever it spans
+    weeks = e.agg(F.min(week).alias("a"), F.max(week).alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias("week"))
+    weeks = weeks.select("week", (F.col("week") * WEEK).alias("start"), ((F.col("week") + 1) * WEEK).alias("stop"))
+    return joining.interval_overlaps(e, weeks, [], "at", "behind", "start", "stop", float(WEEK)).select("event_id", "week")
 
 
 @query(

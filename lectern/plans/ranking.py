@@ -68,4 +68,4 @@ def patience_anchors(t):
     from ..operators.compare import anchors
 
     c = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x")).select("conv_id", F.transform("x", lambda x: x["text"]).alias("old"))
-    return anchors(c.withColumn("new", F.concat(F.slice("old", 2, 100), F.array(F.get("old", F.lit(0))))), "conv_id", "old", "new")
+    return anchors(c.withColumn("new", F.concat(F.slice("old", F.lit(2), F.size("old")), F.array(F.get("old", F.lit(0))))), "conv_id", "old", "new")

@@ -228,7 +228,7 @@ def text_find(t):
     return t.documents.select("doc_id", F.instr(tx.squeeze(F.lower("text")), "of the").cast("bigint").alias("at"))
 
 
-@query("l23_paragraph_pages", "SELECT doc_id, place - 1 AS place, sha256(p) AS version FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents WHERE n_chars > 3000)")
+@query("l23_paragraph_pages", "SELECT doc_id, place - 1 AS place, sha256(p) AS version FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents)")
 def paragraph_pages(t):
-    rows = t.documents.where("n_chars > 3000").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "p"))
+    rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "p"))
     return rows.select("doc_id", F.col("place").cast("bigint").alias("place"), F.sha2("p", 256).alias("version"))

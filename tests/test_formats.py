@@ -1,5 +1,6 @@
 """Readers, writers, ages and evidence on cases that the tables don't hold."""
 
+import re
 import datetime as dt
 import random
 
@@ -80,3 +81,19 @@ def test_evidence(spark):
 def test_stored_once(spark):
     rows = spark.createDataFrame([(b"a",), (b"a",), (b"",), (None,)], "content binary")
     assert sorted((r["bytes"], r["refs"]) for r in files.stored(rows, "content", "bin").collect()) == [(0, 1), (1, 2)]
+
+
+def test_kind_points_are_plain_counts():
+    import random
+
+    rng = random.Random(2)
+    words = ["factura", "factura simplificada", "n.º de factura", "iva", "poliza", "tomador", "garantia", "warranty", "multa", "dni", "saldo", "plan anual", "modelo 303", "owner's manual", "ley 39/2015", "xx", "recibo de salarios", "vat", "\n", "privado", "contrato"]
+    rules = extraction.KindRules()
+    for _ in range(200):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(30)))
+        expected = [sum(w * min(cap, len(re.findall(p, text))) for p, w, cap in kind) for kind in extraction.KIND_RULES.values()]
+        assert rules.points(text) == expected
+    for kind in extraction.KIND_RULES.values():
+        for pattern, _, _ in kind:
+            literals = extraction._needed(pattern)
+            assert literals is None or all(len(x) > 1 for x in literals), pattern
