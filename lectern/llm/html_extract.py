@@ -20,7 +20,8 @@ character references are decoded, runs of white space become one space, and the
 ends are trimmed. ``br`` counts as white space.
 
 Defined results: null or empty html gives the empty text; a page without content
-blocks too; pages of any length are read whole; bytes that are no UTF-8 read as
+blocks too; pages of any length and depth are read whole, in about linear time up
+to the flow of the blocks that their own evidence doesn't settle; bytes that are no UTF-8 read as
 U+FFFD; equal costs fall to boilerplate;
 unclosed or stray tags are repaired as browsers do for paragraphs, list items
 and table cells; CDATA sections are markup; repeated rows each get a row; an
@@ -30,7 +31,7 @@ empty table gives none; extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -50,7 +51,7 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 #: Their content is no markup and no text of the page.
 RAW_TAGS = frozenset("script style title textarea iframe noembed noframes noscript xmp".split())
 #: Their text is never shown as part of an article.
-DROPPED_TAGS = frozenset("head svg math template object canvas audio video button select datalist map".split())
+DROPPED_TAGS = frozenset("head svg template object canvas audio video button select datalist map".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset search".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
@@ -72,6 +73,9 @@ STATE_WORDS = frozenset("has is no not with without".split())
 #: numbers. Of containers: content elements, elements and roles of boilerplate,
 #: names of boilerplate, hints of a name.
 CONTENT, BOILERPLATE, NAMED, HINT = 400, -480, -400, 24
+#: Of a page on which nothing names an article, and of its hints where no element is
+#: one; and the tie of a block to such a page.
+WHOLE, WHOLE_TIE = 120, 24
 #: What a word of boilerplate in company of others says.
 PART_NAMED = -28
 #: Of blocks, by ``Block.features``: ``learn`` found them from ``PRIOR`` and the
@@ -105,7 +109,7 @@ _CLOSES = {
 class Node:
     """An open element: what it says about the text below it."""
 
-    __slots__ = ("tag", "parent", "depth", "evidence", "inside", "dropped", "linked", "container")
+    __slots__ = ("tag", "parent", "depth", "evidence", "inside", "dropped", "linked", "container", "block", "outside_form")
 
     def __init__(self, tag: str, parent: "Node | None", attributes: str = "") -> None:
         self.tag, self.parent = tag, parent
@@ -118,16 +122,15 @@ class Node:
             self.dropped = True  # hidden within a line
         if self.evidence >= CONTENT:
             self.inside = True
-        # the closest element that says something, this one included
+        # the closest block element and the closest one that says something, this one included
+        self.block: Node = self if tag in BLOCK_TAGS or parent is None else parent.block
         self.container: Node | None = self if self.evidence else parent and parent.container
+        self.outside_form: Node | None = self if self.evidence and tag != "form" else parent and parent.outside_form
 
     def around(self) -> "Node | None":
         """The container that this container is in; a form around content (a
         whole page may be one) doesn't count."""
-        found = self.parent and self.parent.container
-        while found is not None and self.evidence >= CONTENT and found.tag == "form":
-            found = found.parent and found.parent.container
-        return found
+        return self.parent and (self.parent.outside_form if self.evidence >= CONTENT else self.parent.container)
 
 
 def _evidence(tag: str, attributes: str, inside: bool) -> int:
@@ -210,12 +213,14 @@ def blocks(html: str) -> list[Block]:
         if node.linked:
             linked += len(raw.strip())
 
+    open_tags: Counter[str] = Counter()  # a tag that isn't open need not be looked for
+
     def pop_to(target: Node) -> None:
         nonlocal node, owner
-        node = target
-        while target.tag not in BLOCK_TAGS and target.parent:
-            target = target.parent
-        owner = target
+        while node is not target:
+            open_tags[node.tag] -= 1
+            node = node.parent
+        owner = target.block
 
     at, size = 0, len(html)
     while at < size:
@@ -231,9 +236,9 @@ def blocks(html: str) -> list[Block]:
             continue
         tag, closing, attributes = tag.lower(), m[1] or m[4], (m[3] if m[2] else m[6]) or ""
         if closing:
-            if tag in BLOCK_TAGS or tag in DROPPED_TAGS:
+            if tag in BLOCK_TAGS or tag == "head":
                 flush()
-            found = node
+            found = node if open_tags[tag] else None
             while found is not None and found.tag != tag:
                 # inline end tags don't close blocks, cells don't close tables
                 if tag not in BLOCK_TAGS and tag not in DROPPED_TAGS and found.tag in BLOCK_TAGS:
@@ -255,7 +260,7 @@ def blocks(html: str) -> list[Block]:
             flush()
             if tag in _CLOSES:
                 closes, stop = _CLOSES[tag]
-                found, last = node, None
+                found, last = node if any(open_tags[c] for c in closes) else None, None
                 while found is not None and found.tag not in stop:
                     if found.tag in closes:
                         last = found
@@ -263,19 +268,17 @@ def blocks(html: str) -> list[Block]:
                 if last is not None and last.parent is not None:
                     pop_to(last.parent)
             elif tag != "option":
-                found = node
-                while found is not None and found.tag not in BLOCK_TAGS:
-                    found = found.parent
-                if found is not None and found.tag == "p" and found.parent is not None:
-                    pop_to(found.parent)  # a block ends an open paragraph
+                if node.block.tag == "p" and node.block.parent is not None:
+                    pop_to(node.block.parent)  # a block ends an open paragraph
             if tag == "body":
                 while node.tag == "head" and node.parent is not None:
                     pop_to(node.parent)
         if tag in VOID_TAGS or attributes.endswith("/") and tag not in BLOCK_TAGS:
             continue
-        if tag in DROPPED_TAGS:
+        if tag == "head":
             flush()
         node = Node(tag, node, attributes)
+        open_tags[tag] += 1
         if tag in BLOCK_TAGS:
             owner = node
     flush()
@@ -289,21 +292,35 @@ def graph(found: list[Block]) -> tuple[list[int], list[tuple[int, int, int, int]
     evidence, edges = [b.evidence() for b in found], []
     place: dict[int, int] = {}
 
+    says = [b.node.container.evidence for b in found if b.node.container is not None]
+    unnamed = not any(e >= CONTENT for e in says)  # then a hint is the best name there is
+
     def container(node: Node) -> int:
-        at = place.get(id(node))
-        if at is None:
-            at = place[id(node)] = len(evidence)
-            evidence.append(node.evidence)
-            outer = node.around()
+        chain = []
+        while id(node) not in place:
+            place[id(node)] = len(evidence)
+            evidence.append(WHOLE if unnamed and node.evidence == HINT else node.evidence)
+            chain.append(node)
+            node = node.around()
+            if node is None:
+                break
+        for inner in chain:
+            outer = inner.around()
             if outer is not None:
-                edges.append((container(outer), at, NEST, NEST_CONTENT))
-        return at
+                edges.append((place[id(outer)], place[id(inner)], NEST, NEST_CONTENT))
+        return place[id(chain[0] if chain else node)]
 
+    whole = None
+    if not any(e > 0 for e in says):
+        whole = len(evidence)  # nothing names an article: the page itself may be one
+        evidence.append(WHOLE)
     for i, block in enumerate(found):
         own = block.node.container
         if own is not None:
             tie = TIE if abs(own.evidence) >= CONTENT else HINT_TIE
             edges.append((i, container(own), tie, tie))
+        elif whole is not None:
+            edges.append((i, whole, WHOLE_TIE, WHOLE_TIE))
         if i:
             before = found[i - 1].node
             near = SMOOTH >> _apart(before, block.node) + (2 if before.container is not own else 0)
@@ -313,9 +330,10 @@ def graph(found: list[Block]) -> tuple[list[int], list[tuple[int, int, int, int]
 
 
 def _apart(a: Node, b: Node) -> int:
-    """Steps from the blocks' parents to their closest common ancestor."""
+    """Steps from the blocks' parents to their closest common ancestor, up to as
+    many as leave nothing of an edge."""
     a, b, steps = a.parent or a, b.parent or b, 0
-    while a is not b:
+    while a is not b and steps < SMOOTH.bit_length():
         if a.depth >= b.depth:
             a = a.parent
         else:
@@ -354,8 +372,9 @@ def minimum_cut(evidence: list[int], edges: list[tuple[int, int, int, int]]) ->
 
 
 def _max_flow(rest: list[int], e: list[int], around: list[list[tuple[int, int, int]]]) -> list[bool]:
-    """Augmenting shortest paths between source and sink over the unsettled
-    nodes; the source side is what the residual graph still reaches."""
+    """Maximum flow by levels: all shortest paths between source and sink over the
+    unsettled nodes are filled before the levels are told anew; the source side is
+    what the residual graph still reaches."""
     place = {i: k for k, i in enumerate(rest)}
     source, sink = len(rest), len(rest) + 1
     head: list[int] = []
@@ -377,24 +396,35 @@ def _max_flow(rest: list[int], e: list[int], around: list[list[tuple[int, int, i
             if j in place and i < j:
                 join(k, place[j], a, b)
     while True:
-        by = {source: -1}
-        queue = deque([source])
-        while queue and sink not in by:
+        level = [-1] * len(out)
+        level[source], queue = 0, deque([source])
+        while queue:
             a = queue.popleft()
             for x in out[a]:
-                if room[x] > 0 and head[x] not in by:
-                    by[head[x]] = x
+                if room[x] > 0 and level[head[x]] < 0:
+                    level[head[x]] = level[a] + 1
                     queue.append(head[x])
-        if sink not in by:
-            return [k in by for k in range(len(rest))]
-        path, a = [], sink
-        while a != source:
-            path.append(by[a])
-            a = head[by[a] ^ 1]
-        flow = min(room[x] for x in path)
-        for x in path:
-            room[x] -= flow
-            room[x ^ 1] += flow
+        if level[sink] < 0:
+            return [level[k] >= 0 for k in range(len(rest))]
+        following, path, a = [iter(x) for x in out], [], source
+        while True:  # all shortest paths of this length, each edge left behind once
+            if a == sink:
+                flow = min(room[x] for x in path)
+                for x in path:
+                    room[x] -= flow
+                    room[x ^ 1] += flow
+                full = next(k for k, x in enumerate(path) if not room[x])
+                a = head[path[full] ^ 1]
+                del path[full:]
+                continue
+            x = next((x for x in following[a] if room[x] > 0 and level[head[x]] == level[a] + 1), None)
+            if x is not None:
+                path.append(x)
+                a = head[x]
+            elif a == source:
+                break
+            else:
+                a = head[path.pop() ^ 1]
 
 
 def labelled(html: str | None) -> list[tuple[Block, bool]]:

@@ -1,6 +1,7 @@
 """HTML extraction: the cut against every labelling, pages that single rules get
 wrong, and the classifier learned again."""
 
+import time
 import itertools
 import random
 
@@ -117,3 +118,75 @@ def test_pages_without_tags_or_names(spark):
     precision, recall = right / told, right / there
     print(f"F1 of blocks {2 * precision * recall / (precision + recall):.3f}")
     assert 2 * precision * recall / (precision + recall) > 0.9
+
+
+#: Pages written for the test: each line begins with + for content, - for boilerplate.
+LABELLED = [
+    # no container says anything
+    '<h1>+A title of words</h1><p>+This is a paragraph with several words in it, and an end.</p><ul><li><a>+linked item one</a></li><li>+item two</li></ul><pre>+x = 1</pre>',
+    '<div><a href=1>-Home</a></div><div><a href=2>-News</a></div><div><a href=3>-Sport</a></div><div><p>+The council met on Monday to speak about the new bridge over the river.</p><p>+It will open next year.</p><p>+Costs rose.</p></div><div><a>-Terms</a></div><div><a>-Contact</a></div>',
+    # names that only hint
+    '<div class="story"><p>+One.</p><p>+Two short</p></div>',
+    '<div class="post-body"><h2>+Short head</h2><p>+A long enough paragraph of prose that tells of something at length.</p><p><a href=x>+a linked line</a></p><p>+And another paragraph of prose, also long enough to count.</p></div>',
+    '<div class="share-of-market"><p>+The share of the market that the firm holds has grown since last year.</p><p>+Analysts expect it to grow again in the coming quarter, they said.</p></div>',
+    '<div class="text"><p>+A paragraph of prose that tells of something at length, with an end.</p></div><div class="promo-of-day"><a>-Buy now</a><p><a>-Offers here</a></p></div>',
+    # strong containers
+    '<nav><p>-A whole sentence stands in the navigation, with a full stop at its end.</p></nav><article><p>+Yes</p><p>+x</p></article><footer><p>-Sentences may stand in footers, too, as this one does.</p></footer>',
+    '<main><h1>+Head</h1><p>+Prose of the page that is long enough to be seen as such.</p><section class="comments"><p>-I like this article very much, thank you for writing it down.</p></section></main>',
+    '<article><header><h1>+Head of it</h1></header><p>+Formula <math><mi>x</mi></math> stands here.</p><p>+Press <button>Go</button> to go on with this text.</p></article>',
+    '<form id="page"><article><p>+Text in a form around a page.</p></article><div class="sidebar"><p>-Aside of it all, with a stop.</p></div></form>',
+]
+
+
+def truth(page):
+    return [(b.text.lstrip("+-"), b.text[0] == "+", b) for b in html.blocks(page)]
+
+
+def f1(pairs):
+    hit = sum(a and b for a, b in pairs)
+    return 2 * hit / (sum(a for a, _ in pairs) + sum(b for _, b in pairs))
+
+
+def test_labelled_pages():
+    cut, own, container = [], [], []
+    for page in LABELLED:
+        said = html.labelled(page)
+        assert [b.text for b, _ in said] == [b.text for _, _, b in truth(page)]
+        for (block, keep), (_, good, _) in zip(said, truth(page)):
+            around = block.node.container
+            cut.append((keep, good))
+            own.append((block.evidence() > 0, good))
+            container.append((around is not None and around.evidence > 0, good))
+    assert f1(cut) >= 0.95 and f1(cut) > f1(own) + 0.1 and f1(cut) > f1(container) + 0.1
+    # the cut differs from what the text alone and what the container alone would say, on one block too
+    assert any(c[0] != o[0] and c[0] != k[0] for c, o, k in zip(cut, own, container))
+
+
+def test_one_block_stays_one_line():
+    page = "<article><p>Formula <math><mi>x</mi></math> here.</p><p>Press <button>Go</button> to go on with <svg><text>no</text></svg>this text.</p></article>"
+    assert html.extract(page) == "Formula x here.\nPress to go on with this text."
+
+
+@pytest.mark.parametrize("n", [1000, 100_000])
+def test_deep_and_huge_pages_are_read(n):
+    began = time.perf_counter()
+    assert html.extract('<div class="content">' * n + "<p>Some text that is here.</p>") == "Some text that is here."
+    assert html.extract("<nav>" * n + "x y z") == ""
+    assert html.extract("<i>" * n + "<p>A line of text here. " * n).count("\n") == n - 1
+    assert html.extract("<form>" * n + "<article>text of it.") == "text of it."
+    assert html.extract("<i></b><li><td>" * n) == ""
+    assert html.extract("<div><p>One, two, three four five six.</p><a>link</a></div>" * n) is not None
+    assert time.perf_counter() - began < 120
+
+
+def test_flow_over_many_unsettled_nodes():
+    rng = random.Random(8)
+    evidence = [rng.choice([-6, -3, 2, 5]) for _ in range(20_000)]
+    edges = [(i, i + 1, 4, 4) for i in range(len(evidence) - 1)]
+    label = html.minimum_cut(evidence, edges)
+    cost = lambda x: sum(max(e, 0) if not k else max(-e, 0) for e, k in zip(evidence, x)) + sum(4 for i, j, _, _ in edges if x[i] != x[j])
+    best = [0, 0]  # least cost up to a node, by its label
+    for i, e in enumerate(evidence):
+        step = 4 if i else 0
+        best = [min(best[0], best[1] + step) + max(e, 0), min(best[1], best[0] + step) + max(-e, 0)]
+    assert cost(label) == min(best)
