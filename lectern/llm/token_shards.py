@@ -8,15 +8,18 @@ and a footer with the place of every block, so that readers fetch only the
 ranges they need. The manifest of the files is the commit: a task that runs
 again writes under a new name, and only names in the manifest are read.
 
-File: magic, blocks, footer (zstd JSON), footer length (8 bytes), magic.
+File: magic, blocks, index (zstd: for each block the gaps between its symbols and
+how often each occurs, 4 bytes each), footer (zstd JSON: places of blocks and
+index), footer length (8 bytes), magic.
 Block: header length (4 bytes), header (zstd JSON: symbols, document ids and
 lengths, zeros of each plane), then for each plane, highest bit first, the rank
 directory (4 bytes for every ``RANK_BITS`` bits) and the bits, raw: succinct
 already, they can be read in place.
 
 A reader of a file answers for the whole of it: the token at a position, the
-count of a token between two positions, and where it occurs, going from the
-directory of blocks to the rank and select of the few blocks concerned.
+count of a token between two positions, and where it occurs. Whole blocks are
+counted from the index, blocks without the token are not read, and rank and select
+answer in the few blocks that are left.
 
 Defined results: a null text counts as empty (its row has the end id only, or no
 token where there is no end id); very long texts are encoded whole; bytes that
@@ -28,8 +31,10 @@ columns are ignored, whatever their names. Ids are read as ``bigint``.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
+import re
 import uuid
 import zlib
 from bisect import bisect_right
@@ -45,7 +50,7 @@ from pyspark.sql import functions as F
 
 from .common import CACHES, SPACES, map_arrow, materialise, scratch, slices, text_bytes
 
-MAGIC = b"LWMX0001"
+MAGIC = b"LWMX0002"
 BLOCK_TOKENS = 1 << 18
 RANK_BITS = 512
 #: Bytes of pieces and ids that the encoder remembers before it starts anew,
@@ -104,11 +109,30 @@ def _pieces(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return parts.dictionary.to_pylist(), parts.indices.to_numpy(), upto
 
 
+def drops_space(file: dict) -> bool:
+    """Whether the tokenizer of a file reads texts in lower case and as runs that
+    hold no white space, so that what stands between spaces has ids of its own."""
+
+    def steps(part: dict | None, name: str) -> list[dict]:
+        return [] if part is None else part[name] if part["type"] == "Sequence" else [part]
+
+    normal = steps(file.get("normalizer"), "normalizers")
+    plain = all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in normal)
+    first = next(iter(steps(file.get("pre_tokenizer"), "pretokenizers")), {})
+    runs = first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"]
+    shape = first.get("pattern", {}).get("Regex", " ") if runs else " "
+    # a run of "all but" must leave out white space, and no other part may ask for it
+    spaceless = not re.search(r"\s|\\s|\\S|\\W|\.", re.sub(r"\[\^\\s[^\]]*\]", "", shape)) and not re.search(r"\[\^(?!\\s)", shape)
+    ordinary = not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in file.get("added_tokens", ()))
+    return plain and any(x["type"] == "Lowercase" for x in normal) and runs and spaceless and ordinary and file.get("post_processor") is None
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library. Its tokenizers drop white space,
-    so the ids of a text are those of its white-space separated pieces in order:
-    a piece is encoded once and remembered (as 16- or 32-bit bytes), and pieces
-    not met before go to the library together, between separator tokens."""
+    """Ids of texts by the tokenizers library. Where a file's tokenizer puts all in
+    lower case and drops white space, the ids of a text are those of its white-space
+    separated pieces in order: a piece is encoded once and remembered (as 16- or
+    32-bit bytes), and pieces not met before go to the library together, between
+    separator tokens. Any other tokenizer gets whole texts."""
 
     _loaded: dict[str, "Encoder"] = {}
 
@@ -120,6 +144,8 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
         self.held = 0
+        with open(path, encoding="utf-8") as f:
+            self.by_pieces = drops_space(json.load(f))
         ids = self.tokenizer.encode(SEPARATOR.decode(), add_special_tokens=False).ids
         self.separator = ids[0] if len(ids) == 1 else None
         # which ids end a run of letters, if the vocabulary marks them
@@ -135,6 +161,9 @@ class Encoder:
         return cls._loaded[path]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        if not self.by_pieces:
+            said = [text.decode("utf-8", "replace") for text in texts]
+            return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(said, add_special_tokens=False)]
         used, at, upto = _pieces(texts)
         ids = self._ids([piece for piece in used if piece not in self.known])
         self.known.update(ids)
@@ -190,10 +219,13 @@ class Encoder:
 CACHES["token_shards"] = Encoder._loaded.clear
 
 
-def build_block(doc_ids: list, tokens: list[np.ndarray]) -> bytes:
-    """The bytes of a block: the documents' tokens as one wavelet matrix."""
+def build_block(doc_ids: list, tokens: list[np.ndarray], counts: list | None = None) -> bytes:
+    """The bytes of a block: the documents' tokens as one wavelet matrix. Its
+    symbols and how often each occurs are added to ``counts``."""
     values = np.concatenate(tokens)
     symbols, codes = _symbols(values)
+    if counts is not None:
+        counts.append((symbols, np.bincount(codes, minlength=len(symbols))))
     planes, zeros = [], []
     for k in range(max(1, int(len(symbols) - 1).bit_length()) - 1, -1, -1):
         bits = (codes >> np.uint32(k) if codes.dtype == np.uint32 else codes >> np.uint16(k)) & codes.dtype.type(1)
@@ -311,7 +343,8 @@ class ShardReader:
         if tail[8:] != MAGIC:
             raise ValueError(f"not a token shard: {uri}")
         length = int.from_bytes(tail[:8], "little")
-        self.blocks = json.loads(zstandard.ZstdDecompressor().decompress(self.file.read_at(length, size - 16 - length)))
+        footer = json.loads(zstandard.ZstdDecompressor().decompress(self.file.read_at(length, size - 16 - length)))
+        self.blocks, self._index = footer["blocks"], footer["index"]
         self.starts = [0, *accumulate(b["tokens"] for b in self.blocks)]
 
     def block(self, i: int) -> Block:
@@ -325,6 +358,21 @@ class ShardReader:
         """Tokens in the file."""
         return self.starts[-1]
 
+    @functools.cached_property
+    def _counts(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The symbols of each block and how often each occurs, by one range read."""
+        at, length = self._index
+        numbers = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.file.read_at(length, at)), "<u4")
+        ends = np.cumsum([2 * b["symbols"] for b in self.blocks])
+        halves = [np.split(numbers[end - 2 * b["symbols"] : end], 2) for b, end in zip(self.blocks, ends)]
+        return [(np.cumsum(gaps), n) for gaps, n in halves]
+
+    def occurrences(self, block: int, token: int) -> int:
+        """How often ``token`` occurs in a block, which is not read for it."""
+        symbols, n = self._counts[block]
+        code = int(np.searchsorted(symbols, token))
+        return int(n[code]) if code < len(symbols) and symbols[code] == token else 0
+
     def access(self, i: int) -> int:
         """The token at position ``i`` of the file."""
         if not 0 <= i < len(self):
@@ -334,11 +382,18 @@ class ShardReader:
 
     def count(self, token: int, start: int = 0, stop: int | None = None) -> int:
         """Occurrences of ``token`` in positions ``start`` to ``stop`` of the file."""
-        return sum(self.block(at).count(token, a, b) for at, a, b in self._blocks_of(start, stop))
+        found = 0
+        for at, a, b in self._blocks_of(start, stop):
+            most = self.occurrences(at, token)
+            whole = a == 0 and b == self.blocks[at]["tokens"]
+            found += most if whole or not most else self.block(at).count(token, a, b)
+        return found
 
     def locate(self, token: int, start: int = 0, stop: int | None = None) -> Iterator[int]:
         """Positions of ``token`` in the file, ascending, from ``start`` to ``stop``."""
         for at, a, b in self._blocks_of(start, stop):
+            if not self.occurrences(at, token):
+                continue
             yield from (self.starts[at] + i for i in self.block(at).locate(token, a, b))
 
     def _blocks_of(self, start: int, stop: int | None) -> Iterator[tuple[int, int, int]]:
@@ -357,13 +412,13 @@ def _writer(folder: str, vocabulary: str, end_id: int | None, block_tokens: int)
 
         encoder = Encoder.of(vocabulary)
         end = np.array([] if end_id is None else [end_id], encoder.kind)
-        out, places, at, ids, tokens, held, docs, total = None, [], 0, [], [], 0, 0, 0
+        out, places, counts, at, ids, tokens, held, docs, total = None, [], [], 0, [], [], 0, 0, 0
 
         def flush():
             nonlocal at, ids, tokens, held
-            data = build_block(ids, tokens)
+            data = build_block(ids, tokens, counts)
             out.write(data)
-            places.append({"at": at, "bytes": len(data), "docs": len(ids), "tokens": held})
+            places.append({"at": at, "bytes": len(data), "docs": len(ids), "tokens": held, "symbols": len(counts[-1][0])})
             at += len(data)
             ids, tokens, held = [], [], 0
 
@@ -388,7 +443,11 @@ def _writer(folder: str, vocabulary: str, end_id: int | None, block_tokens: int)
             return
         if ids:
             flush()
-        footer = zstandard.ZstdCompressor(3).compress(json.dumps(places).encode())
+        # gaps between symbols compress best
+        parts = [x.astype("<u4").tobytes() for symbols, n in counts for x in (np.diff(symbols, prepend=0), n)]
+        index = zstandard.ZstdCompressor(3).compress(b"".join(parts))
+        out.write(index)
+        footer = zstandard.ZstdCompressor(3).compress(json.dumps({"blocks": places, "index": [at, len(index)]}).encode())
         out.write(footer + len(footer).to_bytes(8, "little") + MAGIC)
         out.close()
         yield pa.record_batch(

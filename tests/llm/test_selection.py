@@ -212,3 +212,52 @@ def test_scoring_neither_explodes_nor_joins(spark):
     plan = importance.scored(rows, [1] * 10_000)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Generate|Join|Exchange|Python", plan)
     assert plan.count("split(translate") <= 1 and "split(1,1" not in plan  # words once a row, gains a literal
+
+
+PROBES = ["Hello World", " two  spaces\tand\nlines ", "don't A.B, c!", "<|endoftext|> x<|endoftext|>", "日本語 テスト", "é \xc9T\xc9", "", "   ", "x" * 3000, "a\x0bb\x1cc", "Ünïcode 123 456"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_vocabulary_gives_the_librarys_ids(spark, name):
+    from tokenizers import Tokenizer
+
+    from lectern.llm import token_shards
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    real = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for text, ids in zip(PROBES + real, token_shards.Encoder(path).encode([t.encode() for t in PROBES + real])):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text[:50]
+    docs = spark.createDataFrame(list(enumerate(PROBES)), "doc_id bigint, text string")
+    found = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_shards.round_trip(docs, path, end_id=7).collect()}
+    ids = [library.encode(t, add_special_tokens=False).ids + [7] for t in PROBES]
+    assert found == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)}
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "piece_bpe_32k.model"])
+def test_other_files_are_an_error(name):
+    from lectern.llm import token_shards
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    with pytest.raises(Exception):
+        token_shards.Encoder(public_tokenizers.path(name))
+
+
+def test_whole_blocks_are_counted_without_reading_them(spark, monkeypatch):
+    from lectern.llm import token_shards
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    docs = spark.createDataFrame([(i, f"word{i} shared text {i % 3}" + " zeppelin" * (i == 100)) for i in range(200)], "doc_id bigint, text string").coalesce(1)
+    path = token_shards.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), block_tokens=100).first()["path"]
+    reader = token_shards.ShardReader(path)
+    flat = np.concatenate([b.decode() for b in reader])
+    read = []
+    block = token_shards.ShardReader.block
+    monkeypatch.setattr(token_shards.ShardReader, "block", lambda self, i: read.append(i) or block(self, i))
+    for token, n in Counter(flat.tolist()).items():
+        assert reader.count(token) == n
+    assert reader.count(48_000) == 0 and list(reader.locate(48_000)) == [] and read == []
+    rare = next(t for t, n in Counter(flat.tolist()).items() if n == 1)
+    assert list(reader.locate(rare)) == np.flatnonzero(flat == rare).tolist() and len(read) == 1
+    assert reader.count(1, 50, len(flat) - 50) == int((flat[50:-50] == 1).sum()) and len(read) <= 3
