@@ -5,7 +5,8 @@ each record is a gzip member of its own, and an index with a line for each
 record (key, JSON with member, offset, length). The reader parses the central
 directory (ZIP64 records and fields included), finds where the stored members
 begin, reads the index and fetches records by their ranges; nothing is
-extracted. Writers stream: sizes follow the data in descriptors, members start
+extracted. Archives of other writers are read too: relative names, numbers as
+strings, gzipped indexes, plain or deflated members, any record id. Writers stream: sizes follow the data in descriptors, members start
 anew above ``MEMBER_BYTES``. Files lie in the shared folder; the manifest of
 written files is the commit, so a task that runs twice leaves no double records.
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -83,26 +85,73 @@ class Record:
     digest: str
     payload_bytes: int
     payload: bytes | None
+    record_id: str = ""
+    refers_to_id: str = ""
 
 
-def parse(data: bytes) -> Record:
-    """A record from its bytes; a response's payload is checked against its digest."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    fields = dict(line.split(": ", 1) for line in lines[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = next(int(line.split(b":")[1]) for line in http.split(b"\r\n") if line.lower().startswith(b"content-length:"))
-    digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
-    if kind == "response" and (len(payload) != size or payload_digest(payload) != digest):
-        raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
+_PAGE = re.compile(r"<urn:page:(-?\d+)>")
+
+
+def _headers(head: bytes) -> tuple[str, dict[str, str]]:
+    """The first line and the fields, names in lower case; a line that begins with
+    white space goes on from the one before."""
+    first, *lines = re.sub(rb"\r?\n[ \t]+", b" ", head).decode("utf-8", "replace").replace("\r\n", "\n").split("\n")
+    return first, {name.strip().lower(): value.strip() for name, mark, value in (line.partition(":") for line in lines) if mark}
+
+
+def _behind_blank_line(data: bytes) -> tuple[bytes, bytes]:
+    m = re.search(rb"\r?\n\r?\n", data)
+    return (data[: m.start()], data[m.end() :]) if m else (data, b"")
+
+
+def _unchunked(body: bytes) -> bytes:
+    """A chunked HTTP body as one."""
+    parts, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0 and (size := int(body[at:end].split(b";")[0] or b"0", 16)):
+        parts.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+    return b"".join(parts)
+
 
-    def ident(name: str) -> int | None:
-        number = fields[name][len("<urn:page:") : -1]
-        return int(number) if number else None
+def _is_digest(said: str, payload: bytes) -> bool | None:
+    """Whether a digest field (algorithm:value, base 32 or hex) is the payload's; None
+    for an algorithm that is not known here."""
+    name, _, value = said.partition(":")
+    name = name.lower().replace("-", "")
+    if name not in ("sha1", "sha256", "sha512", "md5"):
+        return None
+    made = hashlib.new(name, payload).digest()
+    return value.lower() == made.hex() or value.rstrip("=").upper() == base64.b32encode(made).decode().rstrip("=")
 
-    refers = ident("WARC-Refers-To") if kind == "revisit" else None
-    return Record(ident("WARC-Record-ID"), fields["WARC-Target-URI"], kind, refers, digest, size, payload if kind == "response" else None)
+
+def parse(data: bytes) -> Record:
+    """A record from its bytes. The payload of an HTTP response is what follows the
+    HTTP headers, of any other record the whole block; a digest of a known algorithm
+    must be that of the payload as stored or as one chunk."""
+    head, rest = _behind_blank_line(data)
+    _, fields = _headers(head)
+    block = rest[: int(fields["content-length"])]
+    kind, known, size = fields["warc-type"], fields.get("warc-payload-digest", ""), None
+    payload = block
+    if "application/http" in fields.get("content-type", "") and kind in ("response", "revisit"):
+        http, payload = _behind_blank_line(block)
+        _, told = _headers(http)
+        size = int(told["content-length"]) if told.get("content-length", "").isdigit() else None
+        if kind == "response" and known and "chunked" in told.get("transfer-encoding", "").lower() and _is_digest(known, payload) is False:
+            payload, size = _unchunked(payload), None
+    cut = len(block) < int(fields["content-length"]) or kind == "response" and size is not None and len(payload) != size and "warc-truncated" not in fields
+    if cut or kind == "response" and known and _is_digest(known, payload) is False:
+        raise ValueError(f"damaged record {fields.get('warc-record-id')}")
+
+    def page(name: str) -> int | None:
+        m = _PAGE.fullmatch(fields.get(name, ""))
+        return int(m[1]) if m else None
+
+    digest = known.partition(":")[2] or payload_digest(payload)
+    refers = page("warc-refers-to") if kind == "revisit" else None
+    length = size if kind == "revisit" and size is not None else len(payload)
+    url = fields.get("warc-target-uri", "").strip("<>")
+    return Record(page("warc-record-id"), url, kind, refers, digest, length, None if kind == "revisit" else payload, fields.get("warc-record-id", ""), fields.get("warc-refers-to", ""))
 
 
 class ZipWriter:
@@ -146,8 +195,9 @@ class ZipWriter:
 
 
 class ZipReader:
-    """The stored members of a ZIP file, by range reads. ``file`` has
-    ``read_at(length, offset)`` and ``size()``."""
+    """The members of a ZIP file, by range reads. ``file`` has ``read_at(length,
+    offset)`` and ``size()``. Stored members are read in place; of a deflated one what
+    lies before a range must be inflated, ``FETCH_BYTES`` at a time, and is dropped."""
 
     def __init__(self, file) -> None:
         self.file, size = file, file.size()
@@ -163,6 +213,7 @@ class ZipReader:
                 (end64,) = struct.unpack_from("<Q", locator, 8)
                 n, length, begin = struct.unpack_from("<QQQ", file.read_at(56, end64), 32)
         self.members: dict[str, tuple[int, int]] = {}
+        self.deflated: dict[str, tuple[int, int, int]] = {}  # the third: packed bytes
         directory, at = file.read_at(length, begin), 0
         for _ in range(n):
             if directory[at : at + 4] != b"PK\1\2":
@@ -180,29 +231,79 @@ class ZipReader:
                     packed = next(wide) if packed == _LIMIT32 else packed
                     start = next(wide) if start == _LIMIT32 else start
                 i += 4 + width
-            if method == 0:
-                self.members[name] = (start, full)
+            if method not in (0, 8):
+                raise ValueError(f"{name}: compression method {method} is not read")
+            if not name.endswith("/"):
+                if method:
+                    self.deflated[name] = (start, full, packed)
+                else:
+                    self.members[name] = (start, full)
             at += 46 + n_name + n_extra + n_note
         self._data: dict[str, int] = {}
 
+    def __contains__(self, name: str) -> bool:
+        return name in self.members or name in self.deflated
+
+    def __iter__(self) -> Iterator[str]:
+        yield from self.members
+        yield from self.deflated
+
     def data_at(self, name: str) -> int:
-        """Where a stored member's bytes begin (behind its local header)."""
+        """Where a member's bytes begin (behind its local header)."""
         if name not in self._data:
-            start = self.members[name][0]
+            start = (self.members.get(name) or self.deflated[name])[0]
             n_name, n_extra = struct.unpack_from("<HH", self.file.read_at(30, start), 26)
             self._data[name] = start + 30 + n_name + n_extra
         return self._data[name]
 
     def read(self, name: str, offset: int = 0, length: int | None = None) -> bytes:
-        size = self.members[name][1]
+        size = (self.members.get(name) or self.deflated[name])[1]
         length = size - offset if length is None else min(length, size - offset)
+        if name in self.deflated:
+            return self._inflated(name, offset, length)
         return self.file.read_at(length, self.data_at(name) + offset)
 
 
+    def _inflated(self, name: str, offset: int, length: int) -> bytes:
+        begin, packed, at, held, out = self.data_at(name), self.deflated[name][2], 0, 0, []
+        inflate = zlib.decompressobj(-15)
+        while held < offset + length and at < packed:
+            part = inflate.decompress(self.file.read_at(min(FETCH_BYTES, packed - at), begin + at))
+            at += FETCH_BYTES
+            out.append(part[max(0, offset - held) : max(0, offset + length - held)])
+            held += len(part)
+        return b"".join(out)
+
+
+def gunzipped(data: bytes) -> bytes:
+    """All gzip members of ``data`` one after the other; other bytes as they are."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data))
+        data = member.unused_data
+    return b"".join([*out, data])
+
+
 def read_index(archive: ZipReader) -> list[dict]:
-    """The entries of all index members: member, offset, length, url, page_id."""
-    names = sorted(n for n in archive.members if n.startswith("indexes/"))
-    return [json.loads(line.split(b" ", 2)[2]) for n in names for line in archive.read(n).splitlines()]
+    """The entries of all index members: filename, offset, length, and what else a
+    line's JSON says. Index members may be gzipped; a file name may be the member's
+    own or leave out ``archive/``; numbers may be written as strings."""
+    names = sorted(n for n in archive if re.fullmatch(r"indexes/.*\.cdxj?(\.gz)?", n))
+    found = []
+    for name in names:
+        for line in gunzipped(archive.read(name)).splitlines():
+            start = line.find(b"{")
+            if start < 0 or line.startswith(b"!"):
+                continue  # a blank line or the index's own description
+            entry = json.loads(line[start:])
+            member = entry["filename"]
+            if member not in archive:
+                member = f"archive/{member}"
+            if member not in archive:
+                raise ValueError(f"{name} names {entry['filename']}, which the archive does not hold")
+            found.append(entry | {"filename": member, "offset": int(entry["offset"]), "length": int(entry["length"])})
+    return found
 
 
 def read_records(archive: ZipReader, entries: list[dict]) -> Iterator[Record]:
@@ -218,7 +319,7 @@ def read_records(archive: ZipReader, entries: list[dict]) -> Iterator[Record]:
         data = archive.read(first["filename"], first["offset"], end - first["offset"])
         for e in entries[i:j]:
             at = e["offset"] - first["offset"]
-            yield parse(zlib.decompress(data[at : at + e["length"]], 31))
+            yield parse(gunzipped(data[at : at + e["length"]]))
         i = j
 
 

@@ -261,3 +261,65 @@ def test_whole_blocks_are_counted_without_reading_them(spark, monkeypatch):
     rare = next(t for t, n in Counter(flat.tolist()).items() if n == 1)
     assert list(reader.locate(rare)) == np.flatnonzero(flat == rare).tolist() and len(read) == 1
     assert reader.count(1, 50, len(flat) - 50) == int((flat[50:-50] == 1).sum()) and len(read) <= 3
+
+
+class Bytes:
+    def __init__(self, data):
+        self.data = data
+
+    def size(self):
+        return len(self.data)
+
+    def read_at(self, length, offset):
+        return self.data[offset : offset + length]
+
+
+@pytest.mark.parametrize("stored, gzipped, relative", list(itertools.product([True, False], repeat=3)))
+def test_archives_of_other_writers_are_read(stored, gzipped, relative):
+    import base64
+    import gzip
+    import io
+    import json
+    import zipfile
+
+    from lectern.llm import warc_zip
+
+    def record(fields, block):
+        return ("WARC/1.0\r\n" + "\r\n".join([*fields, f"Content-Length:{len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    body = "é".encode() * 50
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    records = [
+        record(["WARC-Type:warcinfo", "WARC-Record-ID: <urn:uuid:1>", "Content-Type: application/warc-fields"], b"software: x\r\n"),
+        record(["warc-type: response", "WARC-Record-ID:<urn:uuid:2>", "WARC-Target-URI: <http://a/>", f"WARC-Payload-Digest:sha1:{sha1}", "Content-Type:application/http; msgtype=response"], b"HTTP/1.1 200 OK\r\nServer:x\r\n\r\n" + body),
+        record(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:3>", f"WARC-Payload-Digest: sha256:{hashlib.sha256(body).hexdigest()}", "Content-Type: application/http", "X-Long: a", "\tfolded"], b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n32\r\n" + body[:50] + b"\r\n32\r\n" + body[50:] + b"\r\n0\r\n\r\n"),
+        record(["WARC-Type: resource", "WARC-Record-ID: <urn:uuid:4>", "Content-Type: text/plain"], b"plain\r\n\r\ntext"),
+        record(["WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:5>", "WARC-Refers-To: <urn:uuid:2>", f"WARC-Payload-Digest: sha1:{sha1}", "Content-Type: application/http"], b"HTTP/1.1 200 OK\r\nContent-Length: 100\r\n\r\n"),
+    ]
+    data, lines = b"", [b'!meta 0 {"format": "cdxj"}', b""]
+    for i, r in enumerate(records):
+        packed = gzip.compress(r) if i != 3 else r  # one record is not packed
+        entry = {"url": f"http://{i}/", "filename": "x.warc.gz" if relative else "archive/x.warc.gz", "offset": str(len(data)), "length": str(len(packed))}
+        lines.append(f"com,a)/{i} 2020 {json.dumps(entry)}".encode())
+        data += packed
+    index = b"\n".join(lines)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED if stored else zipfile.ZIP_DEFLATED) as z:
+        z.writestr("archive/", b"")
+        z.writestr("archive/x.warc.gz", data)
+        z.writestr("indexes/index.cdx.gz" if gzipped else "indexes/index.cdx", gzip.compress(index[:90]) + gzip.compress(index[90:]) if gzipped else index)
+        z.writestr("datapackage.json", "{}")
+    archive = warc_zip.ZipReader(Bytes(out.getvalue()))
+    entries = warc_zip.read_index(archive)
+    assert all(isinstance(e["offset"], int) and e["filename"] == "archive/x.warc.gz" for e in entries)
+    found = list(warc_zip.read_records(archive, entries))
+    assert [(r.kind, r.record_id, r.payload_bytes) for r in found] == [("warcinfo", "<urn:uuid:1>", 13), ("response", "<urn:uuid:2>", 100), ("response", "<urn:uuid:3>", 100), ("resource", "<urn:uuid:4>", 13), ("revisit", "<urn:uuid:5>", 100)]
+    assert found[1].payload == found[2].payload == body and found[1].url == "http://a/" and found[4].refers_to_id == "<urn:uuid:2>" and found[4].payload is None
+    assert found[3].payload == b"plain\r\n\r\ntext" and found[1].digest == sha1
+    with pytest.raises(ValueError, match="damaged"):
+        warc_zip.parse(records[1].replace(body, body[:-1] + b"x"))
+    with pytest.raises(ValueError, match="does not hold"):
+        bad = io.BytesIO()
+        with zipfile.ZipFile(bad, "w") as z:
+            z.writestr("indexes/index.cdx", b'a 1 {"filename": "y", "offset": 0, "length": 1}')
+        warc_zip.read_index(warc_zip.ZipReader(Bytes(bad.getvalue())))
