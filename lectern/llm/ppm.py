@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_arrow, materialise, slices, text_bytes
+from .common import crc_mod, join_groups, map_arrow, materialise, slices, text_bytes
 
 ORDER = 5
 #: The longest of the orders that are broadcast whole.
@@ -50,6 +50,8 @@ BASE = 2
 HEAD_GRAMS = 1_250_000
 #: Grams of the longest order in a partition of the table, about.
 BLOCK_GRAMS = 100_000
+#: Grams asked under one context that a task answers, about.
+BLOCK_ASKED = 1_000_000
 HEAD_WORDS = 200_000
 HEAD_BYTES = 64
 FOLDS = 7
@@ -339,9 +341,9 @@ def _answered(base, order: int):
                 continue
             if machine is None:
                 keys, counts = np.concatenate(keys), np.concatenate(counts)
-                by = np.argsort(keys)
+                keys, by = np.unique(keys, return_index=True)  # two copies may meet
                 least = 0 if base is None else base.value.order + 1
-                machine = Model(levels_of(keys[by], counts[by], order, least), base and base.value)
+                machine = Model(levels_of(keys, counts[by], order, least), base and base.value)
                 keys, counts = [], []
             rows, first = np.unique(what[n:], return_index=True)
             sums = np.add.reduceat(machine.log10(grams[n:]), first)
@@ -356,9 +358,17 @@ def answers(asked: DataFrame, grams: DataFrame, order: int) -> DataFrame:
     model = base_of(grams, order)
     base = None if model is None else grams.sparkSession.sparkContext.broadcast(model)
     blocks = max(1, -(-grams.count() // BLOCK_GRAMS))
-    both = grams.select("gram", (-F.col("n")).alias("what")).union(asked.select("gram", F.col("row").alias("what")))
-    block = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * (min(BASE, order - 1) + 1)) - 1))
-    dealt = both.repartition(blocks, block).sortWithinPartitions("what")
+    # rows asked under a frequent context are dealt to several tasks, each with a copy
+    # of the context's part of the table
+    block = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * (min(BASE, order - 1) + 1)) - 1)).alias("block")
+    asked, table = asked.select("row", "gram", block), grams.select("gram", "n", block)
+    sizes = asked.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_ASKED).cast("int").alias("shares")).where("shares > 1")
+    hot = F.broadcast(materialise(sizes, "lm_hot_contexts"))  # one row for BLOCK_ASKED of those asked at most
+    share = F.pmod(F.xxhash64("row", "gram"), F.coalesce("shares", F.lit(1))).cast("int").alias("share")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share")
+    told = table.join(hot, "block", "left").select("gram", (-F.col("n")).alias("what"), "block", copies)
+    both = told.union(asked.join(hot, "block", "left").select("gram", F.col("row").alias("what"), "block", share))
+    dealt = both.repartition(blocks, "block", "share").sortWithinPartitions("what").select("gram", "what")
     return map_arrow(dealt, _answered(base, order), "row bigint, more_score double")
 
 
@@ -421,7 +431,8 @@ def score(docs: DataFrame, order: int = ORDER, head_grams: int = HEAD_GRAMS, hea
     found = materialise(map_arrow(rows, _scored(model, head, ends), schema), "lm_scored")
     tail = found.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.n").alias("times"))
     rare = words.where(~in_head)
-    from_words = tail.join(rare, "word").select("row", F.col("times").alias("more"), (F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"), F.lit(0.0).alias("more_score"))
+    met = join_groups(tail, rare.select("word", "n", F.col("n").alias("size")), "word", "size", "row").where("n is not null")
+    from_words = met.select("row", F.col("times").alias("more"), (F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"), F.lit(0.0).alias("more_score"))
     asked = found.select("row", F.explode("grams").alias("gram"))
     from_grams = answers(asked, grams, order).select("row", F.lit(0).cast("bigint").alias("more"), F.lit(0.0).alias("more_logs"), "more_score")
     more = from_words.union(from_grams).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more", "more_logs", "more_score")])

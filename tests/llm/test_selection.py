@@ -323,3 +323,24 @@ def test_archives_of_other_writers_are_read(stored, gzipped, relative):
         with zipfile.ZipFile(bad, "w") as z:
             z.writestr("indexes/index.cdx", b'a 1 {"filename": "y", "offset": 0, "length": 1}')
         warc_zip.read_index(warc_zip.ZipReader(Bytes(bad.getvalue())))
+
+
+def test_hot_contexts_are_shared_out(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lectern.llm import ppm
+
+    rng = random.Random(12)
+    rows = [(i, "the same ending of all the rows here " + rng.choice("abcdef") * 3 + " ----------------------------------------------------------------------------") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    key = lambda df: {r["doc_id"]: (r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in df.collect()}
+    plain = key(ppm.score(docs, head_grams=20, head_words=1))
+    monkeypatch.setattr(ppm, "BLOCK_ASKED", 40)
+    monkeypatch.setattr(ppm, "BLOCK_GRAMS", 30)
+    sizes = []
+    run = ppm.map_arrow
+    monkeypatch.setattr(ppm, "map_arrow", lambda df, *a, **k: sizes.append(df) or run(df, *a, **k))
+    assert key(ppm.score(docs, head_grams=20, head_words=1)) == plain
+    dealt = next(df for df in sizes if df.columns == ["gram", "what"])
+    parts = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(parts) < sum(parts) / 2
