@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as tx
 from .grouping import repeated_values
@@ -42,30 +46,54 @@ def quality(text: Column, least_words: int = 40) -> Column:
     return F.when((words < 150) & blocked, "blocked page").when(words < least_words, "too short").when(menu | (chrome_ratio(text) >= 0.6), "mostly navigation").otherwise("")
 
 
-# Shapes of what changes on a page without its content changing.
+# Units of time, and shapes of what changes on a page without its
+# content changing: time stamps, ages and times left, times of day, tokens of
+# sessions; and beginnings of lines that say nothing else.
+UNITS = "(?:segundos?|segs?|minutos?|mins?|horas?|hrs?|h|d[ií]as?|semanas?|meses|seconds?|secs?|minutes?|hours?|days?|weeks?|months?)"
 VOLATILE = (
-    r"\b\d{4}-\d{2}-\d{2}[t ]\d{2}:\d{2}(:\d{2})?([.,]\d+)?(z|[+-]\d{2}:?\d{2})?\b",
-    r"\b\d+ (seconds?|minutes?|hours?|days?|weeks?|months?) ago\b|\bhace \d+ (segundos?|minutos?|horas?|d[ií]as?|semanas?|meses)\b|\bjust now\b",
-    r"\b\d{1,2}:\d{2}(:\d{2})?( ?[ap]\.?m\.?)?\b",
+    r"\b\d{4}-\d{2}-\d{2}[t ]\d{2}:\d{2}(?::\d{2})?(?:[.,]\d+)?(?:z|[+-]\d{2}:?\d{2})?(?!\d)",
+    rf"\b(?:hace|quedan?|faltan?)\s+\d+\s+{UNITS}\b|\b\d+\s+{UNITS}\s+(?:ago|left|remaining)\b|\b(?:just now|justo ahora|ahora mismo|hace un momento)\b",
+    r"\b\d{1,2}:\d{2}(?::\d{2})?(?:\s?[ap]\.?m\.?)?(?!\d)",
     r"\b[0-9a-f]{16,}\b",
 )
+VOLATILE_LINE = r"^(?:©|\(c\)|copyright\b|hoy es\b|actualizado hace\b|updated\s+\d+\s+\w+\s+ago\b|last updated:?\s*(?:just now|\d+\s+\w+\s+ago)\b)"
+#: Characters that take no place.
+UNSEEN = "\u200b\u200c\ufeff"
+#: Where a line ends.
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+@F.pandas_udf(StringType())
+def _compatible(texts: pd.Series) -> pd.Series:
+    """Compatibility forms composed and case folded, a batch at a time; the JVM has
+    no expression for either."""
+    return texts.map(lambda t: t if t is None else t.lower() if t.isascii() else unicodedata.normalize("NFKC", t).casefold())
 
 
 def normal_lines(text: Column) -> Column:
-    """Lines without times, ages and tokens, notices of copyright dropped."""
+    """Lines without what changes by itself; a null text has none."""
 
     def tidy(line: Column) -> Column:
-        s = tx.squeeze(F.lower(line))
         for shape in VOLATILE:
-            s = F.regexp_replace(s, shape, " ")
-        return tx.squeeze(s)
+            line = F.regexp_replace(line, f"(?i){shape}", " ")
+        return _one_space(line)
 
-    kept = F.filter(F.split(text, "\n"), lambda x: ~F.lower(F.trim(x)).rlike(r"^(©|\(c\)|copyright\b)"))
+    lines = F.transform(F.split(_compatible(F.coalesce(text, F.lit(""))), LINE_END), lambda x: _one_space(F.translate(x, UNSEEN, "")))
+    kept = F.filter(lines, lambda x: (x != "") & ~x.rlike(f"(?i){VOLATILE_LINE}"))
     return F.filter(F.transform(kept, tidy), lambda x: x != "")
 
 
+def _one_space(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, r"(?U)\s+", " "))
+
+
+def normalise_for_hash(text: Column) -> Column:
+    """``normal_lines`` as one text."""
+    return F.array_join(normal_lines(text), "\n")
+
+
 def content_hash(text: Column) -> Column:
-    return F.sha2(F.array_join(normal_lines(text), "\n"), 256)
+    return F.sha2(normalise_for_hash(text), 256)
 
 
 def without_repeated_lines(rows: DataFrame, group: str, unit: str, text: str, part: float = 0.5, longest: int = 160) -> DataFrame:

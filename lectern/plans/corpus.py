@@ -8,7 +8,7 @@ from ..functions import identifiers as ids
 from ..functions import markup
 from ..functions import text as tx
 from ..functions.embeddings import hash_vectors
-from ..operators import chunking, extraction, html, quality
+from ..operators import blocks, chunking, extraction, html, quality
 from .registry import query
 
 
@@ -134,6 +134,23 @@ def normalised_hash(t):
     return t.documents.select("doc_id", (quality.content_hash(stamped) == quality.content_hash(F.concat("text", F.lit("\nUpdated 5 hours ago at 11:01")))).alias("same"))
 
 
+@query("m19_normalised_text")
+def normalised_text(t):
+    return t.documents.select("doc_id", quality.normalise_for_hash(F.col("text")).alias("text"))
+
+
+@query(
+    "m18_detected_block",
+    r"""WITH p AS (SELECT page_id, url, lower(html) AS h, length(html) AS n, [200, 403, 200, 429, 503, 401, 200][page_id % 7 + 1] AS status FROM pages)
+    SELECT page_id, CASE WHEN n < 60000 AND regexp_matches(h, 'captcha-delivery\.com') THEN 'datadome' WHEN n < 60000 AND regexp_matches(h, 'press &amp; hold|id="px-captcha"') THEN 'perimeterx'
+      WHEN regexp_matches(regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1), '/(login|signin|acceso)([/.]|$)') OR (n < 60000 AND regexp_matches(h, '<title[^>]*>\s*(sign ?in|log ?in)\s*</title>')) OR status = 401 THEN 'login'
+      WHEN status = 403 THEN 'http_403' WHEN status = 429 THEN 'http_429' WHEN status >= 500 THEN 'http_5xx' ELSE '' END AS reason FROM p""",
+)
+def detected_block(t):
+    status = F.element_at(F.array(*map(F.lit, (200, 403, 200, 429, 503, 401, 200))), (F.col("page_id") % 7 + 1).cast("int"))
+    return t.pages.select("page_id", blocks.detected_block(status, F.col("html"), F.create_map(F.lit("Server"), F.lit("nginx")), F.col("url")).alias("reason"))
+
+
 @query("m20_robots_allowed", "SELECT page_id, NOT regexp_matches(url, '^https?://[^/]+/fr/') OR regexp_matches(url, '^https?://[^/]+/fr/1') AS allowed FROM pages")
 def robots_allowed(t):
     rules = F.array(F.struct(F.lit(False).alias("allow"), F.lit("/fr/").alias("path")), F.struct(F.lit(True).alias("allow"), F.lit("/fr/1*").alias("path")))
