@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import tables
-from ..operators import dense_index, minhash, ordering, phrases
+from ..functions import statements, tables
+from ..functions import text as tx
+from ..operators import dense_index, minhash, ordering, phrases, prefixes, subtrees
 from ..sources import messages
 from ..storage import scratch
 from .registry import query
@@ -58,7 +59,7 @@ _WORDS = r"regexp_extract_all(translate(lower({}), 'áàâäãåéèêëíìîï
 def phrase_index(t):
     """The first one, two and three words of each benchmark item, in all five columns."""
     index = phrases.write_index(t.documents, "doc_id", _columns())
-    words = phrases.tx.tokens(F.col("text"))
+    words = tx.tokens(F.col("text"))
     asked = t.benchmark.select("item_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n"), words.alias("w")).where(F.size("w") > 0)
     asked = asked.select(F.struct("item_id", "n").alias("phrase_id"), F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("phrase"))
     hits = phrases.search(t.spark, index, asked)
@@ -101,3 +102,36 @@ def cues_function(t):
     tables.register(t.spark)
     text = sinks.srt(_cues(t), "conv_id", "turn", "s", "e", "text").select("conv_id", "text")
     return t.spark.sql("SELECT conv_id, count(*) AS cues, max(stop) AS last_end FROM cues(TABLE(SELECT * FROM {text})) GROUP BY conv_id", text=text)
+
+
+@query(
+    "b17_bound_values",
+    """SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE event_type = 'purchase' AND value >= 20 AND event_type <> 'it''s; --' GROUP BY user_id""",
+)
+def bound_values(t):
+    script = """-- the day's; purchases
+    SELECT user_id, count(*) AS n, round(sum(value), 2) AS total /* by ; user */
+    FROM {events} WHERE event_type = :kind AND value >= :least AND event_type <> :never GROUP BY user_id;"""
+    return statements.ask(t.spark, script, {"kind": "purchase", "least": 20, "never": "it's; --"}, events=t.events)
+
+
+@query(
+    "c16_terms_of_prefixes",
+    r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents),
+    p AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) BETWEEN 3 AND 6)) AS prefix FROM benchmark)
+    SELECT prefix, count(DISTINCT term) AS terms, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM w JOIN p ON starts_with(term, prefix) GROUP BY prefix""",
+)
+def terms_of_prefixes(t):
+    """The words of three to six letters of the benchmark as prefixes of the documents' words."""
+    words = lambda df: F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term")
+    counts = t.documents.select("doc_id", words(t.documents)).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    asked = t.benchmark.select(words(t.benchmark)).where(F.length("term").between(3, 6))
+    met = prefixes.beginning_with(counts, "term", asked, "term")
+    per_document = counts.join(met, "term").groupBy("prefix", "doc_id").agg(F.count("*").alias("terms"), F.sum("n").alias("n"))
+    terms = met.groupBy("prefix").agg(F.count("*").alias("terms"))
+    return per_document.groupBy("prefix").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences")).join(terms, "prefix").select("prefix", "terms", "documents", "occurrences")
+
+
+@query("g13_shared_parts")
+def shared_parts(t):
+    return subtrees.shared_parts(t.pages, "page_id", "html")
