@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import compare, extraction, windows
+from ..operators import compare, extraction, facts, windows
 from .registry import query
 
 
@@ -167,3 +167,9 @@ def merchants_in_text(t):
 def hint_check(t):
     hint = F.when(F.col("turn") % 3 != 0, F.substring("text", 5, 20)).otherwise("never said in any text")
     return t.conversations.select("conv_id", "turn", F.col("text").contains(hint).alias("literal"))
+
+
+@query("nx_paper_facts")
+def paper_facts(t):
+    """Amounts, references and periods of every order's paper, by all labels."""
+    return facts.facts_of(_paper(t), "o_orderkey", "text")
