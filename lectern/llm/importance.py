@@ -52,21 +52,26 @@ def _from(items: Column, first: int, fewer: int) -> Column:
     return F.slice(items, F.lit(first), F.greatest(F.size(items) - fewer, F.lit(0)))
 
 
-def runs(items: Column, longest: int = LONGEST) -> list[Column]:
-    """Arrays of the runs of 1, 2, ... ``longest`` consecutive words."""
-    found = [items]
+def run_buckets(items: Column, longest: int = LONGEST) -> list[Column]:
+    """Arrays of the buckets of the runs of 1, 2, ... ``longest`` consecutive words.
+    Strings of runs are made where a longer run needs them; the last are only hashed."""
+    bucket = lambda x: (F.crc32(x.cast("binary")) % BUCKETS).cast("int")
+    joined = lambda a, b: F.concat(a, F.lit(" "), b)
+    run, found = items, [F.transform(items, bucket)]
     for n in range(2, longest + 1):
-        shorter = _from(found[-1], 1, 1)
-        found.append(F.zip_with(shorter, _from(items, n, n - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+        shorter, words_behind = _from(run, 1, 1), _from(items, n, n - 1)
+        if n == longest:
+            found.append(F.zip_with(shorter, words_behind, lambda a, b: bucket(joined(a, b))))
+        else:
+            run = F.zip_with(shorter, words_behind, joined)
+            found.append(F.transform(run, bucket))
     return found
 
 
 def bucketed(docs: DataFrame, kept: list[Column]) -> DataFrame:
     """``kept`` with n_words and buckets, an int a feature."""
-    bucket = lambda x: (F.crc32(x.cast("binary")) % BUCKETS).cast("int")
     rows = docs.select(*kept, words(F.col("text").cast("string")).alias("words"))
-    arrays = [F.transform(x, bucket) for x in runs(F.col("words"))]
-    return rows.select(*[c for c in rows.columns if c != "words"], F.size("words").alias("n_words"), F.concat(*arrays).alias("buckets"))
+    return rows.select(*[c for c in rows.columns if c != "words"], F.size("words").alias("n_words"), F.concat(*run_buckets(F.col("words"))).alias("buckets"))
 
 
 def totals(rows: DataFrame) -> list[int]:
