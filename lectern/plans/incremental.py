@@ -231,11 +231,11 @@ def track_choice(t):
     return t.documents.groupBy("source").agg(F.min_by("lang", order).alias("lang"))
 
 
-@query("r36_title_case", "SELECT n_nationkey, string_agg(CASE WHEN i > 1 AND w IN ('of', 'the') THEN w ELSE upper(left(w, 1)) || substr(w, 2) END, ' ' ORDER BY i) AS title FROM (SELECT n_nationkey, unnest(string_split('the land of ' || lower(n_name), ' ')) AS w, generate_subscripts(string_split('the land of ' || lower(n_name), ' '), 1) AS i FROM nation) GROUP BY n_nationkey")
+@query("r36_title_case", "SELECT c_custkey, string_agg(CASE WHEN i > 1 AND w IN ('of', 'the') THEN w ELSE upper(left(w, 1)) || substr(w, 2) END, ' ' ORDER BY i) AS title FROM (SELECT c_custkey, unnest(string_split('the land of ' || lower(c_name), ' ')) AS w, generate_subscripts(string_split('the land of ' || lower(c_name), ' '), 1) AS i FROM customer) GROUP BY c_custkey")
 def title_case(t):
-    words = F.split(F.concat(F.lit("the land of "), F.lower("n_name")), " ")
+    words = F.split(F.concat(F.lit("the land of "), F.lower("c_name")), " ")
     shown = F.transform(words, lambda w, i: F.when((i > 0) & w.isin("of", "the"), w).otherwise(F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 100))))
-    return t.nation.select("n_nationkey", F.array_join(shown, " ").alias("title"))
+    return t.customer.select("c_custkey", F.array_join(shown, " ").alias("title"))
 
 
 @query("r37_agenda_items", "SELECT event_id, event_type || ':' || user_id || ':' || CAST(CAST(ts AS DATE) AS VARCHAR) AS dedupe_key, CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 ELSE 1 END AS priority FROM events WHERE event_type IN ('error', 'purchase', 'signup')")

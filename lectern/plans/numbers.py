@@ -38,10 +38,10 @@ def formatted_money(t):
     return t.orders.select("o_orderkey", money.format_money(F.col("o_totalprice"), "es").alias("shown"))
 
 
-@query("j5_currency_of", "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' WHEN 2 THEN 'GBP' ELSE '' END AS currency FROM nation")
+@query("j5_currency_of", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' WHEN 2 THEN 'GBP' ELSE '' END AS currency FROM customer")
 def currency_of(t):
-    kind = F.col("n_nationkey") % 4
-    return t.nation.select("n_nationkey", money.currency_of(F.when(kind == 0, "Euros").when(kind == 1, "US$").when(kind == 2, "£").otherwise("shells")).alias("currency"))
+    kind = F.col("c_custkey") % 4
+    return t.customer.select("c_custkey", money.currency_of(F.when(kind == 0, "Euros").when(kind == 1, "US$").when(kind == 2, "£").otherwise("shells")).alias("currency"))
 
 
 @query(

@@ -13,20 +13,16 @@ from ..sources import feeds, files, readers
 from .registry import query
 
 
-@query("a1_folder_scan", "SELECT 6 AS files, 'csv,html,md,txt' AS kinds")
+@query("a1_folder_scan", "SELECT DISTINCT lang || '/' || source AS folder, 'txt' AS kind FROM documents WHERE lang <> 'de'")
 def folder_scan(t):
-    """Writes a small folder into the shared scratch and scans it."""
+    """Writes the documents as files by language and source into the shared folder and scans it."""
     from ..storage import scratch
 
-    spark = t.region.sparkSession
     folder = scratch(t.spark, "scan")
-    for name in ("a.md", "b.txt", "c.html", "d.csv", "sub/e.md", "sub/f.txt", "skip/g.md", "h.bin"):
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
-        out.write(bytearray(b"text"))
-        out.close()
-    found = files.scan(spark, folder, [], ["skip/**"])
-    return found.agg(F.count("*").cast("int").alias("files"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    t.documents.select("lang", "source", "text").write.partitionBy("lang", "source").text(folder)
+    found = files.scan(t.spark, folder, ["**/*.txt"], ["lang=de/**"])
+    place = F.concat_ws("/", F.regexp_extract("path", "lang=([^/]*)/", 1), F.regexp_extract("path", "source=([^/]*)/", 1))
+    return found.select(place.alias("folder"), "kind").distinct()
 
 
 @query("a9_html_sections", "SELECT page_id, 1 AS sections FROM pages")
@@ -123,17 +119,19 @@ def notice_window(t):
     return rows.where(F.col("b").isNull() | (seconds(F.col("ts")) - seconds(F.col("b")) >= 86_400)).select("event_id")
 
 
-@query("r8_declared_charset", "SELECT n_nationkey, 'café ' || n_name AS text FROM nation")
+@query("r8_declared_charset", "SELECT c_custkey, 'café ' || c_name AS text FROM customer")
 def declared_charset(t):
-    text = F.concat(F.lit("café "), "n_name")
-    data = F.when(F.col("n_nationkey") % 2 == 0, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
-    return t.nation.select("n_nationkey", files.decoded(data).alias("text"))
+    text = F.concat(F.lit("café "), "c_name")
+    data = F.when(F.col("c_custkey") % 2 == 0, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
+    return t.customer.select("c_custkey", files.decoded(data).alias("text"))
 
 
-@query("r10_freshness_codes", "SELECT n_nationkey, CASE WHEN n_nationkey <= 1 THEN 'd' WHEN n_nationkey <= 7 THEN 'w' WHEN n_nationkey <= 20 THEN 'm' ELSE 'y' END AS code FROM nation")
+@query("r10_freshness_codes", "SELECT o_orderkey, CASE WHEN d <= 1 THEN 'd' WHEN d <= 7 THEN 'w' WHEN d <= 20 THEN 'm' ELSE 'y' END AS code FROM (SELECT o_orderkey, date_diff('day', max(CAST(o_orderdate AS DATE)) OVER (), CAST(o_orderdate AS DATE)) * -1 AS d FROM orders)")
 def freshness_codes(t):
-    d = F.col("n_nationkey")
-    return t.nation.select("n_nationkey", F.when(d <= 1, "d").when(d <= 7, "w").when(d <= 20, "m").otherwise("y").alias("code"))
+    """By the days between an order and the newest one."""
+    newest = t.orders.agg(F.max(F.to_date("o_orderdate")).alias("newest"))  # one row
+    d = F.datediff("newest", F.to_date("o_orderdate"))
+    return t.orders.join(F.broadcast(newest)).select("o_orderkey", F.when(d <= 1, "d").when(d <= 7, "w").when(d <= 20, "m").otherwise("y").alias("code"))
 
 
 @query("r11_unwrapped_results", "SELECT page_id, url FROM pages")
@@ -218,8 +216,8 @@ def due_sources(t):
     return last.where(listing.is_due(F.col("last"), "2024-01-31", 86_400 * (1 + F.col("user_id") % 3), F.lit(True))).select("user_id")
 
 
-@query("a21_news_hits", "SELECT n_nationkey, 'About ' || n_name AS title, 1 AS rank FROM nation")
+@query("a21_news_hits", "SELECT c_custkey, 'About ' || c_name AS title, 1 AS rank FROM customer")
 def news_hits(t):
-    xml = F.concat(F.lit("<rss><channel><item><title>About "), "n_name", F.lit("</title><link>https://n.example/1</link></item></channel></rss>"))
-    items = feeds.parse_feeds(t.nation.select("n_nationkey", xml.alias("xml")), "n_nationkey", "xml")
-    return items.select("n_nationkey", "title", F.lit(1).alias("rank"))
+    xml = F.concat(F.lit("<rss><channel><item><title>About "), "c_name", F.lit("</title><link>https://n.example/1</link></item></channel></rss>"))
+    items = feeds.parse_feeds(t.customer.select("c_custkey", xml.alias("xml")), "c_custkey", "xml")
+    return items.select("c_custkey", "title", F.lit(1).alias("rank"))

@@ -46,10 +46,16 @@ def stems(t):
     return words.groupBy(tx.stem(F.col("x")).alias("stem")).agg(F.count("*").alias("n"))
 
 
-@query("l4_query_terms", "SELECT unnest(['idiots', 'clown', 'accion']) AS term, unnest([1, 2, 3]) AS place")
+@query(
+    "l4_query_terms",
+    rf"""WITH w AS (SELECT doc_id, unnest(x) AS term, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all({_FOLD}, '[\p{{L}}\p{{N}}]+') AS x FROM documents)),
+    k AS (SELECT doc_id, term, min(i) AS i FROM w WHERE term NOT IN ({", ".join(f"'{x}'" for x in tx.STOPWORDS)}) GROUP BY ALL)
+    SELECT doc_id, term, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS place FROM k QUALIFY place <= 12""",
+)
 def query_terms(t):
-    found = rt.query_terms("The idiots and the Clown of the acción, the clown")
-    return t.region.sparkSession.createDataFrame(list(zip(found, range(1, 99))), "term string, place int")
+    """Each document as a query: its first twelve different content words."""
+    terms = F.slice(F.array_distinct(tx.content_tokens(F.col("text"))), 1, 12)
+    return t.documents.select("doc_id", F.posexplode(terms).alias("at", "term")).select("doc_id", "term", (F.col("at") + 1).alias("place"))
 
 
 @query("l5_match_ladder", _bm25_sql(f"HAVING count(*) = {len(TERMS)}") + "SELECT doc_id, 2 AS rung FROM sc WHERE false UNION ALL " + rf"SELECT DISTINCT doc_id, 2 AS rung FROM tf WHERE f > 0")

@@ -86,13 +86,13 @@ def link_documents(t):
     return t.pages.select("page_id", F.concat_ws("\n", "url", site_of(F.col("url"))).alias("header"), F.length("html").cast("bigint").alias("n"))
 
 
-@query("a18_imported_links", "SELECT 'https://new.example.org/' || i AS url, CASE WHEN i < 5 THEN 'skipped' ELSE 'added' END AS state FROM range(20) r(i)")
+@query("a18_imported_links", "SELECT 'https://new.example.org/' || c_custkey AS url, CASE WHEN c_custkey % 5 = 0 THEN 'skipped' ELSE 'added' END AS state FROM customer")
 def imported_links(t):
-    spark = t.region.sparkSession
-    i = F.col("id").cast("string")
+    """A link a customer, in bookmark files and in lists; every fifth is known."""
+    i = F.col("c_custkey").cast("string")
     anchor = F.concat(F.lit('<DT><A HREF="https://new.example.org/'), i, F.lit('/?utm_source=x">a</A>\n'))
-    lists = spark.range(20).select(F.when(F.col("id") % 2 == 0, anchor).otherwise(F.concat(F.lit("https://new.example.org/"), i, F.lit("\nnot a link"))).alias("content"))
-    known = spark.range(5).select(F.concat(F.lit("HTTPS://NEW.example.org/"), i, F.lit("#top")).alias("url"))
+    lists = t.customer.select(F.when(F.col("c_custkey") % 2 == 0, anchor).otherwise(F.concat(F.lit("https://new.example.org/"), i, F.lit("\nnot a link"))).alias("content"))
+    known = t.customer.where("c_custkey % 5 = 0").select(F.concat(F.lit("HTTPS://NEW.example.org/"), i, F.lit("#top")).alias("url"))
     return feeds.imported_links(lists, "content", known)
 
 
@@ -104,11 +104,11 @@ def feed_items(t):
     return feeds.parse_feeds(xml, "conv_id", "xml").select("conv_id", "format", "id", "title")
 
 
-@query("a20_github_feed", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'https://github.com/o' || n_nationkey || '/r/releases.atom' ELSE '' END AS feed FROM nation")
+@query("a20_github_feed", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'https://github.com/o' || c_custkey || '/r/releases.atom' ELSE '' END AS feed FROM customer")
 def github_feed(t):
-    key = F.col("n_nationkey").cast("string")
-    url = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("https://www.github.com/o"), key, F.lit("/r/tree/main"))).otherwise("https://example.org/a/b")
-    return t.nation.select("n_nationkey", feeds.github_feed(url).alias("feed"))
+    key = F.col("c_custkey").cast("string")
+    url = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("https://www.github.com/o"), key, F.lit("/r/tree/main"))).otherwise("https://example.org/a/b")
+    return t.customer.select("c_custkey", feeds.github_feed(url).alias("feed"))
 
 
 def _cues(t):
@@ -136,11 +136,11 @@ def calendar_round_trip(t):
     return feeds.parse_calendars(text, "o_custkey", "text").select("o_custkey", "uid", "summary", "start")
 
 
-@query("a27_form_values", "SELECT n_nationkey, 'name' AS field, n_name AS value FROM nation")
+@query("a27_form_values", "SELECT c_custkey, 'name' AS field, c_name AS value FROM customer")
 def form_values(t):
-    xfdf = F.concat(F.lit('<xfdf><fields><field name="name"><value>'), "n_name", F.lit("</value></field></fields></xfdf>"))
-    text = F.when(F.col("n_nationkey") % 2 == 0, xfdf).otherwise(F.concat(F.lit("name\n"), "n_name"))
-    return feeds.parse_forms(t.nation.select("n_nationkey", text.alias("text")), "n_nationkey", "text")
+    xfdf = F.concat(F.lit('<xfdf><fields><field name="name"><value>'), "c_name", F.lit("</value></field></fields></xfdf>"))
+    text = F.when(F.col("c_custkey") % 2 == 0, xfdf).otherwise(F.concat(F.lit("name\n"), "c_name"))
+    return feeds.parse_forms(t.customer.select("c_custkey", text.alias("text")), "c_custkey", "text")
 
 
 @query("a29_table_counts", "SELECT 'orders' AS name, count(*) AS rows FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents")

@@ -124,12 +124,12 @@ def page_ranges(t):
     return rows.select("o_custkey", describe(F.col("p")).alias("pages"))
 
 
-@query("h20_parse_ranges", "SELECT r_regionkey, CAST(list_sum(list_concat(range(1, r_regionkey + 3), [10], range(20, 24))) AS BIGINT) AS total FROM region")
+@query("h20_parse_ranges", "SELECT c_custkey, CAST(list_sum(list_concat(range(1, c_custkey % 8 + 3), [10], range(20, 24))) AS BIGINT) AS total FROM customer")
 def parse_ranges(t):
     from ..functions.ranges import parse
 
-    text = F.concat(F.lit("1-"), (F.col("r_regionkey") + 2).cast("string"), F.lit(", 10; 20-23"))
-    return t.region.select("r_regionkey", F.aggregate(parse(text), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+    text = F.concat(F.lit("1-"), (F.col("c_custkey") % 8 + 2).cast("string"), F.lit(", 10; 20-23"))
+    return t.customer.select("c_custkey", F.aggregate(parse(text), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
 @query(
