@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..functions import times, urls
 from ..operators import compare, extraction, listing, merging
 from ..operators import retrieval as rt
-from ..sources import feeds, files, readers
+from ..sources import feeds, files, readers, results
 from .registry import query
 
 
@@ -33,10 +33,11 @@ def html_sections(t):
     return first.select(F.regexp_extract("path", r"^(\d+)", 1).cast("bigint").alias("page_id"), "sections")
 
 
-@query("a22_result_hits", r"SELECT page_id, url, row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS rank FROM pages")
+@query("a22_result_hits", r"SELECT page_id, url, row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id) AS rank FROM pages")
 def result_hits(t):
+    """Lists of some twenty results, each link behind a redirect."""
     anchor = F.concat(F.lit('<a class="result" href="https://r.example/url?q='), F.url_encode("url"), F.lit('">t</a><!--'), F.col("page_id").cast("string"), F.lit("-->"))
-    lists = t.pages.groupBy((F.col("page_id") % 10).alias("k")).agg(F.array_sort(F.collect_list(F.struct("page_id", anchor.alias("a")))).alias("x"))
+    lists = t.pages.groupBy(F.floor(F.col("page_id") / 20).alias("k")).agg(F.array_sort(F.collect_list(F.struct("page_id", anchor.alias("a")))).alias("x"))
     pages = lists.select(F.array_join(F.transform("x", lambda x: x["a"]), "\n").alias("html"))
     hits = pages.select(F.posexplode(F.split("html", "\n")).alias("i", "line"))
     return hits.select(
@@ -44,6 +45,29 @@ def result_hits(t):
     )
 
 
+@query(
+    "a22_parsed_hits",
+    r"""WITH p AS (SELECT page_id, url, ['ddg', 'bing', 'searxng', 'brave'][page_id % 4 + 1] AS engine, 'Page ' || page_id || ' & more' AS title FROM pages)
+    SELECT page_id, engine, CAST(rank AS INTEGER) AS rank, CASE rank WHEN 1 THEN url ELSE 'https://other.example/' || page_id END AS url, CASE rank WHEN 1 THEN title ELSE 'Other' END AS title, CASE rank WHEN 1 THEN 'About ' || page_id ELSE '' END AS snippet FROM p, (VALUES (1), (2)) r(rank)""",
+)
+def parsed_hits(t):
+    """An answer of one of four engines about every page: an advert or a link to the
+    engine itself first, then the page and another one."""
+    key = F.col("page_id").cast("string")
+    title = F.concat(F.lit("Page <b>"), key, F.lit("</b> &amp; more"))
+    ddg = F.concat(F.lit('<div class="result result--ad"><a class="result__a" href="https://ad.example">Ad</a></div><div class="web result"><h2><a class="result__a" href="//duckduckgo.com/l/?uddg='), F.url_encode("url"), F.lit('&amp;rut=1">'), title, F.lit('</a></h2><a class="result__snippet">About\n '), key, F.lit('</a></div><div class="result"><a class="result__a" href="https://other.example/'), key, F.lit('">Other</a></div>'))
+    packed = F.translate(F.rtrim(F.replace(F.base64(F.col("url").cast("binary")), F.lit("="), F.lit(" "))), "+/", "-_")
+    bing = F.concat(F.lit('<ol><li class="b_algo"><h2><a href="https://www.bing.com/maps">Maps</a></h2></li><li class="b_algo"><h2><a href="https://www.bing.com/ck/a?!&amp;&amp;u=a1'), F.replace(packed, F.lit("\r\n"), F.lit("")), F.lit('&amp;ntb=1">'), title, F.lit('</a></h2><div class="b_caption"><p>About '), key, F.lit('</p></div></li><li class="b_algo"><h2><a href="https://other.example/'), key, F.lit('">Other</a></h2></li></ol>'))
+    plain = F.concat(F.lit("Page "), key, F.lit(" & more"))
+    hit = lambda said, about: F.array(F.struct("url", said.alias("title"), F.concat(F.lit("About "), key).alias(about)), F.struct(F.concat(F.lit("https://other.example/"), key).alias("url"), F.lit("Other").alias("title"), F.lit("").alias(about)))
+    searxng = F.to_json(F.struct(hit(plain, "content").alias("results")))
+    brave = F.to_json(F.struct(F.struct(hit(F.concat(F.lit("<strong>Page</strong> "), key, F.lit(" & more")), "description").alias("results")).alias("web")))
+    n = (F.col("page_id") % 4 + 1).cast("int")
+    engines = F.element_at(F.array(*map(F.lit, ("ddg", "bing", "searxng", "brave"))), n)
+    answers = t.pages.select("page_id", engines.alias("engine"), F.element_at(F.array(ddg, bing, searxng, brave), n).alias("answer"))
+    return results.parsed_hits(answers, "page_id", "engine", "answer").drop("date")
+
+
 @query("a26_watched_folder", "SELECT count(*) AS rows FROM events")
 def watched_folder(t):
     """A table folder streamed to its end with the trigger that a service would poll with."""
