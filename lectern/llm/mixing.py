@@ -13,7 +13,7 @@ thresholds, so no prefix sum runs over a source's documents, hot or not: only
 block totals and the one boundary block of a source are put in order. Whether a
 document is taken is then an expression over its own columns and its source's
 row, which is broadcast only when the sources' count and bytes are below a
-bound and joined by shuffle otherwise.
+bound; otherwise large sources are joined apart, so that none is one task's.
 
 Defined results: tokens are white-space separated words; a null or empty text has
 none; very long texts count whole; a null source is the source ''; sources
@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise
+from .common import fresh, join_groups, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 SECTIONS = 16
@@ -120,9 +120,10 @@ def plan(docs: DataFrame, entropy: float | None = None, repetition: float | None
     edge = slim.withColumn("block", F.substring("h", 1, 3)).join(cut, ["s", "block"])
     peers = F.sum("n_tokens").over(Window.partitionBy("s").orderBy("h").rangeBetween(Window.unboundedPreceding, 0))
     last = edge.withColumn("upto", peers).where("upto <= room").groupBy("s").agg(F.max("h").alias("last"))
-    out = sources.select("s").join(dealt, "s", "left").join(cut.select("s", "block", "turn"), "s", "left").join(last, "s", "left")
+    out = sources.select("s", F.col("t").alias("tokens")).join(dealt, "s", "left").join(cut.select("s", "block", "turn"), "s", "left").join(last, "s", "left")
     out = out.select(
         "s",
+        F.col("tokens").alias("size"),
         F.coalesce("weight", F.lit(0.0)).alias("weight"),
         F.coalesce("passes", F.lit(1).cast("bigint")).alias("passes"),
         F.col("block").alias("cut_block"),
@@ -147,7 +148,7 @@ def _copies(seed: str, source: Column, place: Column, prefix: str = "") -> Colum
 def decisions(docs: DataFrame, seed: str = SEED, **target) -> DataFrame:
     """doc_id, source, n_tokens, weight (of the source), copies of every row."""
     slim, rows = plan(docs, seed=seed, **target)
-    joined = slim.join(F.broadcast(rows) if _small(rows) else rows, "s")
+    joined = slim.join(F.broadcast(rows), "s") if _small(rows) else join_groups(slim, rows, "s", "size", "h")
     return joined.select("doc_id", F.col("s").alias("source"), "n_tokens", "weight", _copies(seed, F.col("s"), F.col("h")).alias("copies"))
 
 
@@ -158,7 +159,10 @@ def mixed(docs: DataFrame, seed: str = SEED, **target) -> DataFrame:
     head = fresh("__mix_", docs)  # no column of ``docs`` begins so
     rows = rows.select(*[F.col(c).alias(f"{head}{c}") for c in rows.columns])
     own = docs.withColumns({f"{head}source": _source(), f"{head}place": _place(seed)})
-    joined = own.join(F.broadcast(rows) if small else rows, F.col(f"{head}source") == F.col(f"{head}s"))
+    if small:
+        joined = own.join(F.broadcast(rows), F.col(f"{head}source") == F.col(f"{head}s"))
+    else:
+        joined = join_groups(own, rows.withColumnRenamed(f"{head}s", f"{head}source"), f"{head}source", f"{head}size", f"{head}place")
     copies = _copies(seed, F.col(f"{head}source"), F.col(f"{head}place"), head)
     taken = joined.withColumn(f"{head}copies", copies).where(F.col(f"{head}copies") > 0)
     return taken.withColumn(f"{head}copy", F.explode(F.sequence(F.lit(1).cast("bigint"), f"{head}copies"))).select(*docs.columns)

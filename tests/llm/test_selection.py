@@ -344,3 +344,16 @@ def test_hot_contexts_are_shared_out(spark, monkeypatch):
     dealt = next(df for df in sizes if df.columns == ["gram", "what"])
     parts = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
     assert max(parts) < sum(parts) / 2
+
+
+def test_many_sources_are_mixed_alike(spark, monkeypatch):
+    from lectern.llm import mixing
+
+    rng = random.Random(3)
+    rows = [(i, "word " * rng.randint(0, 30), f"s{i % 7}" if i % 3 else "hot") for i in range(400)] + [(None, "no id", None), (900, None, "s1")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    decided = lambda: sorted(map(str, mixing.decisions(docs, entropy=0.97, repetition=3.0).collect()))
+    taken = lambda: sorted(map(str, mixing.mixed(docs, repetition=1.25, cover=True).collect()))
+    small = decided(), taken()
+    monkeypatch.setattr(mixing, "PLAN_ROWS", 2)
+    assert (decided(), taken()) == small
