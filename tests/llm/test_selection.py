@@ -357,3 +357,34 @@ def test_many_sources_are_mixed_alike(spark, monkeypatch):
     small = decided(), taken()
     monkeypatch.setattr(mixing, "PLAN_ROWS", 2)
     assert (decided(), taken()) == small
+
+
+def test_toxicity_scores_are_those_of_the_machine(spark):
+    """Every score again, from weights and factors, pair by pair."""
+    from lectern.llm import toxicity
+
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(9001, None), (9002, ""), (9003, "\x00 Ä IDIOT idiot idiots")], "doc_id bigint, text string"))
+    model = toxicity.fit(docs, labels)
+    found = {r["doc_id"]: r for r in toxicity.scored(docs, model).collect()}
+    used = 0
+    for r in docs.collect():
+        data = (r["text"] or "").encode()
+        terms = Counter()
+        for word in re.findall(rb"[a-z0-9\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), data)):
+            terms[zlib.crc32(word) % toxicity.BUCKETS] += 1
+            for size in (4, 5, 6, 7, 8):
+                terms[zlib.crc32(word[:size], size) % toxicity.BUCKETS] += 1
+        x = {int(model.place[b]): 1 + math.log(n) for b, n in terms.items() if model.place[b] >= 0}
+        z = model.bias + sum(model.w[i] * v for i, v in x.items())
+        if len(x) < 60:
+            z += sum(float(model.v[i] @ model.v[j]) * x[i] * x[j] for i, j in itertools.combinations(x, 2))
+        else:
+            total = sum(v * model.v[i] for i, v in x.items())
+            z += 0.5 * float(total @ total - sum(v * v * (model.v[i] @ model.v[i]) for i, v in x.items()))
+        score = 1 / (1 + math.exp(-max(-35, min(35, z))))
+        used += len(x)
+        assert abs(found[r["doc_id"]]["score"] - score) < 1e-9 and found[r["doc_id"]]["predicted"] == (score >= 0.5)
+        assert found[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+    assert used > 1000
