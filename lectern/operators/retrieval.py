@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,16 +23,27 @@ QUERY_BLOCK, ROW_CHUNK = 500, 50_000
 
 def postings(docs: DataFrame, key: str, columns: dict[str, float]) -> DataFrame:
     """(key, term, wtf, len): the weighted term frequency over the text columns and
-    the tokens of the whole row. One shuffle by (key, term), combined map-side."""
+    the tokens of the whole row. Rows are told apart by their key, so a row's terms
+    are counted in its Arrow batch and nothing is shuffled."""
+    weights = list(map(float, columns.values()))
 
-    def weighted(column: str, weight: float) -> Column:
-        return F.transform(tx.tokens(F.coalesce(F.col(column), F.lit(""))), lambda x: F.struct(x.alias("term"), F.lit(float(weight)).alias("w")))
-
-    parts = [weighted(c, w) for c, w in columns.items()]
-    words = docs.select(key, F.flatten(F.array(*parts)).alias("_t"))
-    # the size is taken before the rows multiply, not once for each of them
-    exploded = words.select(key, "_t", F.size("_t").alias("len")).select(key, F.explode("_t").alias("t"), "len")
-    return exploded.groupBy(key, F.col("t.term").alias("term")).agg(F.sum("t.w").alias("wtf"), F.first("len").alias("len"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.columns[1:]
+            sizes = [np.diff(np.asarray(x.offsets)) for x in lists]
+            words = pa.chunked_array([x.flatten() for x in lists]).combine_chunks().dictionary_encode()
+            terms = words.dictionary
+            if not len(terms):
+                continue
+            row = np.concatenate([np.repeat(np.arange(batch.num_rows), n) for n in sizes])
+            weight = np.concatenate([np.full(int(n.sum()), w) for n, w in zip(sizes, weights)])
+            group, of = np.unique(row * len(terms) + np.asarray(words.indices), return_inverse=True)
+            rows, found = np.divmod(group, len(terms))
+            yield pa.record_batch({"key": batch.column(0).take(pa.array(rows)), "term": terms.take(pa.array(found)), "wtf": pa.array(np.bincount(of, weight)), "len": pa.array(sum(sizes)[rows].astype(np.int32))})
+
+    tokenised = docs.select(key, *[tx.tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"_t{i}") for i, c in enumerate(columns)])
+    found = tokenised.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, term string, wtf double, len int")
+    return found.withColumnRenamed("key", key)
 
 
 def corpus_size(docs: DataFrame, columns: list[str]) -> DataFrame:
