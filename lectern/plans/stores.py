@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import statements, tables
 from ..functions import text as tx
-from ..operators import dense_index, minhash, ordering, phrases, prefixes, subtrees
-from ..sources import messages
+from ..operators import dense_index, layout, minhash, ordering, phrases, prefixes, subtrees
+from ..sources import messages, pdf
 from ..storage import scratch
 from .registry import query
 
@@ -135,3 +135,33 @@ def terms_of_prefixes(t):
 @query("g13_shared_parts")
 def shared_parts(t):
     return subtrees.shared_parts(t.pages, "page_id", "html")
+
+
+_LINES = "WITH d AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)), l AS (SELECT doc_id, i, CAST((i - 1) // 48 + 1 AS INTEGER) AS page, line FROM d WHERE trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')"
+
+
+def _pdf_lines(t):
+    """The documents as PDF files, read back as lines."""
+    files = pdf.write_files(t.documents, "doc_id", "text")
+    return layout.lines(pdf.runs(files, "doc_id", "content").drop("note"), "doc_id")
+
+
+@query("a28_pdf_lines", _LINES + " SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY i) AS line, line AS text FROM l")
+def pdf_lines(t):
+    return _pdf_lines(t).select("doc_id", "page", "line", "text")
+
+
+@query("a13_pdf_pages", _LINES + " SELECT doc_id, page, count(*) AS lines, sha256(string_agg(line, chr(10) ORDER BY i)) AS hash FROM l GROUP BY ALL")
+def pdf_pages(t):
+    grouped = _pdf_lines(t).groupBy("doc_id", "page").agg(F.count("*").alias("lines"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("l"))
+    return grouped.select("doc_id", "page", "lines", F.sha2(F.array_join(F.transform("l", lambda x: x["text"]), "\n"), 256).alias("hash"))
+
+
+@query("a28_pdf_paragraphs")
+def pdf_paragraphs(t):
+    return layout.paragraphs(_pdf_lines(t), "doc_id")
+
+
+@query("a13_pdf_outline")
+def pdf_outline(t):
+    return layout.outline(_pdf_lines(t), "doc_id")

@@ -1,7 +1,6 @@
 """Files to units: (path, unit_kind, number, title, text, line) from bytes.
 
-One reader per kind, standard library only; PDF needs an optional library and
-gives a note without it. A file is one row, so a batch of files is read at a time.
+One reader per kind, standard library only. A file is one row, so a batch of files is read at a time.
 """
 
 from __future__ import annotations
@@ -189,12 +188,20 @@ def eml(data: bytes) -> Iterator[Unit]:
 
 
 def pdf(data: bytes) -> Iterator[Unit]:
-    try:
-        from pypdf import PdfReader
-    except ImportError:
-        raise ValueError("reading PDF needs the pypdf library") from None
-    for i, page in enumerate(PdfReader(io.BytesIO(data)).pages, 1):
-        yield "page", i, "", page.extract_text() or "", None
+    """A unit a page: its lines from top to bottom."""
+    from .pdf import File, shown
+
+    file = File(data)
+    for number, page in enumerate(file.pages(), 1):
+        lines: list[str] = []
+        at = None
+        for _, y, size, text in sorted(shown(file.content(page), file.decoders(page)), key=lambda r: (-r[1], r[0])):
+            if at is not None and at - y <= 0.4 * size:
+                lines[-1] += f" {text}"
+            else:
+                lines.append(text)
+            at = y
+        yield "page", number, "", "\n".join(lines), None
 
 
 READERS = {"md": markdown, "txt": plain, "code": plain, "csv": table, "html": html, "epub": epub, "docx": docx, "pptx": pptx, "xlsx": xlsx, "odt": odt, "rtf": rtf, "eml": eml, "pdf": pdf}
