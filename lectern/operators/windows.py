@@ -75,3 +75,14 @@ def timed_paragraphs(cues: DataFrame, key: str, order: str, start: str, end: str
     safe = lambda done, x: F.when(F.size(done) == 0, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t")))).otherwise(add(done, x))
     out = folded.select(key, F.posexplode(F.aggregate("_l", F.array().cast(kind), safe)).alias("paragraph", "p"))
     return out.select(key, F.col("paragraph").cast("bigint").alias("paragraph"), F.col("p.s").alias("start"), F.col("p.e").alias("end"), F.col("p.t").alias("text"))
+
+
+def spaced(rows: DataFrame, key: str, at: Column, order: str, gap: float, name: str = "starts") -> DataFrame:
+    """``rows`` with the earliest time at which each may start: not before it comes,
+    nor less than ``gap`` after the one before it of its key (politeness to a host).
+    The recurrence s(i) = max(a(i), s(i - 1) + gap) is a running maximum of
+    a(i) - i * gap, so it is one window."""
+    w = Window.partitionBy(key).orderBy(at, order)
+    placed = rows.withColumns({"_a": at, "_i": F.row_number().over(w)})
+    latest = F.max(F.col("_a") - F.col("_i") * F.lit(gap)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn(name, latest + F.col("_i") * F.lit(gap)).drop("_a", "_i")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import automaton
+from ..operators import automaton, paths, windows
 from ..streaming import jobs, live
 from .registry import query
 
@@ -58,3 +58,27 @@ def question_states(t):
     run = automaton.folded(rows, "user_id", ["event_id"], symbol, QUESTION_RUN)
     state = F.when((F.col("before") == STOPPED) | (symbol == FAILED), "unavailable").when(symbol == ANSWERED, "ok").otherwise("empty")
     return run.select("event_id", "user_id", state.alias("state"), (F.col("after") == STOPPED).alias("stopped"))
+
+
+@query(
+    "o19_polite_starts",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 AS came, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS i FROM events),
+    s AS (SELECT user_id, event_id, i, came AS starts FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, greatest(e.came, s.starts + 90000) FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
+    SELECT event_id, user_id, CAST(starts AS BIGINT) AS starts FROM s""",
+)
+def polite_starts(t):
+    """When the requests of a host may start, 25 hours apart."""
+    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    return windows.spaced(t.events.select("event_id", "user_id", "ts"), "user_id", at, "event_id", 90_000.0).select("event_id", "user_id", F.col("starts").cast("bigint").alias("starts"))
+
+
+@query(
+    "r32_refused_folders",
+    r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host FROM pages)
+    SELECT page_id, ['', 'system', 'home', 'hidden', 'relative', 'own data', '', 'system'][page_id % 8 + 1] AS reason FROM p""",
+)
+def refused_folders(t):
+    host = F.regexp_extract("url", r"^https?://([^/?#]*)", 1)
+    shapes = [("/srv/x/../", ""), ("/etc/", ""), ("C:\\Users\\", ""), ("/srv/", "/.ssh/keys"), ("", "/pages"), ("/srv/lectern/", "/db"), ("'/srv/lectern/exports/", "'"), ("c:/x/../Windows./", "")]
+    made = F.element_at(F.array(*[F.concat(F.lit(a), host, F.lit(b)) for a, b in shapes]), (F.col("page_id") % 8 + 1).cast("int"))
+    return t.pages.select("page_id", paths.refused(made, "/srv/lectern", ("exports",)).alias("reason"))

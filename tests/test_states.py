@@ -79,3 +79,21 @@ def test_automaton_over_one_long_key(spark):
     for i, done in enumerate(automaton.scan(steps, first)):
         table = steps[i] if first[i] else steps[i][table]
         assert done.tolist() == table.tolist()
+
+
+def test_refused_folders(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.operators import paths
+
+    cases = {
+        "": "empty", None: "empty", "  ": "empty", "a/b": "relative", "./a": "relative", "C:a": "relative", "/": "root", "/a/..": "root", "/../..": "root", "C:\\": "root", "c:": "root", "/etc": "system", "/ETC/x": "system",
+        "/etcetera": "", "C:\\Windows \\x": "system", "C:/Program Files/a": "system", "/home": "home", "/home/me": "home", "/home/me/docs": "", "C:\\Users\\me\\docs": "", "C:\\Users\\me": "home", "/srv/.git/x": "hidden", "/srv/.github": "",
+        "D:\\a\\AppData\\b": "hidden", "/data": "own data", "/data/app": "own data", "/data/app/db": "own data", "/data/app/out": "", "/data/app/out/x": "", "/data/application": "", "'/data/app/out'": "", '"/etc"': "system", "/data/app/out/../db": "own data",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, p string")
+    found = {r["p"]: r["r"] for r in df.select("p", paths.refused(F.col("p"), "/data/app", ("out",)).alias("r")).collect()}
+    assert found == cases
+    pairs = [("/a/b", "/a", True), ("/a", "/a/", True), ("/ab", "/a", False), ("/a/../b", "/a", False), ("C:\\A\\b", "c:/a", True), ("/A/b", "/a", False), ("c:/a", "/a", False)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string, said boolean")
+    assert df.where(paths.is_inside(F.col("a"), F.col("b")) != F.col("said")).collect() == []
