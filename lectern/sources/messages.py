@@ -147,7 +147,10 @@ class Store:
         """The largest id, from the footers."""
         return max((g.most for g in self.groups() if g.most is not None), default=None)
 
-    def read(self, page: Page, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    def read(self, page: Page | None, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+        """The rows of a page; Spark asks for the page None where there is none."""
+        if page is None:
+            return
         system, _ = self._open()
         for name in dict.fromkeys(g.file for g in page.groups):
             with system.open_input_file(name) as f:
