@@ -1,7 +1,7 @@
 """Near-duplicate texts at scale: MinHash signatures, banding, verification.
 
 A text's similarity to another is the larger of the Jaccard similarity of its
-words and that of its letter trigrams, both of the folded runs of letters and
+words and that of its letter trigrams (or one of the two, ``kinds``), both of the folded runs of letters and
 digits; trigrams ignore the spacing, and a text under three letters is one item
 of its own. Texts that are equal in that form are one class;
 classes are compared, copies only follow.
@@ -11,12 +11,15 @@ A class has a signature of its words and one of its trigrams, each cut into
 pair of similarity s in one of the sets meets with 1 - (1 - s^ROWS)^BANDS (0.9996
 at 0.8), and every candidate is verified on the whole sets.
 
-A band of up to ``BLOCK`` classes is paired in full. A larger one (copies of one
+A band of up to ``PAIRED`` classes is paired in full. A larger one (copies of one
 template with small changes) is linked to its smallest class first. Members that
 this leaves in another component are then compared with all members of the band,
 in blocks, so no link between components is lost; pairs inside a component are not
 needed for it, so near copies by the thousand cost about one comparison each.
 
+Trigrams are for short texts: long ones of one language share most of theirs, so
+unrelated texts link by them and candidates grow with the square of the rows.
+
 Defined results: null counts as empty; empty texts are one class and like nothing
 else; a null id is a row without a class of its own and is left out; rows of one
 id must be one; an empty table has no rows; other columns are ignored.
@@ -40,7 +43,8 @@ from .graph import components
 BANDS, ROWS = 20, 5
 LEAST = 0.8
 #: Classes of a band that are paired in full, and of a block of a larger one.
-BLOCK = 64
+PAIRED, BLOCK = 2, 64
+KINDS = ("words", "trigrams")
 #: Items of a set that are hashed at a time.
 CHUNK = 4096
 
@@ -63,9 +67,10 @@ def trigrams_of(text: str) -> np.ndarray:
     return np.unique(points[:-2] << np.uint64(42) | points[1:-1] << np.uint64(21) | points[2:])
 
 
-def similarity(a: str, b: str) -> float:
+def similarity(a: str, b: str, kinds: tuple[str, ...] = KINDS) -> float:
     """The larger Jaccard similarity of words and trigrams; 0 if a side is empty."""
-    return max(_jaccard(_words(a), _words(b)), _jaccard_sorted(_trigrams(a), _trigrams(b)))
+    by_words = _jaccard(_words(a), _words(b)) if "words" in kinds else 0.0
+    return max(by_words, _jaccard_sorted(_trigrams(a), _trigrams(b))) if "trigrams" in kinds else by_words
 
 
 _words, _trigrams = functools.lru_cache(64)(words_of), functools.lru_cache(64)(trigrams_of)
@@ -99,14 +104,16 @@ def signature(codes: np.ndarray) -> np.ndarray:
     return least
 
 
-def bands(text: str) -> list[int]:
+def bands(text: str, kinds: tuple[str, ...] = KINDS) -> list[int]:
     """Keys of all bands of a text, no two kinds or places alike."""
-    words = sorted(words_of(text))
-    sets = [pd.util.hash_array(np.array(words, dtype=object)) if words else np.empty(0, dtype=np.uint64), trigrams_of(text)]
     keys = []
-    for kind, codes in enumerate(sets):
+    for number, kind in enumerate(KINDS):
+        if kind not in kinds:
+            continue
+        words = sorted(words_of(text)) if kind == "words" else []
+        codes = trigrams_of(text) if kind == "trigrams" else pd.util.hash_array(np.array(words, dtype=object)) if words else np.empty(0, dtype=np.uint64)
         if len(codes):
-            folded = np.arange(BANDS, dtype=np.uint64) + np.uint64(kind * BANDS + 1)
+            folded = np.arange(BANDS, dtype=np.uint64) + np.uint64(number * BANDS + 1)
             for part in signature(codes).reshape(BANDS, ROWS).T:
                 folded = (folded ^ part) * np.uint64(0xBF58476D1CE4E5B9)
                 folded ^= folded >> np.uint64(29)
@@ -114,48 +121,54 @@ def bands(text: str) -> list[int]:
     return np.concatenate(keys).astype(np.int64).tolist() if keys else []
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            found = [bands(t) for t in part.column(1).to_pylist()]
-            ids = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(k) for k in found])))
-            yield pa.record_batch({"id": ids, "band": pa.array([k for keys in found for k in keys], pa.int64())})
+def _banded(kinds: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [bands(t, kinds) for t in part.column(1).to_pylist()]
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(k) for k in found])))
+                yield pa.record_batch({"id": ids, "band": pa.array([k for keys in found for k in keys], pa.int64())})
+
+    return run
+
 
+def _verified(kinds: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, left, right = (c.to_pylist() for c in batch.columns)
+            rows = [(x, y, s) for x, y, p, q in zip(a, b, left, right) if (s := similarity(p, q, kinds)) >= LEAST]
+            yield pa.record_batch({"a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.float64())})
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b, left, right = (c.to_pylist() for c in batch.columns)
-        rows = [(x, y, s) for x, y, p, q in zip(a, b, left, right) if (s := similarity(p, q)) >= LEAST]
-        yield pa.record_batch({"a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.float64())})
+    return run
 
 
-def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """a, b, score of the ``pairs`` (a, b) of similarity ``LEAST`` or more."""
     left = classes.select(F.col("id").alias("a"), F.col("text").alias("left"))
     right = classes.select(F.col("id").alias("b"), F.col("text").alias("right"))
     both = pairs.distinct().join(right, "b").join(left, "a").select("a", "b", "left", "right")
-    return materialise(both.mapInArrow(_verified, "a bigint, b bigint, score double"), "minhash_links")
+    return materialise(both.mapInArrow(_verified(kinds), "a bigint, b bigint, score double"), "minhash_links")
 
 
 def classes_of(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(id, text of each class; doc_id, id of each row)."""
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), normal(F.col(text)).alias("text"))
-    rows = materialise(rows.withColumn("digest", F.sha2("text", 256)), "minhash_rows")
-    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("id"))
-    members = rows.select("doc_id", "digest").join(firsts, "digest").select("doc_id", "id")
+    digests = materialise(rows.select("doc_id", F.sha2("text", 256).alias("digest")), "minhash_digests")
+    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("id"))
+    members = digests.join(firsts, "digest").select("doc_id", "id")
     return materialise(rows.join(firsts.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text"), "minhash_classes"), members
 
 
-def links(classes: DataFrame) -> DataFrame:
+def links(classes: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """a, b, score: verified links, enough of them for all components."""
-    banded = materialise(classes.mapInArrow(_banded, "id bigint, band bigint"), "minhash_bands")
+    banded = materialise(classes.mapInArrow(_banded(kinds), "id bigint, band bigint"), "minhash_bands")
     sizes = materialise(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"), "minhash_sizes")
-    small = banded.join(sizes.where(F.col("n") <= BLOCK).select("band"), "band")
+    small = banded.join(sizes.where(F.col("n") <= PAIRED).select("band"), "band")
     pairs = small.select("band", F.col("id").alias("a")).join(small.select("band", F.col("id").alias("b")), "band").where("a < b").select("a", "b")
-    large = materialise(banded.join(sizes.where(F.col("n") > BLOCK), "band"), "minhash_large")
+    large = materialise(banded.join(sizes.where(F.col("n") > PAIRED), "band"), "minhash_large")
     stars = large.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    found = verified(pairs.union(stars), classes)
+    found = verified(pairs.union(stars), classes, kinds)
     if not large.limit(1).count():
         return found
     labels = components(found)
@@ -167,11 +180,11 @@ def links(classes: DataFrame) -> DataFrame:
     rest = rest.join(counted, "band").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = told.join(counted, "band").select("band", "id", "component", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     more = rest.join(dealt, ["band", "block"]).where(F.col("component") != F.col("of_x"))
-    return found.unionByName(verified(more.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")), classes))
+    return found.unionByName(verified(more.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")), classes, kinds))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """doc_id, class_id: the smallest id of all texts that links lead to."""
     classes, members = classes_of(docs, key, text)
-    labels = components(links(classes)).withColumnRenamed("id", "of")
+    labels = components(links(classes, kinds)).withColumnRenamed("id", "of")
     return members.join(labels, F.col("id") == F.col("of"), "left").select("doc_id", F.coalesce("component", "id").alias("class_id"))

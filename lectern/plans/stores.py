@@ -71,6 +71,12 @@ def near_duplicate_texts(t):
     return minhash.near_duplicates(t.documents)
 
 
+@query("g8_near_duplicate_words")
+def near_duplicate_words(t):
+    """By words alone, as long texts want it."""
+    return minhash.near_duplicates(t.documents, kinds=("words",))
+
+
 @query("l8_index_search")
 def index_search(t):
     """The ten nearest rows of every vector whose id is divisible by 50, by the index."""

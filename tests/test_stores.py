@@ -58,7 +58,7 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
 
 
-def brute_classes(rows):
+def brute_classes(rows, trigrams=True):
     said = {i: " ".join(re.findall(r"[^\W_]+", (t or "").lower())) for i, t in rows if i is not None}
     ids = sorted(said)
     words = {i: set(said[i].split()) for i in ids}
@@ -74,7 +74,7 @@ def brute_classes(rows):
     jaccard = lambda x, y: len(x & y) / len(x | y) if x | y else 0.0
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            if said[a] == said[b] or max(jaccard(words[a], words[b]), jaccard(grams[a], grams[b])) >= 0.8:
+            if said[a] == said[b] or max(jaccard(words[a], words[b]), trigrams and jaccard(grams[a], grams[b])) >= 0.8:
                 links += 1
                 x, y = sorted((root(a), root(b)))
                 above[y] = x
@@ -109,6 +109,10 @@ def test_near_duplicates_of_the_small_table(spark):
     assert found.keys() == expected.keys()
     linked = [i for i in expected if expected[i] != i]
     assert sum(found[i] == expected[i] for i in linked) >= 0.9 * len(linked)
+    found = {r["doc_id"]: r["class_id"] for r in plans.QUERIES["g8_near_duplicate_words"](spark, folder).collect()}
+    expected = brute_classes(rows, trigrams=False)
+    linked = [i for i in expected if expected[i] != i]
+    assert found.keys() == expected.keys() and linked and sum(found[i] == expected[i] for i in linked) >= 0.9 * len(linked)
 
 
 def brute_nearest(rows, k):
