@@ -1,10 +1,10 @@
 """A positional inverted index: phrases over several text columns.
 
-The index holds one row a term, record and column with the term's positions as
-gaps (the first from 0, then from the one before), in folders by a hash of the
-term and sorted by term inside a file. Rows are grouped inside the record they
-come from, in Arrow batches, so building shuffles one row a distinct term of a
-text and not one a word; a common term's rows are dealt to several files.
+The index holds a row a term and batch of records: the records and columns that
+hold the term, how often each, and its positions as gaps (the first from 0, then
+from the one before), in folders by a hash of the term and sorted by term inside a
+file. Rows are grouped inside the Arrow batch they come from, so building shuffles
+packed lists and not words; a common term's rows are dealt to several files.
 
 A search reads only the folders of its terms. Each phrase's terms bring their
 positions, shifted back by their place in the phrase; a record and column holds
@@ -39,7 +39,8 @@ PHRASE_WORDS = 100_000
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, field, tokens) as (key, field, term, gaps)."""
+    """Rows (key, field, tokens) as a row a term and batch: the keys and fields that
+    hold it, how often each, and the gaps of all, one after the other."""
     for batch in batches:
         tokens = batch.column(2)
         ends = np.asarray(tokens.offsets).astype(np.int64)
@@ -47,25 +48,30 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokens.flatten().dictionary_encode()
         if not len(words):
             continue
-        terms = words.dictionary
-        row = np.repeat(np.arange(batch.num_rows), sizes)
+        terms, n = words.dictionary, batch.num_rows
+        row = np.repeat(np.arange(n), sizes)
         at = np.arange(len(words)) - np.repeat(ends[:-1] - ends[0], sizes)
-        group = row * len(terms) + np.asarray(words.indices)
+        group = np.asarray(words.indices).astype(np.int64) * n + row
         order = np.argsort(group, kind="stable")
         group, at = group[order], at[order]
         first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         gaps = np.diff(at, prepend=0)
         gaps[first] = at[first]
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(gaps.astype(np.int32)))
-        rows, found = divmod(group[first], len(terms))
-        yield pa.record_batch({"key": batch.column(0).take(pa.array(rows)), "field": batch.column(1).take(pa.array(rows)), "term": terms.take(pa.array(found)), "gaps": lists})
+        of, rows = np.divmod(group[first], n)
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))  # of each term, among its texts
+        lists = lambda values, places: pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), values)
+        texts, positions = np.append(starts, len(of)), np.append(first[starts], len(at))
+        counts = np.diff(np.append(first, len(at)))
+        held = [lists(batch.column(i).take(pa.array(rows)), texts) for i in (0, 1)]
+        yield pa.record_batch({"term": terms.take(pa.array(of[starts])), "keys": held[0], "fields": held[1], "counts": lists(pa.array(counts.astype(np.int32)), texts), "gaps": lists(pa.array(gaps.astype(np.int32)), positions)})
 
 
 def positions(rows: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
-    """key, field, term, gaps of every text."""
-    texts = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), tx.tokens(F.coalesce(text, F.lit(""))).alias("tokens")) for name, text in columns.items()])).alias("t")
+    """term, keys, fields (places among ``columns``), counts, gaps, a row a term and
+    Arrow batch."""
+    texts = F.explode(F.array(*[F.struct(F.lit(i).cast("tinyint").alias("field"), tx.tokens(F.coalesce(text, F.lit(""))).alias("tokens")) for i, text in enumerate(columns.values())])).alias("t")
     slim = rows.select(F.col(key).alias("key"), texts).select("key", "t.field", "t.tokens")
-    return slim.mapInArrow(_grouped, f"key {rows.schema[key].dataType.simpleString()}, field string, term string, gaps array<int>")
+    return slim.mapInArrow(_grouped, f"term string, keys array<{rows.schema[key].dataType.simpleString()}>, fields array<tinyint>, counts array<int>, gaps array<int>")
 
 
 def folders_for(rows: DataFrame, columns: dict[str, Column]) -> int:
@@ -83,28 +89,31 @@ def write_index(rows: DataFrame, key: str, columns: dict[str, Column], path: str
     path = path or scratch(rows.sparkSession, "phrases")
     folders = folders_for(rows, columns)
     found = positions(rows, key, columns).withColumn("folder", _folder(F.col("term"), folders))
-    dealt = found.repartition("folder", F.pmod(F.xxhash64("key"), F.lit(SPREAD))).sortWithinPartitions("folder", "term", "key")
-    dealt.write.partitionBy("folder").parquet(f"{path}/{folders}")
-    return f"{path}/{folders}"
+    # a common term comes once a batch of texts: its rows are dealt by their first key
+    dealt = found.repartition("folder", F.pmod(F.xxhash64(F.get("keys", F.lit(0))), F.lit(SPREAD))).sortWithinPartitions("folder", "term")
+    dealt.write.partitionBy("folder").parquet(f"{path}/rows")
+    rows.sparkSession.createDataFrame([(folders, list(columns))], "folders int, columns array<string>").coalesce(1).write.parquet(f"{path}/about")
+    return path
 
 
 def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Gaps as positions, less the place of the term in its phrase."""
+    """Rows (phrase_id, n, place, keys, fields, counts, gaps) as a row a text:
+    positions, less the place of the term in its phrase."""
     for batch in batches:
-        gaps = batch.column(5)
-        ends = np.asarray(gaps.offsets).astype(np.int64)
-        ends = ends - ends[0]
-        sizes = np.diff(ends)
+        keys, counts, gaps = batch.column(3), batch.column(5), batch.column(6)
+        own = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(keys.offsets)))
+        sizes = np.asarray(counts.flatten()).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
         upto = np.concatenate([[0], np.cumsum(np.asarray(gaps.flatten(), dtype=np.int64))])
-        at = upto[1:] - np.repeat(upto[ends[:-1]] + np.asarray(batch.column(4)), sizes)
+        at = upto[1:] - np.repeat(upto[ends[:-1]] + np.asarray(batch.column(2))[own], sizes)
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at.astype(np.int32)))
-        yield pa.record_batch([*batch.columns[:4], lists], names=["phrase_id", "key", "field", "n", "at"])
+        yield pa.record_batch([batch.column(0).take(pa.array(own)), keys.flatten(), batch.column(4).flatten(), batch.column(1).take(pa.array(own)), lists], names=["phrase_id", "key", "field", "n", "at"])
 
 
 def search(spark: SparkSession, index: str, phrases: DataFrame) -> DataFrame:
     """phrase_id, key, field, starts (ascending) of every text that holds a phrase;
     ``phrases``: phrase_id, phrase, ``PHRASE_WORDS`` words together at most."""
-    folders = int(index.rstrip("/").rsplit("/", 1)[1])
+    folders, names = spark.read.parquet(f"{index}/about").first()
     words = phrases.select("phrase_id", tx.tokens(F.coalesce("phrase", F.lit(""))).alias("words"))
     terms = words.select("phrase_id", F.size("words").alias("n"), F.posexplode("words").alias("place", "term"))
     terms = terms.withColumn("folder", _folder(F.col("term"), folders))
@@ -113,10 +122,11 @@ def search(spark: SparkSession, index: str, phrases: DataFrame) -> DataFrame:
         raise ValueError(f"a search takes {PHRASE_WORDS} words at a time; search in parts")
     local = F.broadcast(spark.createDataFrame(asked, terms.schema)).alias("t")
     kept = sorted({r[-1] for r in asked})
-    rows = spark.read.parquet(index).where(F.col("folder").isin(kept) & F.col("term").isin(sorted({r[3] for r in asked})))
+    rows = spark.read.parquet(f"{index}/rows").where(F.col("folder").isin(kept) & F.col("term").isin(sorted({r[3] for r in asked})))
     kinds = {c: d for c, d in [*rows.dtypes, *terms.dtypes]}
-    hits = rows.join(local, "term").select("phrase_id", "key", "field", "n", "place", "gaps")
-    hits = hits.mapInArrow(_shifted, f"phrase_id {kinds['phrase_id']}, key {kinds['key']}, field string, n int, at array<int>")
+    hits = rows.join(local, "term").select("phrase_id", "n", "place", "keys", "fields", "counts", "gaps")
+    hits = hits.mapInArrow(_shifted, f"phrase_id {kinds['phrase_id']}, key {kinds['keys'][6:-1]}, field tinyint, n int, at array<int>")
     met = hits.groupBy("phrase_id", "key", "field", "n").agg(F.collect_list("at").alias("held")).where(F.size("held") == F.col("n"))
     starts = F.array_sort(F.aggregate("held", F.col("held")[0], F.array_intersect)).alias("starts")
-    return met.select("phrase_id", "key", "field", starts).where(F.size("starts") > 0)
+    field = F.element_at(F.array(*map(F.lit, names)), F.col("field").cast("int") + 1).alias("field")
+    return met.select("phrase_id", "key", field, starts).where(F.size("starts") > 0)
