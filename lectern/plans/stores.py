@@ -129,13 +129,11 @@ def bound_values(t):
 )
 def terms_of_prefixes(t):
     """The words of three to six letters of the benchmark as prefixes of the documents' words."""
-    words = lambda df: F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term")
-    counts = t.documents.select("doc_id", words(t.documents)).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    asked = t.benchmark.select(words(t.benchmark)).where(F.length("term").between(3, 6))
-    met = prefixes.beginning_with(counts, "term", asked, "term")
-    per_document = counts.join(met, "term").groupBy("prefix", "doc_id").agg(F.count("*").alias("terms"), F.sum("n").alias("n"))
-    terms = met.groupBy("prefix").agg(F.count("*").alias("terms"))
-    return per_document.groupBy("prefix").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences")).join(terms, "prefix").select("prefix", "terms", "documents", "occurrences")
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    asked = t.benchmark.select(F.explode(words).alias("term")).where(F.length("term").between(3, 6))
+    met = prefixes.beginning_with(t.documents.select(F.explode(words).alias("term")), "term", asked, "term")
+    counts = prefixes.counted(t.documents, words, asked, "term").withColumnRenamed("rows", "documents")
+    return counts.join(met.groupBy("prefix").agg(F.count("*").alias("terms")), "prefix").select("prefix", "terms", "documents", "occurrences")
 
 
 @query("g13_shared_parts")

@@ -94,3 +94,10 @@ def test_ask(spark):
     for bad in ("1a", "a b", "a;", "", None, "a`"):
         with pytest.raises(ValueError):
             statements.name(bad)
+
+
+def test_counted_prefixes(spark):
+    rows = [(["abc", "abd", "abc", "x"],), (["ab"],), ([],), (None,), (["xyz", ""],)]
+    df, ask = spark.createDataFrame(rows, "w array<string>"), spark.createDataFrame([("ab",), ("abc",), ("x",), ("q",), ("",), (None,), ("ab",)], "p string")
+    assert sorted(map(tuple, prefixes.counted(df, F.col("w"), ask, "p").collect())) == [("ab", 2, 4), ("abc", 1, 2), ("x", 2, 2)]
+    assert prefixes.counted(df, F.col("w"), ask.limit(0), "p").collect() == []
