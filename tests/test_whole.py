@@ -21,7 +21,8 @@ WHOLE = {
             "a24_calendar_round_trip", "d18_character_error_rate", "d21_largest_remainder", "d6_digest_by_site", "e5_series_order", "h20_page_ranges",
             "h29_tracking_number", "i4_find_dates", "i10_add_working_days", "i11_next_working_day", "i12_working_days_between", "i13_delivery_day",
             "i15_admin_deadline", "i22_count_working_days", "n2_kinds", "n3_dated_facts", "n4_assigned_roles", "n6_first_of_roles", "n7_periods",
-            "n8_chosen_amount", "n9_references", "n10_issuers", "n11_deadlines", "o9_rolled_forward",
+            "n8_chosen_amount", "n9_references", "n10_issuers", "n11_deadlines", "n12_hint_check", "o9_rolled_forward", "c13_containment", "l23_paragraph_pages",
+            "i9_calendar", "l4_query_terms", "r10_freshness_codes",
         ),
         LARGER,
     ),
