@@ -105,8 +105,9 @@ _SPANS = "SELECT user_id, event_id, epoch(ts)::BIGINT AS s, epoch(ts)::BIGINT +
     SELECT x.user_id, x.event_id AS view_id, y.event_id AS purchase_id FROM x JOIN y ON x.user_id = y.user_id AND x.s < y.e AND x.e > y.s""",
 )
 def interval_overlap(t):
-    start = F.unix_timestamp("ts")
-    span = t.events.select("user_id", "event_id", "event_type", start.alias("s"), (start + F.round("value").cast("bigint") % 7200 + 60).alias("e"))
+    # halves go to the even neighbour, as in the casts of the SQL
+    start = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("bigint")
+    span = t.events.select("user_id", "event_id", "event_type", start.alias("s"), (start + F.rint("value").cast("bigint") % 7200 + 60).alias("e"))
     views = span.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("s").alias("vs"), F.col("e").alias("ve"))
     buys = span.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), F.col("s").alias("ps"), F.col("e").alias("pe"))
     return joining.interval_overlaps(views, buys, ["user_id"], "vs", "ve", "ps", "pe", 3600.0).select("user_id", "view_id", "purchase_id")
