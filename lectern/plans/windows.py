@@ -99,10 +99,11 @@ def timed_paragraphs(t):
     SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM g GROUP BY ALL""",
 )
 def gap_paragraphs(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(w))
+    order = [F.asc_nulls_last("ts"), F.asc_nulls_last("event_id")]
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    gap = seconds - F.lag(seconds).over(Window.partitionBy("user_id").orderBy(*order))
     rows = t.events.select("user_id", "event_id", "ts", (gap >= 14400).alias("new"))
-    grouped = windows.gap_groups(rows, ["user_id"], [F.asc("ts"), F.asc("event_id")], F.col("new"), "session")
+    grouped = windows.gap_groups(rows, ["user_id"], order, F.col("new"), "session")
     return grouped.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 

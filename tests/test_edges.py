@@ -38,3 +38,10 @@ def test_overlaps_of_rounded_seconds_and_halves(spark, tmp_path):
         (5, 9, "view", at(0.7), 0.0), (5, 10, "purchase", at(60.2), 0.0),  # 1..61 and 60..120
     ]
     assert len(agrees(spark, tmp_path, "events", rows, EVENTS, "c12_interval_overlap")) == 2
+
+
+def test_gaps_count_fractions_of_seconds(spark, tmp_path):
+    times = [(1, 0.9), (1, 14400.1), (2, 0.1), (2, 14400.1), (3, 0.1), (3, 14400.9), (3, 28800.8), (4, 5.0), (4, None)]
+    rows = [(user, k, "view", None if s is None else at(s), 0.0) for k, (user, s) in enumerate(times)]
+    found = agrees(spark, tmp_path, "events", rows, EVENTS, "e9_gap_paragraphs")
+    assert len(found) == 6
