@@ -67,7 +67,7 @@ def iban(t):
 
 @query("j8_tax_ids", "SELECT c_custkey, c_custkey % 3 <> 2 AS dni, c_custkey % 3 <> 2 AS nif FROM customer")
 def tax_ids(t):
-    number = F.col("c_custkey") * 7919 + 10_000_000
+    number = F.pmod(F.col("c_custkey") % 90_000_000 * 7919, F.lit(90_000_000)) + 10_000_000  # of eight digits, whatever the key
     letter = lambda k: F.substring(F.lit(ids.DNI_LETTERS), ((number + k) % 23 + 1).cast("int"), F.lit(1))
     text = F.concat(number.cast("string"), F.lit("-"), letter(F.when(F.col("c_custkey") % 3 == 2, 5).otherwise(0)))
     return t.customer.select("c_custkey", ids.dni_ok(text).alias("dni"), ids.nif_ok(text).alias("nif"))

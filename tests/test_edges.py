@@ -45,3 +45,9 @@ def test_gaps_count_fractions_of_seconds(spark, tmp_path):
     rows = [(user, k, "view", None if s is None else at(s), 0.0) for k, (user, s) in enumerate(times)]
     found = agrees(spark, tmp_path, "events", rows, EVENTS, "e9_gap_paragraphs")
     assert len(found) == 6
+
+
+def test_tax_numbers_of_any_key(spark, tmp_path):
+    rows = [(k,) for k in (1, 2, 3, 11_364, 11_365, 11_404, 11_405, 900_000, 899_999, 123_456_789_012, 1 << 62)]
+    found = agrees(spark, tmp_path, "customer", rows, "c_custkey bigint", "j8_tax_ids")
+    assert sum("True" in r for r in found) == sum(k % 3 != 2 for k, in rows)
