@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
-def decode_entities(text: Column) -> Column:
-    for name, char in NAMED:
+def decode_entities(text: Column, named: tuple = NAMED) -> Column:
+    for name, char in named:
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
 
@@ -20,12 +20,15 @@ def strip_tags(html: Column) -> Column:
     return F.regexp_replace(bare, "(?s)<[^>]*>", " ")
 
 
-def title(html: Column) -> Column:
-    return F.trim(F.regexp_replace(decode_entities(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)), r"[ \t\n\r\f\x0b]+", " "))
+def title(html: Column, named: tuple = NAMED, squeezed: bool = True) -> Column:
+    """The first title element, with its ``named`` references decoded."""
+    text = decode_entities(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1), named)
+    return F.trim(F.regexp_replace(text, r"[ \t\n\r\f\x0b]+", " ") if squeezed else text)
 
 
-def language(html: Column) -> Column:
-    return F.lower(F.regexp_extract(html, "(?i)<html[^>]*lang=[\"']?([a-zA-Z-]+)", 1))
+def language(html: Column, strict: bool = False) -> Column:
+    """The language that a page names; ``strict``: in small letters and double quotes."""
+    return F.lower(F.regexp_extract(html, '<html[^>]*lang="([a-z-]+)' if strict else "(?i)<html[^>]*lang=[\"']?([a-zA-Z-]+)", 1))
 
 
 def markdown_to_text(text: Column) -> Column:

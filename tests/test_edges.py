@@ -51,3 +51,10 @@ def test_tax_numbers_of_any_key(spark, tmp_path):
     rows = [(k,) for k in (1, 2, 3, 11_364, 11_365, 11_404, 11_405, 900_000, 899_999, 123_456_789_012, 1 << 62)]
     found = agrees(spark, tmp_path, "customer", rows, "c_custkey bigint", "j8_tax_ids")
     assert sum("True" in r for r in found) == sum(k % 3 != 2 for k, in rows)
+
+
+def test_titles_keep_references_and_spaces(spark, tmp_path):
+    heads = ["a &quot;b&quot; &amp;lt; &amp; c", " two  spaces\tand tabs\n", "&lt;&#39;&nbsp;x", ""]
+    rows = [(i, f'<html lang="en-gb"><TITLE class=x>{h}</title>') for i, h in enumerate(heads)]
+    rows += [(9, "<html lang=de><p>no title"), (10, "<HTML LANG='FR'><title>t</title>"), (11, '<html lang="pt-BR">'), (12, None)]
+    agrees(spark, tmp_path, "pages", rows, "page_id bigint, html string", "m15_page_title")
