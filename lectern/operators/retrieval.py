@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.vectors import dot
 from ..storage import materialise, scratch
+from .slices import slices
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
@@ -28,7 +29,7 @@ def postings(docs: DataFrame, key: str, columns: dict[str, float]) -> DataFrame:
     weights = list(map(float, columns.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             lists = batch.columns[1:]
             sizes = [np.diff(np.asarray(x.offsets)) for x in lists]
             words = pa.chunked_array([x.flatten() for x in lists]).combine_chunks().dictionary_encode()
