@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as tx
 from .grouping import repeated_values
+from .slices import slices
 
 # Phrases of pages that hide their text, and words of menus.
 BLOCK_PHRASES = ("enable javascript", "captcha", "access denied", "verify you are human", "just a moment", "acceso denegado", "activa javascript", "not a robot", "checking your browser", "unusual traffic")
@@ -63,11 +64,18 @@ UNSEEN = "\u200b\u200c\ufeff"
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
-@F.pandas_udf(StringType())
-def _compatible(texts: pd.Series) -> pd.Series:
-    """Compatibility forms composed and case folded, a batch at a time; the JVM has
-    no expression for either."""
-    return texts.map(lambda t: t if t is None else t.lower() if t.isascii() else unicodedata.normalize("NFKC", t).casefold())
+@F.arrow_udf(StringType())
+def _composed(texts: pa.Array) -> pa.Array:
+    """Compatibility forms composed and case folded, a part of a batch at a time; the
+    JVM has no expression for either."""
+    made = [pa.array([None if t is None else unicodedata.normalize("NFKC", t).casefold() for t in part.column(0).to_pylist()], pa.string()) for part in slices(pa.record_batch({"text": texts}))]
+    return pa.concat_arrays(made) if made else pa.array([], pa.string())
+
+
+def _compatible(text: Column) -> Column:
+    """What has no compatibility forms stays on the JVM."""
+    own = F.length(text) == F.octet_length(text)  # ASCII
+    return F.coalesce(_composed(F.when(~own, text)), F.lower(text))
 
 
 def normal_lines(text: Column) -> Column:
