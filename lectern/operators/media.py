@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .slices import map_frames
+
 
 def rolling_dedupe(cues: DataFrame, key: str, order: str, text: str, back: int = 3) -> DataFrame:
     """Drops a line that repeats one of the last ``back`` kept lines, and lets a
@@ -124,4 +126,4 @@ def collapse_loops(rows: DataFrame, key: str, text: str) -> DataFrame:
             done = [collapsed(x or "") for x in batch[text]]
             yield pd.DataFrame({key: batch[key], text: [d[0] for d in done], "loops": [d[1] for d in done]})
 
-    return rows.select(key, text).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, {text} string, loops bigint")
+    return map_frames(rows.select(key, text), run, f"{key} {dict(rows.dtypes)[key]}, {text} string, loops bigint")
