@@ -8,7 +8,7 @@ from ..functions import statements, tables
 from ..functions import text as tx
 from ..operators import dense_index, layout, minhash, ordering, phrases, prefixes, subtrees
 from ..sources import messages, pdf
-from ..storage import scratch
+from ..storage import materialise, scratch
 from .registry import query
 
 
@@ -145,8 +145,9 @@ _LINES = "WITH d AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS
 
 
 def _pdf_lines(t):
-    """The documents as PDF files, read back as lines."""
-    files = pdf.write_files(t.documents, "doc_id", "text")
+    """The documents as PDF files, read back as lines. The files are kept, so that the
+    Python workers of writing and reading do not stand beside each other."""
+    files = materialise(pdf.write_files(t.documents, "doc_id", "text"), "pdf_files")
     return layout.lines(pdf.runs(files, "doc_id", "content").drop("note"), "doc_id")
 
 
