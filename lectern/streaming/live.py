@@ -5,7 +5,9 @@ A request of a key asks its source unless the last good answer is younger than
 answer serves as ``stale`` up to ``MOST_STALE``, and the request ``failed`` beyond.
 Two event-time timers follow a good answer: it has ``expired`` after ``TTL``, and is
 ``gone`` after ``MOST_STALE`` unless a newer one came, which clears the key's state,
-so keys that nobody asks for leave the store.
+so keys that nobody asks for leave the store. A key sets one timer at a time, for
+the first of what is pending; when it fires, all that the watermark has passed is
+said, so what a key asks of the state store does not grow with its requests.
 
 Timers fire when the watermark passes them, which may be after later requests of
 the same batch; requests therefore compare times themselves, and what is said does
@@ -31,24 +33,35 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class LiveAnswers(StatefulProcessor):
-    """State: when the last good answer came (ms), what it was, and what the timers
-    that are set will say."""
+    """State: when the last good answer came (ms) and what it was, and the times (ms)
+    at which answers will have expired and be gone."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._last = handle.getValueState("last", "ms bigint, value double")
-        self._timers = handle.getMapState("timers", "ms bigint", "said string")
-
-    def _set(self, ms: int, said: str) -> None:
-        self._handle.registerTimer(ms)
-        self._timers.updateValue((ms,), (said,))
-
-    def _unset(self, ms: int) -> None:
-        self._handle.deleteTimer(ms)
-        self._timers.removeKey((ms,))
+        self._expiring = handle.getValueState("expiring", "at array<bigint>")
+        self._going = handle.getValueState("going", "at array<bigint>")
+
+    def _pending(self) -> tuple[list[int], list[int]]:
+        """Times of answers that will have expired, and that will be gone, ascending."""
+        expiring, going = self._expiring.get(), self._going.get()
+        return list(expiring[0]) if expiring else [], list(going[0]) if going else []
+
+    def _keep(self, expiring: list[int], going: list[int], before: int | None) -> None:
+        """Keep what is pending; ``before`` is the timer that is set."""
+        for state, at in ((self._expiring, expiring), (self._going, going)):
+            state.update((at,)) if at else state.clear()
+        first = min(expiring[:1] + going[:1], default=None)
+        if first != before:
+            if before is not None:
+                self._handle.deleteTimer(before)
+            if first is not None:
+                self._handle.registerTimer(first)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = tuple(self._last.get()) if self._last.exists() else None
+        last = self._last.get()
+        held = before = tuple(last) if last else None
+        expiring, going = [], []
         for r in sorted(rows, key=lambda r: (r["ms"], r["event_id"])):
             now, value = r["ms"], None
             age = None if held is None else now - held[0]
@@ -56,26 +69,34 @@ class LiveAnswers(StatefulProcessor):
             if usable and age < TTL * 1000:
                 said, value = "cached", held[1]
             elif r["ok"]:
+                if held is before:
+                    expiring, going = self._pending()
+                    timer = min(expiring[:1] + going[:1], default=None)
                 if usable:
-                    self._unset(held[0] + MOST_STALE * 1000 + 1)
+                    going.remove(held[0] + MOST_STALE * 1000 + 1)
                 said, value, held = "fresh", r["value"], (now, r["value"])
-                self._set(now + TTL * 1000, "expired")
-                self._set(now + MOST_STALE * 1000 + 1, "gone")
+                expiring.append(now + TTL * 1000)
+                going.append(now + MOST_STALE * 1000 + 1)
             elif usable:
                 said, value = "stale", held[1]
             else:
                 said = "failed"
             yield Row(key=key[0], ms=now, event_id=r["event_id"], said=said, value=value)
-        if held is not None:
+        if held is not before:
             self._last.update(held)
+            self._keep(expiring, going, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        said = self._timers.getValue((at,))[0]
-        self._timers.removeKey((at,))
-        if self._last.exists() and self._last.get()[0] + MOST_STALE * 1000 < at:
+        passed, (expiring, going) = timerValues.getCurrentWatermarkInMs(), self._pending()
+        for said, times in (("expired", expiring), ("gone", going)):
+            for at in times:
+                if at <= passed:
+                    yield Row(key=key[0], ms=at, event_id=None, said=said, value=None)
+        # Spark itself drops the timer that fired
+        self._keep([at for at in expiring if at > passed], left := [at for at in going if at > passed], None)
+        last = self._last.get()
+        if last and last[0] + MOST_STALE * 1000 + 1 not in left:
             self._last.clear()
-        yield Row(key=key[0], ms=at, event_id=None, said=said, value=None)
 
     def close(self) -> None:
         pass
