@@ -10,7 +10,7 @@ How many cells a search opens (``probes``) and how many rows it scores exactly
 ten nearest in the sample, and both numbers are taken so that ``SHARE`` of those
 would be found.
 
-A search takes queries in blocks of ``QUERY_BLOCK``: the block's nearest cells are
+A search takes queries in blocks of ``QUERY_BLOCK``, fewer where many rows are kept a query: the block's nearest cells are
 the only folders that are read, their codes are scored by tables of the query's
 products with the code books, and each task keeps the ``rerank`` best of a query.
 The best of all tasks are joined with their vectors and scored exactly, so a
@@ -47,6 +47,8 @@ SLICE, ROUNDS = 4, 12
 TRIED, NEIGHBOURS, SHARE = 128, 10, 0.98
 #: Files among which a cell's rows are dealt, and queries searched at a time.
 SPREAD, QUERY_BLOCK = 4, 4096
+#: Rows that a task holds for the queries of a block, and bytes of products sent to it.
+HELD_ROWS, SENT_BYTES = 2_000_000, 64 << 20
 
 
 def _matrix(column, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +195,7 @@ def _candidates(scanned: DataFrame, books: Books, ids: np.ndarray, queries: np.n
                     hits = np.empty(len(rows), dtype=[("key", np.int64), ("cell", np.int32), ("about", np.float64)])
                     hits["key"], hits["cell"], hits["about"] = keys[rows], cell, about[keys[at] != ids[q]]
                     best.setdefault(int(q), []).append(hits)
-                    if sum(map(len, best[int(q)])) > 8 * rerank:
+                    if sum(map(len, best[int(q)])) > 2 * rerank:
                         keep(int(q))
         for q in best:
             found = keep(q)
@@ -215,7 +217,7 @@ def search(spark: SparkSession, index: str | None, queries: DataFrame, key: str,
     asked = queries.select(F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("vector")).where("key is not null and vector is not null and size(vector) > 0")
     folder = scratch(spark, "dense_hits")
     spark.createDataFrame([], schema.replace("rank int, ", "")).write.parquet(folder)
-    for ids, matrix in _blocks(asked, books.dim):
+    for ids, matrix in _blocks(asked, books.dim, _block_of(books, rerank)):
         probed = _probed(books, matrix, probes)
         scanned = rows.where(F.col("cell").isin(np.unique(probed).tolist()))
         w = Window.partitionBy("query_id").orderBy(F.desc("about"), "key")
@@ -229,13 +231,19 @@ def search(spark: SparkSession, index: str | None, queries: DataFrame, key: str,
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "key", "score")
 
 
-def _blocks(asked: DataFrame, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Queries, ``QUERY_BLOCK`` at a time."""
+def _block_of(books: Books, rerank: int) -> int:
+    """Queries of a block: what a task holds for them does not grow with the rows."""
+    products = 8 * (len(books.cells) + sum(map(len, books.codes)))
+    return max(1, min(QUERY_BLOCK, HELD_ROWS // (2 * rerank), SENT_BYTES // products))
+
+
+def _blocks(asked: DataFrame, dim: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Queries, ``size`` at a time."""
     ids, rows = [], []
     for r in asked.toLocalIterator():
         ids.append(r["key"])
         rows.append(r["vector"])
-        if len(ids) == QUERY_BLOCK:
+        if len(ids) == size:
             yield from _unit(ids, rows, dim)
             ids, rows = [], []
     yield from _unit(ids, rows, dim)
