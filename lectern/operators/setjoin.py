@@ -13,7 +13,7 @@ the others are compared by their items. Nothing that links is left out.
 
 A block yields links enough for its components, not all of them: a pair whose ends
 other links already join is not compared, so copies by the thousand cost a link each.
-Pairs grow with the square of the rows, at some 20 ns each; the rows that are shuffled
+Pairs grow with the square of the rows, at less than 20 ns each; the rows that are shuffled
 are two for a set while a bucket fits a block of ``BLOCK_BYTES``.
 """
 
@@ -27,13 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Places of a set's parities, and of folded ones, in words of 64 bits.
-WORDS, FOLDED = 64, 16
+WORDS, FINER, FOLDED = 64, 16, 8
 BITS = 64 * WORDS
 #: Bytes of the sets of a block with their parities, about.
 BLOCK_BYTES = 96 << 20
-#: Pairs that are held at a time.
-PAIRS = 1 << 17
-#: Items whose bits are counted at a time.
+#: Sets that are held against others at a time, and those others.
+TILE, WIDE = 32, 4096
+#: Sets whose bits are counted at a time.
 ROWS = 128
 
 
@@ -49,51 +49,56 @@ def parities(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
+
+
 def forest(flat: np.ndarray, sizes: np.ndarray, left: np.ndarray, inside: bool, least: float) -> list[tuple[int, int, float]]:
     """(x, y, similarity) of links that join all sets which links of a left set and a
-    right one join, or of two left ones too if ``inside``; sets come by size."""
+    right one join, or of two left ones too if ``inside``."""
     slack = (1 - least) / (1 + least) * (1 + 1e-9)
-    ends, bits = np.concatenate([[0], np.cumsum(sizes)]), parities(flat, sizes)
-    folded = np.ascontiguousarray(np.bitwise_xor.reduce(bits.reshape(len(sizes), -1, FOLDED), axis=1).T)
+    order = np.argsort(sizes, kind="stable")  # places in it stand for the sets
+    starts, bits = (np.cumsum(sizes) - sizes)[order], parities(flat, sizes)[order]
+    sizes, left = sizes[order], left[order]
+    finer = [_folded(bits, FINER), bits]
+    folded = np.ascontiguousarray(_folded(finer[0], FOLDED).T)
     root, found = np.arange(len(sizes)), []
     first = np.searchsorted(sizes, np.ceil(sizes * least * (1 - 1e-9)), "left")
-    at = 0
-    while at < len(sizes):
-        # sets of [at, to) against those of [low, to): a pair is met by its later set
-        low = int(first[at])
-        wide = at - low
-        to = min(len(sizes), at + max(1, (math.isqrt(wide * wide + 4 * PAIRS) - wide) // 2))
-        rows, cols = np.arange(at, to), np.arange(low, to)
-        apart = np.zeros((to - at, to - low), np.uint16)
-        for word in folded:
-            apart += np.bitwise_count(word[at:to, None] ^ word[None, low:to])
-        near = apart <= (sizes[rows, None] + sizes[None, cols]) * slack
-        near &= cols < rows[:, None]
-        near &= (cols >= first[rows][:, None]) & (root[rows][:, None] != root[cols])
-        near &= (left[rows][:, None] | left[cols]) if inside else (left[rows][:, None] != left[cols])
-        x, y = np.nonzero(near)
-        x, y = x + at, y + low
-        for some in range(0, len(x), PAIRS // WORDS):
-            p, q = x[some : some + PAIRS // WORDS], y[some : some + PAIRS // WORDS]
-            close = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64) <= (sizes[p] + sizes[q]) * slack
-            for i, j in zip(p[close].tolist(), q[close].tolist()):
+    most = np.minimum(np.ceil(sizes * slack), 64 * FOLDED).astype(np.uint16)  # of a set's part of a link's places
+    for at in range(0, len(sizes), TILE):
+        # the sets of a tile against those before them, so a pair is met once
+        to = min(len(sizes), at + TILE)
+        for low in range(int(first[at]), to, WIDE):
+            high = min(to, low + WIDE)
+            apart = np.zeros((to - at, high - low), np.uint16)
+            for k in range(0, FOLDED, 2):  # 128 places fit a byte
+                some = np.bitwise_count(folded[k, at:to, None] ^ folded[k, low:high])
+                some += np.bitwise_count(folded[k + 1, at:to, None] ^ folded[k + 1, low:high])
+                apart += some
+            x, y = np.nonzero(apart <= most[at:to, None] + most[low:high])
+            x, y = x + at, y + low
+            near = (y < x) & (y >= first[x]) & (root[x] != root[y]) & ((left[x] | left[y]) if inside else (left[x] != left[y]))
+            x, y = x[near], y[near]
+            for words in finer:
+                close = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64) <= (sizes[x] + sizes[y]) * slack
+                x, y = x[close], y[close]
+            for i, j in zip(x.tolist(), y.tolist()):
                 if root[i] != root[j]:
-                    both = len(np.intersect1d(flat[ends[i] : ends[i + 1]], flat[ends[j] : ends[j + 1]], assume_unique=True))
+                    both = len(np.intersect1d(*(flat[starts[k] : starts[k] + sizes[k]] for k in (i, j)), assume_unique=True))
                     score = both / (int(sizes[i]) + int(sizes[j]) - both)
                     if score >= least:
-                        found.append((i, j, score))
+                        found.append((int(order[i]), int(order[j]), score))
                         root[root == root[i]] = root[j]
-        at = to
     return found
 
 
 def _block(least: float):
     def run(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
-        sizes = block.column("n").to_numpy()
-        order = np.argsort(sizes, kind="stable")
-        block = block.take(pa.array(order)).combine_chunks()
-        flat = np.frombuffer(b"".join(block.column("items").to_pylist()), np.uint32)
         ids, sizes, left = block.column("id").to_numpy(), block.column("n").to_numpy().astype(np.int64), block.column("role").to_numpy() == 0
+        items = pa.concat_arrays(block.column("items").chunks)
+        del block  # the items are most of it
+        begin = int(np.frombuffer(items.buffers()[1], np.int32)[items.offset])
+        flat = np.frombuffer(items.buffers()[2], np.uint32, int(sizes.sum()), begin)
         links = forest(flat, sizes, left, key[1].as_py() == key[2].as_py(), least)
         ends = [[min(ids[i], ids[j]) for i, j, _ in links], [max(ids[i], ids[j]) for i, j, _ in links]]
         return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64()), "score": pa.array([s for _, _, s in links], pa.float64())})
@@ -106,13 +111,13 @@ def _times(count: Column, *of: Column) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(*[f(i) for f in of]))).otherwise(F.array())
 
 
-def links(sizes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def links(sets: DataFrame, least: float) -> DataFrame:
     """a, b, score: links of ``sets`` (id, n, items: the n distinct numbers of 32 bits,
-    in order and packed), enough of them for all components. ``sizes`` has the n of all
-    sets; empty sets have no links."""
+    in order and packed; read twice), enough of them for all components. Empty sets
+    have no links."""
     ratio = math.log(1 / least) * 1.001  # a link is in one bucket or in neighbours
     bucket = F.floor(F.log("n") / F.lit(ratio)).cast("int")
-    told = sizes.where("n > 0").groupBy(bucket.alias("bucket")).agg(F.ceil(F.sum(4 * F.col("n") + 8 * (WORDS + FOLDED)) / BLOCK_BYTES).cast("int").alias("blocks"))
+    told = sets.where("n > 0").groupBy(bucket.alias("bucket")).agg(F.ceil(F.sum(4 * F.col("n") + 8 * (WORDS + FINER + FOLDED)) / BLOCK_BYTES).cast("int").alias("blocks"))
     of = {r["bucket"]: r["blocks"] for r in told.collect()}  # a row for each size by a quarter
     if not of:
         return sets.sparkSession.createDataFrame([], "a bigint, b bigint, score double")

@@ -168,13 +168,13 @@ def test_sets_of_many_blocks(spark, monkeypatch, bytes_of_block):
             kept = base[: max(1, round(size * part))]
             sets[len(sets)] = np.unique(np.concatenate([kept, rng.choice(1 << 32, rng.integers(0, 1 + size // 8))]) if len(sets) % 2 else kept).astype(np.uint32)
     rows = spark.createDataFrame([(i, len(x), bytearray(x.tobytes())) for i, x in sets.items()] + [(999, 0, bytearray())], "id bigint, n int, items binary").repartition(3)
-    found = [(r["a"], r["b"], r["score"]) for r in setjoin.links(rows.select("n"), rows, 0.8).collect()]
+    found = [(r["a"], r["b"], r["score"]) for r in setjoin.links(rows, 0.8).collect()]
     jaccard = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
     linked = [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8]
     assert all(a < b and score == jaccard(sets[a], sets[b]) >= 0.8 for a, b, score in found)
     joined = lambda pairs: brute_roots(sets, pairs)
     assert linked and joined(linked) == joined([(a, b) for a, b, _ in found])
-    assert setjoin.links(rows.select("n").limit(0), rows.limit(0), 0.8).collect() == []
+    assert setjoin.links(rows.limit(0), 0.8).collect() == []
 
 
 def brute_roots(ids, pairs):
